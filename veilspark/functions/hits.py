@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspark.functions.rules import Rule
+from veilspark.functions.text import let
 
 HIT = "struct<rule:string,label:string,value:string,start:int,`end`:int,grade:string,action:string,desc:string>"
 HITS = f"array<{HIT}>"
@@ -28,28 +29,23 @@ def no_hits() -> Column:
 
 def _spans(text: Column, pattern: str) -> Column:
     """array<struct<value,start>> of one pattern, in text order."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pieces = F.zip_with(
-        F.slice(gaps, F.lit(1), F.size(values)),
-        values,
-        lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("value")),
-    )
     zero = F.struct(
         F.lit(0).alias("pos"), F.array().cast("array<struct<value:string,start:int>>").alias("out")
     )
-    return F.aggregate(
-        pieces,
-        zero,
-        lambda acc, p: F.struct(
-            (acc["pos"] + p["gap"] + F.length(p["value"])).alias("pos"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct(p["value"].alias("value"), (acc["pos"] + p["gap"]).alias("start"))),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+
+    def step(acc: Column, p: Column) -> Column:
+        start = acc["pos"] + F.length(p["gap"])
+        return F.struct(
+            (start + F.length(p["value"])).alias("pos"),
+            F.concat(acc["out"], F.array(F.struct(p["value"].alias("value"), start.alias("start")))).alias("out"),
+        )
+
+    # The gap after the last match has no value and adds nothing.
+    pieces = F.filter(
+        F.arrays_zip(F.split(text, pattern, -1).alias("gap"),
+                     F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value")),
+        lambda p: p["value"].isNotNull())
+    return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
 
 
 def rule_hits(text: Column, rule: Rule) -> Column:
@@ -65,7 +61,7 @@ def rule_hits(text: Column, rule: Rule) -> Column:
             F.lit(rule.action).alias("action"),
             F.lit(rule.desc).alias("desc"),
         ),
-    ).cast(HITS)
+    )
     return F.when(text.rlike(rule.java), found).otherwise(no_hits())
 
 
@@ -82,16 +78,18 @@ def may_hit(text: Column, rules: Sequence[Rule]) -> Column:
     return cond
 
 
-def pattern_hits(text: Column, rules: Sequence[Rule]) -> Column:
-    """All hits of all rules: rule order first, then position."""
+def _all_hits(text: Column, rules: Sequence[Rule]) -> Column:
     gated = [r for r in rules if r.id not in _NO_GATE]
     free = [r for r in rules if r.id in _NO_GATE]
     parts = F.when(
         text.rlike(_GATE), F.flatten(F.array(*[rule_hits(text, r) for r in gated]))
     ).otherwise(no_hits())
-    if free:
-        parts = F.concat(parts, *[rule_hits(text, r) for r in free])
-    return parts
+    return F.concat(parts, *[rule_hits(text, r) for r in free]) if free else parts
+
+
+def pattern_hits(text: Column, rules: Sequence[Rule]) -> Column:
+    """All hits of all rules: rule order first, then position."""
+    return let(text, lambda t: _all_hits(t, rules))
 
 
 def _same_span(a: Column, b: Column) -> Column:
@@ -104,13 +102,14 @@ def identifier_hits(
     """Base hits, then those extra hits whose exact span is not taken yet.
 
     ``check_base=False`` compares the extra hits only with each other (the first mining policy)."""
-    base_hits = pattern_hits(text, base)
-    extra_hits = pattern_hits(text, extra)
+    def merge(b: Column) -> Column:
+        def unique(e: Column) -> Column:
+            def free(x: Column, i: Column) -> Column:
+                ok = ~F.exists(F.slice(e, F.lit(1), i), lambda o: _same_span(o, x))
+                return ok & ~F.exists(b, lambda o: _same_span(o, x)) if check_base else ok
+
+            return F.concat(b, F.filter(e, free))
 
-    def free(e: Column, i: Column) -> Column:
-        ok = ~F.exists(F.slice(extra_hits, F.lit(1), i), lambda o: _same_span(o, e))
-        if check_base:
-            ok = ok & ~F.exists(base_hits, lambda b: _same_span(b, e))
-        return ok
+        return let(pattern_hits(text, extra), unique)
 
-    return F.concat(base_hits, F.filter(extra_hits, free))
+    return let(pattern_hits(text, base), merge)

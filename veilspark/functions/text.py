@@ -8,31 +8,43 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What counts as white space and as a line end in the texts handled here.  Java's
-# Unicode-aware \s lacks the four separators U+001C..U+001F.
-SPACE = r"[\s\x1c-\x1f]"
-NOT_SPACE = r"[^\s\x1c-\x1f]"
+# The white-space characters and the line ends of the texts handled here.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+SPACE_CLASS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE = f"[{SPACE_CLASS}]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
-DDL_STRINGS = "array<string>"
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once.
+
+    Besides sharing the value this keeps large array expressions out of generated code: the whole is
+    one higher-order function, which Spark interprets instead of unrolling it past the 64 KB limit."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def rows_of(arr: Column) -> Column:
+    """The array as a generator input.  Exploding a bare column makes Catalyst add a ``size > 0`` filter
+    and push it down with a second copy of the column's whole expression; an expression prevents it."""
+    return F.filter(arr, lambda x: x.isNotNull())
 
 
 def strip(c: Column) -> Column:
-    """Remove leading and trailing Unicode white space (Spark's ``trim`` removes only U+0020)."""
-    return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    """Remove leading and trailing white space of every kind (``trim`` alone removes only U+0020)."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def is_blank(c: Column) -> Column:
-    return ~c.rlike(rf"(?U){NOT_SPACE}")
+    return strip(c) == ""
 
 
 def squeeze(c: Column) -> Column:
     """White-space runs become one space, ends trimmed."""
-    return F.trim(F.regexp_replace(c, rf"(?U){SPACE}+", " "))
+    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
 def drop_space(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U){SPACE}+", "")
+    return F.regexp_replace(c, f"{SPACE}+", "")
 
 
 def lines(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.grades import GRADES
-from veilspark.functions.text import nfc, squeeze, strip
+from veilspark.functions.text import SPACE, nfc, squeeze, strip
 
 CORRUPTED = "[CORRUPTED_EXCEL_FORMULA]"
 # Spreadsheet errors, bullets, category sets and keywords.
@@ -58,11 +58,11 @@ def keep_inner_slashes(c: Column) -> Column:
 
 def tidy_spacing(c: Column) -> Column:
     c = F.translate(c, "\r\n\t", "   ")
-    c = F.regexp_replace(c, r"(?U)\([\s\x1c-\x1f]+", "(")
-    c = F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+\)", ")")
-    c = F.regexp_replace(c, r"(?U)\([\s\x1c-\x1f]*\)", "")
+    c = F.regexp_replace(c, rf"\({SPACE}+", "(")
+    c = F.regexp_replace(c, rf"{SPACE}+\)", ")")
+    c = F.regexp_replace(c, rf"\({SPACE}*\)", "")
     c = squeeze(c)
-    return F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+([.,)])", "$1")
+    return F.regexp_replace(c, rf"{SPACE}+([.,)])", "$1")
 
 
 def clean_text(c: Column, normalize: bool = True) -> Column:

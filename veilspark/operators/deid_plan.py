@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.grades import grade_rank, source_rank, top_grade
 from veilspark.functions.rules import REVIEW
+from veilspark.functions.text import let
 from veilspark.operators.detection import DETECTION, DETECTIONS, with_location_key
 
 _SLOTTED = DETECTION[:-1] + ",slot:bigint>"
@@ -62,14 +63,13 @@ def _absorb(kept: Column, lost: Column) -> Column:
 
 def _place(kept: Column, x: Column) -> Column:
     """One fold step over the kept spans."""
-    at = F.array_position(F.transform(kept, lambda k: overlaps(k, x)), F.lit(True))
-
     def settle(k: Column) -> Column:
         return F.when(_preference(k) <= _preference(x), _absorb(k, x)).otherwise(
             _absorb(x.withField("slot", k["slot"]), k))
 
-    return F.when(at == 0, F.concat(kept, F.array(x))).otherwise(
-        F.transform(kept, lambda k, i: F.when(i + 1 == at, settle(k)).otherwise(k)))
+    first = F.array_position(F.transform(kept, lambda k: overlaps(k, x)), F.lit(True))
+    return let(first, lambda at: F.when(at == 0, F.concat(kept, F.array(x))).otherwise(
+        F.transform(kept, lambda k, i: F.when(i + 1 == at, settle(k)).otherwise(k))))
 
 
 def _sorted_by(arr: Column, *fields: str) -> Column:
@@ -102,20 +102,24 @@ def _islands(by_start: Column, ddl: str) -> Column:
 
 def _any_overlap(by_start: Column) -> Column:
     return F.exists(
-        F.zip_with(by_start, F.slice(by_start, F.lit(2), F.size(by_start)),
+        F.zip_with(by_start, F.slice(by_start, F.lit(2), F.greatest(F.size(by_start), F.lit(1))),
                    lambda a, b: F.coalesce(b["start"] < a["end"], F.lit(False))),
         lambda t: t)
 
 
 def resolve_overlaps(detections: Column) -> Column:
     """Kept automatic detections of one unit, in slot order."""
-    auto = F.transform(F.filter(detections, is_auto), lambda d: d.withField("slot", d["ord"])).cast(
-        f"array<{_SLOTTED}>")
-    by_start = _sorted_by(auto, "start", "end", "ord")
-    folded = F.flatten(F.transform(
-        _islands(by_start, _SLOTTED), lambda isl: _fold(_sorted_by(isl, "ord"), _SLOTTED)))
-    # Non-overlapping hits, by far the common case, skip the fold.
-    return F.when(_any_overlap(by_start), _sorted_by(folded, "slot")).otherwise(_sorted_by(auto, "ord"))
+    def resolve(auto: Column) -> Column:
+        def settle(by_start: Column) -> Column:
+            folded = F.flatten(F.transform(
+                _islands(by_start, _SLOTTED), lambda isl: _fold(_sorted_by(isl, "ord"), _SLOTTED)))
+            # Non-overlapping hits, by far the common case, skip the fold.
+            return F.when(_any_overlap(by_start), _sorted_by(folded, "slot")).otherwise(auto)
+
+        return let(_sorted_by(auto, "start", "end", "ord"), settle)
+
+    slotted = F.transform(F.filter(detections, is_auto), lambda d: d.withField("slot", d["ord"]))
+    return let(slotted.cast(f"array<{_SLOTTED}>"), resolve)
 
 
 def _as_targets(arr: Column) -> Column:
@@ -144,7 +148,7 @@ def _display_sorted(arr: Column) -> Column:
 
 def auto_targets(detections: Column) -> Column:
     """Automatic targets of one unit's detections, in display order."""
-    return _display_sorted(_as_targets(resolve_overlaps(detections)))
+    return let(detections, lambda d: _display_sorted(_as_targets(resolve_overlaps(d))))
 
 
 def plan_units(detected: DataFrame) -> DataFrame:
@@ -154,7 +158,7 @@ def plan_units(detected: DataFrame) -> DataFrame:
     none = F.array().cast(DETECTIONS)
     return detected.withColumns({
         "auto_targets": F.when(has, auto_targets(F.col("detections"))).otherwise(none),
-        "review_targets": F.when(has, _display_sorted(_as_targets(F.filter("detections", is_review)))).otherwise(none),
+        "review_targets": F.when(has, let(F.col("detections"), lambda d: _display_sorted(_as_targets(F.filter(d, is_review))))).otherwise(none),
     })
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import hits as H
 from veilspark.functions.location import location_key
 from veilspark.functions.rules import IDENTIFIER_RULES, MASK, MINING_RULES, REVIEW, Rule
-from veilspark.functions.text import cut, hangul_share, strip
+from veilspark.functions.text import cut, hangul_share, let, rows_of, strip
 
 DETECTION = (
     "struct<ord:bigint,label:string,matched:string,grade:string,action:string,source:string,"
@@ -77,12 +77,6 @@ def _numbered(arr: Column, offset: Column | None = None) -> Column:
 def pattern_detections(text: Column, rules: Sequence[Rule], style: str = "document") -> Column:
     """Hits in the common detection shape.  ``style`` is ``document`` (reason from the rule) or
     ``cell`` (reason from the label).  Hits that lack label, value or span are dropped."""
-    complete = F.filter(
-        H.pattern_hits(text, rules),
-        lambda h: h["label"].isNotNull() & h["value"].isNotNull()
-        & h["start"].isNotNull() & h["end"].isNotNull(),
-    )
-
     def shape(h: Column, i: Column) -> Column:
         by_label = F.concat(F.lit("정규식 탐지: "), h["label"])
         reason = by_label if style == "cell" else F.when(
@@ -96,7 +90,12 @@ def pattern_detections(text: Column, rules: Sequence[Rule], style: str = "docume
             h["label"].alias("sensitive_category"), reason.alias("reason"),
         )
 
-    return F.transform(complete, shape).cast(DETECTIONS)
+    complete = F.filter(
+        H.pattern_hits(text, rules),
+        lambda h: h["label"].isNotNull() & h["value"].isNotNull()
+        & h["start"].isNotNull() & h["end"].isNotNull(),
+    )
+    return let(complete, lambda hs: F.transform(hs, shape).cast(DETECTIONS))
 
 
 def normalize_detector_output(found: DataFrame, units: DataFrame) -> DataFrame:
@@ -362,7 +361,7 @@ def detection_rows(detected: DataFrame) -> DataFrame:
         *UNIT_KEY,
         F.col("text").alias("context"),
         *[c for c in ("location_label", "loc") if c in detected.columns],
-        F.explode("detections").alias("d"),
+        F.explode(rows_of(F.col("detections"))).alias("d"),
     ).select("*", "d.*").drop("d")
 
 

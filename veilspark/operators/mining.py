@@ -6,23 +6,27 @@ per-file counts and the final order.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.hits import identifier_hits
 from veilspark.functions.keywords import MATCH, KeywordPack, grouped_matches, normalized, role_matches
 from veilspark.functions.rules import EARLY_MINING_RULES, IDENTIFIER_RULES, MINING_RULES
-from veilspark.functions.text import drop_space, is_blank, strip
-from veilspark.operators.units import unit_id
+from veilspark.functions.text import SPACE, drop_space, let, strip
+from veilspark.operators.units import TABLE_RULE, unit_id
 
 CONTEXT_CANDIDATE = "ai_procedural_sensitive"
 IDENTIFIER_CANDIDATE = "regex_identifier"
 
 # Noise rules.
-OPEN_CONTENT = (
+OPEN_CONTENT = re.sub(
+    r"\\s", lambda _: SPACE,
     r"목\s*차|차\s*례|개정\s*이력|제\s*개정\s*이력|문서\s*목적|적용\s*범위|"
-    r"용어\s*설명|용어의\s*정의|머리말|꼬리말|표\s*지"
+    r"용어\s*설명|용어의\s*정의|머리말|꼬리말|표\s*지",
 )
+REVISION_DATE = rf"개정{SPACE}*일{SPACE}*[:：]"
 # The class keeps white space and drops backslashes and the letter s: that is how it is defined.
 COMPACT_CLASS = r"[\\s|/·•ㆍ\-_:：,.;()\[\]]+"
 HEADER_TERMS = (
@@ -34,7 +38,6 @@ LABEL_STARTS = (
     "설비명", "검사항목", "점검주기", "관련기준", "검사방법", "참고사항",
     "점검항목", "확인사항", "판정기준", "검사주기",
 )
-TABLE_RULE = r"(?U)^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*$"
 PAGE_ONLY = r"(?iU)^\s*<!--\s*page\s+\d+\s*-->\s*$"
 TITLE_ONLY = r"(?U)^[#\s\-*]*(?:[\w가-힣]+\s*){1,6}(?:매뉴얼|목록|현황|표준)[#\s\-*]*$"
 DENSE_PIPES = r"(\|[^|]{0,20}){3,}"
@@ -42,8 +45,8 @@ SCHEDULE_PERIOD = r"(점검|검사)?주기|반기|분기|월간|연간|[0-9]+일
 SCHEDULE_TERMS = r"설비명|점검주기|검사주기|점검항목|검사항목"
 PROCEDURE_TERMS = r"(?iu)수동|강제|절체|우회|BYPASS|비상|해제|명령|Script|설정"
 SPARE_PARTS = r"^(확인)?해당역사예비품교체$"
-REVISION_TERMS = r"(?iuU)Ver\.?\s*\d|개정일|개정이력|목차|차례"
-DOTTED_PAGE = r"(?U)[.·]{3,}\s*\d+\s*$"
+REVISION_TERMS = rf"(?iu)Ver\.?{SPACE}*\p{{Nd}}|개정일|개정이력|목차|차례"
+DOTTED_PAGE = rf"[.·]{{3,}}{SPACE}*\p{{Nd}}+{SPACE}*$"
 
 
 def compact(c: Column) -> Column:
@@ -70,9 +73,7 @@ def is_early_table_header(c: Column) -> Column:
     return (F.length(k) <= 60) & (_term_count(k, EARLY_HEADER_TERMS) >= 2)
 
 
-def is_schedule(c: Column) -> Column:
-    """Inspection periods, inventories, spare parts."""
-    k = compact(c)
+def _schedule(k: Column) -> Column:
     return (
         (k.contains("설비명") & k.rlike(SCHEDULE_PERIOD))
         | ((F.length(k) <= 80) & k.rlike(SCHEDULE_TERMS) & ~k.rlike(PROCEDURE_TERMS))
@@ -80,39 +81,55 @@ def is_schedule(c: Column) -> Column:
     )
 
 
+def is_schedule(c: Column) -> Column:
+    """Inspection periods, inventories, spare parts."""
+    return let(compact(c), _schedule)
+
+
 def is_contents_or_revision(c: Column) -> Column:
     return compact(c).rlike(REVISION_TERMS) | strip(c).rlike(DOTTED_PAGE)
 
 
-def noise_reason(text: Column, heading_path: Column, policy: str = "current") -> Column:
-    """First noise rule a unit meets; null for units to keep.
-
-    ``policy`` ``second`` leaves out the rules that came later (length, spacing, labels, pipes, the
-    schedule rules and the wider revision rule)."""
-    s = strip(text)
-    tight = drop_space(s)
-    out = F.when(is_blank(text), "blank").when(s.rlike(PAGE_ONLY), "page_comment").when(
-        s.rlike(TABLE_RULE), "table_rule")
-    if policy == "current":
-        out = out.when(is_contents_or_revision(s), "contents_or_revision").when(is_schedule(s), "schedule")
-    out = out.when(F.concat(heading_path, F.lit(" "), s).rlike(f"(?U){OPEN_CONTENT}"), "open_content")
-    out = out.when(
-        is_table_header(s) if policy == "current" else is_early_table_header(s), "table_header")
-    out = out.when((F.length(s) <= 40) & s.rlike(TITLE_ONLY), "title_only")
-    if policy == "current":
+def _noise(s: Column, k: Column, heading_path: Column, current: bool) -> Column:
+    """``s``: stripped text, ``k``: the same in compact form.  Cheap checks that decide most units come
+    first; the rules are alternatives, so their order only shows in the reason."""
+    out = F.when(s == "", "blank")
+    if current:
+        tight = F.length(drop_space(s))
         spaces = F.length(s) - F.length(F.replace(s, F.lit(" ")))
         starts = F.lit(False)
         for label in LABEL_STARTS:
             starts = starts | s.startswith(label)
         out = (
-            out.when(F.length(tight) < 15, "too_short")
+            out.when((F.length(s) < 15) | (tight < 15), "too_short")
             .when(spaces / F.length(s) > 0.30, "scattered")
             .when(starts, "label_row")
-            .when(s.contains("| ---") | s.rlike(DENSE_PIPES), "table_fragment")
         )
+    out = out.when(s.startswith("<!--") & s.rlike(PAGE_ONLY), "page_comment").when(
+        s.contains("---") & s.rlike(TABLE_RULE), "table_rule")
+    if current:
+        out = (
+            out.when(s.contains("|") & (s.contains("| ---") | s.rlike(DENSE_PIPES)), "table_fragment")
+            .when(k.rlike(REVISION_TERMS) | s.rlike(DOTTED_PAGE), "contents_or_revision")
+            .when(_schedule(k), "schedule")
+        )
+    out = out.when(F.concat(heading_path, F.lit(" "), s).rlike(OPEN_CONTENT), "open_content")
+    if current:
+        out = out.when((F.length(k) <= 80) & (_term_count(k, HEADER_TERMS) >= 2), "table_header")
     else:
-        out = out.when(s.rlike(r"(?U)개정\s*일\s*[:：]"), "revision_date")
-    return out
+        out = out.when(is_early_table_header(s), "table_header").when(s.rlike(REVISION_DATE), "revision_date")
+    # The title rule backtracks heavily, so its closing words are looked for first.
+    title = (F.length(s) <= 40) & s.rlike("매뉴얼|목록|현황|표준") & s.rlike(TITLE_ONLY)
+    return out.when(title, "title_only")
+
+
+def noise_reason(text: Column, heading_path: Column, policy: str = "current") -> Column:
+    """A noise rule the unit meets; null for units to keep.
+
+    ``policy`` ``second`` leaves out the rules that came later (length, spacing, labels, pipes, the
+    schedule rules and the wider revision rule)."""
+    both = F.struct(strip(text).alias("s"), compact(strip(text)).alias("k"))
+    return let(both, lambda b: _noise(b["s"], b["k"], heading_path, policy == "current"))
 
 
 def is_noise(text: Column, heading_path: Column, policy: str = "current") -> Column:

@@ -41,19 +41,22 @@ def word_bounded_ngrams_sql(text: str, lo: int = 2, hi: int = 4) -> str:
 def char_ngrams_sql(text: str, lo: int = 2, hi: int = 5) -> str:
     """Character n-grams of the whole text, white-space runs counted as one space."""
     t = rf"regexp_replace(lower({text}), '(?U)\\s\\s+', ' ')"
-    return (
-        f"flatten(transform(sequence({lo}, {hi}), n -> if(length({t}) < n, cast(array() as array<string>), "
-        f"transform(sequence(1, greatest(length({t}) - n + 1, 1)), i -> substring({t}, i, n)))))"
+    grams = (
+        f"flatten(transform(sequence({lo}, {hi}), n -> if(length(t) < n, cast(array() as array<string>), "
+        "transform(sequence(1, greatest(length(t) - n + 1, 1)), i -> substring(t, i, n)))))"
     )
+    return f"flatten(transform(array({t}), t -> {grams}))"
 
 
 def word_ngrams_sql(text: str, lo: int = 1, hi: int = 2) -> str:
     """Words of at least two characters, single and in sequences."""
     words = rf"regexp_extract_all(lower({text}), '(?U)\\b\\w\\w+\\b', 0)"
-    return (
-        f"flatten(transform(sequence({lo}, {hi}), n -> if(size({words}) < n, cast(array() as array<string>), "
-        f"transform(sequence(1, greatest(size({words}) - n + 1, 1)), i -> concat_ws(' ', slice({words}, i, n))))))"
+    grams = (
+        f"flatten(transform(sequence({lo}, {hi}), n -> if(size(ws) < n, cast(array() as array<string>), "
+        "transform(sequence(1, greatest(size(ws) - n + 1, 1)), i -> concat_ws(' ', slice(ws, i, n))))))"
     )
+    # The word list is bound once by wrapping it in an array of one.
+    return f"flatten(transform(array({words}), ws -> {grams}))"
 
 
 TOKENS = {"char_wb": word_bounded_ngrams_sql, "char": char_ngrams_sql, "word": word_ngrams_sql}

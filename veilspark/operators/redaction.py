@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilspark.functions.grades import top_grade_in
 from veilspark.functions.location import BASE_LABELS, guide_gap, guide_key
 from veilspark.functions.rules import DELETE, REVIEW
-from veilspark.functions.text import cut, is_blank, needs_nfc, nfc, quoted, strip
+from veilspark.functions.text import cut, is_blank, let, needs_nfc, nfc, quoted, rows_of, strip
 from veilspark.operators.detection import DETECTION, DETECTIONS
 
 DELETE_MARKER = "(삭제됨)"
@@ -90,21 +90,11 @@ def apply_to_text(text: Column, targets: Column, deletion_mode: str = "delete")
 
     Result struct: text, applied targets, skipped targets with reasons, warnings.  A span whose text
     differs from the expected match is applied with a warning; a span outside the text is skipped."""
-    out = F.transform(F.filter(targets, lambda t: _no_apply_reason(t).isNotNull()),
-                      lambda t: F.struct(t.alias("target"), _no_apply_reason(t).alias("reason"))).cast(SKIPPED)
-    ready = F.transform(
-        F.array_sort(F.transform(
-            F.filter(targets, lambda t: _no_apply_reason(t).isNull()),
-            lambda t, i: F.struct((-t["start"]).alias("a"), i.alias("b"), t.alias("t")))),
-        lambda s: s["t"])
-    zero = F.struct(
-        text.alias("text"), F.array().cast(DETECTIONS).alias("applied"), out.alias("skipped"),
-        F.transform(out, lambda s: _named(s["target"], s["reason"])).cast("array<string>").alias("warnings"),
-    ).cast(RESULT)
-
     def step(acc: Column, t: Column) -> Column:
+        return let(range_error(acc["text"], t["start"], t["end"]), lambda error: _applied(acc, t, error))
+
+    def _applied(acc: Column, t: Column, error: Column) -> Column:
         now = acc["text"]
-        error = range_error(now, t["start"], t["end"])
         piece = cut(now, t["start"], t["end"])
         differs = (t["matched"] != "") & (t["matched"] != piece)
         note = F.when(error.isNotNull(), error).when(
@@ -115,16 +105,29 @@ def apply_to_text(text: Column, targets: Column, deletion_mode: str = "delete")
         changed = F.concat(
             F.left(now, t["start"]), replacement(t["action"], t["end"] - t["start"], deletion_mode),
             F.substring(now, t["end"] + 1, F.length(now)))
-        return F.struct(
+        return let(note, lambda n: F.struct(
             F.when(error.isNull(), changed).otherwise(now).alias("text"),
             F.when(error.isNull(), F.concat(acc["applied"], F.array(t))).otherwise(acc["applied"]).alias("applied"),
             F.when(error.isNull(), acc["skipped"]).otherwise(F.concat(
                 acc["skipped"], F.array(F.struct(t.alias("target"), error.alias("reason"))))).alias("skipped"),
-            F.when(note.isNull(), acc["warnings"]).otherwise(
-                F.concat(acc["warnings"], F.array(_named(t, note)))).alias("warnings"),
-        )
-
-    return F.aggregate(ready, zero, step)
+            F.when(n.isNull(), acc["warnings"]).otherwise(
+                F.concat(acc["warnings"], F.array(_named(t, n)))).alias("warnings"),
+        ))
+
+    def run(ts: Column) -> Column:
+        out = F.transform(F.filter(ts, lambda t: _no_apply_reason(t).isNotNull()),
+                          lambda t: F.struct(t.alias("target"), _no_apply_reason(t).alias("reason")))
+        ready = F.transform(
+            F.array_sort(F.transform(
+                F.filter(ts, lambda t: _no_apply_reason(t).isNull()),
+                lambda t, i: F.struct((-t["start"]).alias("a"), i.alias("b"), t.alias("t")))),
+            lambda s: s["t"])
+        start = F.struct(
+            text.alias("text"), F.array().cast(DETECTIONS).alias("applied"), out.alias("skipped"),
+            F.transform(out, lambda s: _named(s["target"], s["reason"])).alias("warnings"))
+        return F.aggregate(ready, start.cast(RESULT), step)
+
+    return let(targets, run)
 
 
 def status_of(applied: Column, skipped: Column) -> Column:
@@ -190,7 +193,7 @@ def review_items(planned: DataFrame) -> DataFrame:
     """One row per review target of units carrying their plan."""
     return planned.select(
         "doc_id", "unit_no", "location_label", "loc", F.col("text").alias("context"),
-        F.explode("review_targets").alias("t"),
+        F.explode(rows_of(F.col("review_targets"))).alias("t"),
     ).select(
         "doc_id", "unit_no", "location_label", "loc",
         F.coalesce("t.label", F.lit("")).alias("label"), F.coalesce("t.action", F.lit("")).alias("action"),
@@ -282,7 +285,7 @@ def _validated(df: DataFrame, text: str = "text") -> DataFrame:
                 F.lit("text[start:end]와 matched가 일치하지 않아 자동 적용을 건너뜁니다: "), span))
         )
 
-    return df.withColumn("checks", F.transform("targets", check))
+    return df.withColumn("checks", let(F.col("targets"), lambda ts: F.transform(ts, check)))
 
 
 def _applied_items(found: DataFrame, what: str, deletion_mode: str) -> DataFrame:
@@ -441,7 +444,7 @@ _GLOBAL = ("missing_sheet_name", "missing_cell_ref", "sheet_not_found", "missing
 def document_warnings(items: DataFrame) -> DataFrame:
     """Item warnings that are repeated on document level (doc_id, warning)."""
     code = F.regexp_extract("warning", r"^\[([a-z_]+)\]", 1)
-    return items.select("doc_id", F.explode("warnings").alias("warning")).where(code.isin(*_GLOBAL))
+    return items.select("doc_id", F.explode(rows_of(F.col("warnings"))).alias("warning")).where(code.isin(*_GLOBAL))
 
 
 def unreadable_warnings(documents: DataFrame, units: DataFrame) -> DataFrame:

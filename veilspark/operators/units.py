@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import location as L
 from veilspark.functions.running import last_before, numbered
-from veilspark.functions.text import is_blank, lines, strip, unify_line_ends
+from veilspark.functions.text import SPACE, SPACE_CLASS, is_blank, let, lines, strip, unify_line_ends
 
 UNIT = ["doc_id", "unit_no", "text", "location_label", "loc"]
 
@@ -198,12 +198,13 @@ def extraction_stats(pages: DataFrame, doc_id: Column, page_no: Column, text: Co
 # --- Markdown ----------------------------------------------------------------------------------------
 
 # Markdown boundaries.
-_WS = r"[\s\x1c-\x1f&&[^\n]]"
+_WS = f"[{SPACE_CLASS}&&[^\\n]]"
 _H2 = rf"##{_WS}+([^\n]+)"
 _H3 = rf"###{_WS}+([^\n]+)"
 _BOLD = rf"\*\*([^*\n]+)\*\*{_WS}*[：:]?{_WS}*"
 _PAGE = rf"<!--{_WS}*page{_WS}+\d+{_WS}*-->"
-TABLE_RULE = r"(?U)^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*$"
+_SP = f"{SPACE}*"
+TABLE_RULE = rf"^{_SP}\|?{_SP}:?-{{3,}}:?{_SP}(\|{_SP}:?-{{3,}}:?{_SP})+\|?{_SP}$"
 
 
 def is_table_row(line: Column) -> Column:
@@ -240,13 +241,13 @@ def _sections(content: Column, page: str, per_section) -> Column:
             def in_bold(s4: Column) -> Column:
                 titles = F.array(title(s2, _H2), title(s3, _H3), title(s4, _BOLD))
                 path = F.array_join(F.filter(titles, lambda t: t != ""), " > ")
-                return per_section(body(s4, _BOLD), path)
+                return let(path, lambda p: per_section(body(s4, _BOLD), p))
 
             return F.flatten(F.transform(cut_before(body(s3, _H3), _BOLD), in_bold))
 
         return F.flatten(F.transform(cut_before(body(s2, _H2), _H3), in_h3))
 
-    return F.flatten(F.transform(cut_before(unify_line_ends(content), _H2), in_h2))
+    return let(unify_line_ends(content), lambda whole: F.flatten(F.transform(cut_before(whole, _H2), in_h2)))
 
 
 def _unnest(files: DataFrame, units: Column, content: str) -> DataFrame:
