@@ -87,6 +87,25 @@ def label_with_context(base: Column, context: Column, max_length: int = 30) -> C
     )
 
 
+def fixed(x: Column, digits: int, bits: int = 60) -> Column:
+    """``x`` with a fixed number of decimals, rounded on its exact binary value, half to even.
+
+    ``format_string`` and ``round`` work on the shortest decimal form and round halves up, which
+    differs on ties.  ``bits`` scales x to an integer; x must stay below 2 ** (63 - bits)."""
+    x = x.cast("double")
+    unit = F.lit(2 ** bits).cast("decimal(20,0)")
+    scaled = (x * F.lit(float(2 ** bits))).cast("bigint").cast("decimal(20,0)") * F.lit(10 ** digits).cast("decimal(12,0)")
+    whole, rest = F.call_function("div", scaled, unit), (scaled % unit) * F.lit(2).cast("decimal(1,0)")
+    up = (rest > unit) | ((rest == unit) & (whole % 2 == 1))
+    n = whole + F.when(up, 1).otherwise(0)
+    return F.concat(
+        F.floor(n / (10 ** digits)).cast("string"), F.lit("."), F.lpad((n % (10 ** digits)).cast("string"), digits, "0"))
+
+
+def rounded(x: Column, digits: int, bits: int = 60) -> Column:
+    return fixed(x, digits, bits).cast("double")
+
+
 def hangul_share(c: Column) -> Column:
     """Share of Hangul syllables in the text."""
     return F.length(F.regexp_replace(c, "[^가-힣]", "")) / F.length(c)

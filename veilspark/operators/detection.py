@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import hits as H
 from veilspark.functions.location import location_key
 from veilspark.functions.rules import IDENTIFIER_RULES, MASK, MINING_RULES, REVIEW, Rule
-from veilspark.functions.text import cut, hangul_share, let, rows_of, strip
+from veilspark.functions.text import cut, fixed, hangul_share, let, rows_of, strip
 
 DETECTION = (
     "struct<ord:bigint,label:string,matched:string,grade:string,action:string,source:string,"
@@ -167,7 +167,7 @@ def name_detections(spans: DataFrame, threshold: float = 0.8) -> DataFrame:
         F.concat(
             F.lit("NER 모델이 PERSON 개체로 탐지 / original_label="),
             F.coalesce("original_label", F.lit("None")), F.lit(" / confidence="),
-            F.when(conf.isNull(), "없음").otherwise(F.format_string("%.4f", conf)),
+            F.when(conf.isNull(), "없음").otherwise(fixed(conf, 4)),
             F.lit(f" / threshold={threshold:.2f}"),
         ).alias("reason"),
     )
@@ -196,7 +196,7 @@ def inline_name_detections(
     matched = piece if style == "cell" else F.coalesce(
         F.when(piece != "", piece), F.col("word"), F.lit(""))
     detail = F.concat(
-        F.lit(" / original_label="), raw, F.lit(" / confidence="), F.format_string("%.4f", score),
+        F.lit(" / original_label="), raw, F.lit(" / confidence="), fixed(score, 4),
         F.lit(f" / threshold={threshold:.2f}"))
     reason = {
         "document": F.concat(F.lit("NER 모델 PERSON 탐지"), detail),
@@ -259,7 +259,7 @@ def hold_policy(
         *[c for c in predictions.columns if c not in ("grade", "confidence")],
         F.when(short | unsure, HOLD).otherwise(F.col("grade")).alias("pred_grade"),
         F.when(short, F.concat(F.lit("입력 문장이 너무 짧음: "), n.cast("string"), F.lit("자")))
-        .when(unsure, F.concat(F.lit("모델 확신도 낮음: "), F.format_string("%.3f", conf)))
+        .when(unsure, F.concat(F.lit("모델 확신도 낮음: "), fixed(conf, 3)))
         .otherwise("정상 예측").alias("reason"),
         F.when(short, 0.0).otherwise(conf).alias("confidence"),
         F.when(~short & unsure, F.col("grade")).alias("suggested_grade"),
@@ -268,11 +268,10 @@ def hold_policy(
 
 def context_detections(predictions: DataFrame, threshold: float = 0.6, style: str = "document") -> DataFrame:
     """Predictions (grade, confidence, p_c, p_s, p_o) to review detections without a span."""
-    fmt = {"document": ("%.3f", " / probs=(", ", ", ")"), "cell": ("%.4f", " / ", " / ", "")}[style]
-    number, left, sep, right = fmt
+    digits, left, sep, right = {"document": (3, " / probs=(", ", ", ")"), "cell": (4, " / ", " / ", "")}[style]
     probs = F.concat(
-        F.lit(f"{left}C="), F.format_string(number, "p_c"), F.lit(f"{sep}S="),
-        F.format_string(number, "p_s"), F.lit(f"{sep}O="), F.format_string(number, "p_o"), F.lit(right))
+        F.lit(f"{left}C="), fixed(F.col("p_c"), digits), F.lit(f"{sep}S="),
+        fixed(F.col("p_s"), digits), F.lit(f"{sep}O="), fixed(F.col("p_o"), digits), F.lit(right))
     keys = [c for c in ("doc_id", "unit_no") if c in predictions.columns]
     return predictions.where((F.col("grade") != "O") & (F.col("confidence") >= threshold)).select(
         *keys,
@@ -283,7 +282,7 @@ def context_detections(predictions: DataFrame, threshold: float = 0.6, style: st
         F.concat(F.lit("AI_"), F.col("grade")).alias("sensitive_category"),
         F.concat(
             F.lit("AI 문장분류 grade="), F.col("grade"), F.lit(" / confidence="),
-            F.format_string("%.4f", "confidence"), F.lit(f" / threshold={threshold:.2f}"), probs,
+            fixed(F.col("confidence"), 4), F.lit(f" / threshold={threshold:.2f}"), probs,
         ).alias("reason"),
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.grades import GRADES
+from veilspark.functions.text import rounded
 
 
 def confusion_counts(df: DataFrame, truth: str = "truth", pred: str = "pred", by: Sequence[str] = ()) -> DataFrame:
@@ -50,15 +51,15 @@ def class_report(counts: DataFrame, labels: Sequence[str] = GRADES) -> DataFrame
 
 def grade_report(counts: DataFrame, labels: Sequence[str] = GRADES) -> DataFrame:
     return class_report(counts, labels).select(
-        "grade", "true_count", "correct_count", F.round("recall", 6).alias("recall"))
+        "grade", "true_count", "correct_count", rounded(F.col("recall"), 6).alias("recall"))
 
 
 def model_summary(counts: DataFrame, model: str = "model", labels: Sequence[str] = GRADES) -> DataFrame:
     """Per model: accuracy, recall per label, predicted labels (6 digits)."""
     hit = F.col("truth") == F.col("pred")
     return counts.groupBy(model).agg(
-        F.round(_ratio(_sum(hit), F.sum("n")), 6).alias("accuracy"),
-        *[F.round(_ratio(_sum(hit & (F.col("truth") == g)), _sum(F.col("truth") == g)), 6).alias(f"recall_{g}")
+        rounded(_ratio(_sum(hit), F.sum("n")), 6).alias("accuracy"),
+        *[rounded(_ratio(_sum(hit & (F.col("truth") == g)), _sum(F.col("truth") == g)), 6).alias(f"recall_{g}")
           for g in labels],
         *[_sum(F.col("pred") == g).alias(f"pred_{g}") for g in labels])
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.grades import GRADES
-from veilspark.functions.text import strip
+from veilspark.functions.text import fixed, rounded, strip
 
 # Feedback fields and the grades a user can choose (X: not sensitive at all).
 FEEDBACK = (
@@ -61,9 +61,9 @@ def overall_stats(feedback: DataFrame) -> DataFrame:
     t = F.col("total")
     return feedback.agg(*_counts()).select(
         "total", "agreements", "false_positives", (t - F.col("agreements")).alias("mismatches"),
-        F.round(F.try_divide("agreements", t), 3).alias("agreement_rate"),
-        F.round(F.try_divide("false_positives", t), 3).alias("false_positive_rate"),
-        F.round(F.try_divide(t - F.col("agreements"), t), 3).alias("mismatch_rate"))
+        rounded(F.try_divide("agreements", t), 3).alias("agreement_rate"),
+        rounded(F.try_divide("false_positives", t), 3).alias("false_positive_rate"),
+        rounded(F.try_divide(t - F.col("agreements"), t), 3).alias("mismatch_rate"))
 
 
 def store_stats(feedback: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def grouped_stats(feedback: DataFrame) -> DataFrame:
 def rate(count: Column, total: Column) -> Column:
     """``12.3%``, or ``N/A`` without any rows."""
     return F.when(total == 0, "N/A").otherwise(
-        F.concat(F.format_string("%.1f", count / total * 100), F.lit("%")))
+        F.concat(fixed(count / total * 100, 1, 55), F.lit("%")))
 
 
 def rate_report(stats: DataFrame) -> DataFrame:

@@ -347,9 +347,13 @@ def sheet_items(spark, sf):
         F.when(k % 8 == 1, "formula").when(k % 8 == 2, "number").when(k % 8 == 3, "empty").otherwise("string").alias("cell_type"),
         F.when(k % 8 == 4, F.lit("A1")).alias("merged_top_left"), F.when(k % 8 == 3, None).otherwise(F.col("text")).alias("text"))
     u = n.withColumn("loc", L.location(
-        fileType=F.lit("xlsx"), sheetName=F.when(k % 8 == 5, F.lit(None)).when(k % 8 == 6, F.lit("없는시트")).otherwise(F.lit("연락처")),
-        cellRef=F.when(k % 16 == 7, F.lit(None)).otherwise(ref))).withColumn("location_label", L.sheet_label(F.lit("연락처"), ref))
+        fileType=F.lit("xlsx"), sheetName=F.lit("연락처"), cellRef=ref)).withColumn("location_label", L.sheet_label(F.lit("연락처"), ref))
     t = deid_plan.plan_detections(detection.detection_rows(detection.detect_units(u, style="cell")))
+    # The plan is disturbed afterwards: cells without a full location would count as one location.
+    no = F.col("slot.unit_no")
+    t = t.withColumn("loc", F.when(no % 8 == 5, F.col("loc").withField("sheetName", F.lit(None).cast("string")))
+                     .when(no % 8 == 6, F.col("loc").withField("sheetName", F.lit("없는시트")))
+                     .when(no % 16 == 7, F.col("loc").withField("cellRef", F.lit(None).cast("string"))).otherwise(F.col("loc")))
     i = redaction.sheet_items(t, cells)
     return i.select(
         "doc_id", "location_label", "label", "action", "original_text", "applied_text", "status", "applied_target_count",
