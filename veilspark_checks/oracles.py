@@ -525,3 +525,159 @@ ORACLES["mining_cutoff"] = f"""WITH RECURSIVE {_mined()}
 SELECT min(score) AS min_priority, count(*) AS rows FROM (SELECT score FROM dec WHERE ctx ORDER BY score DESC LIMIT 100)"""
 ORACLES["mining_review_order"] = f"""WITH RECURSIVE {_mined()}
 SELECT source_file AS "sourceFile", CAST(unit_no AS INTEGER) AS unit_no, score AS "priorityScore", CAST(len(st) + len(sb) AS INTEGER) AS "strongKeywordCount", {_BAND} AS "priorityBand" FROM dec"""
+
+# --- curation -------------------------------------------------------------------------------------------------------------
+
+DIRTY = """dirty AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN ' #REF! ' WHEN doc_id % 50 = 1 THEN NULL ELSE
+  '① A/S ( 점검 ) / 목록 ◆ ( ) 값 1/2 /끝 .' || replace(replace(text, '. ', ' / '), ', ', ' ( ') END AS text FROM documents)"""
+_BULLETS = "[①-⓿\\x{f000}-\\x{f0ff}◯○●◦▪▫■□◆◇★☆※·∙•‣⁃◈◐◑]"
+# Slashes: those between letters or digits are parked on a private character while the others go.
+_PARKED = "regexp_replace(regexp_replace(b, '([A-Za-z0-9가-힣])/([A-Za-z0-9가-힣])', '\\1\\x{e000}\\2', 'g'), '([A-Za-z0-9가-힣])/([A-Za-z0-9가-힣])', '\\1\\x{e000}\\2', 'g')"
+CLEANED = f"""{DIRTY},
+c1 AS (SELECT doc_id, text, regexp_replace(nfc_normalize(text), '{_BULLETS}', ' ', 'g') AS b FROM dirty),
+c2 AS (SELECT doc_id, text, replace(replace({_PARKED.replace(chr(92) + 'x{e000}', chr(0xe000))}, '/', ' '), chr(57344), '/') AS b FROM c1),
+c3 AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '[\\r\\n\\t]', ' ', 'g'), '\\(\\s+', '(', 'g'), '\\s+\\)', ')', 'g'), '\\(\\s*\\)', '', 'g') AS b FROM c2),
+cleaned AS (SELECT doc_id, text AS raw, CASE WHEN text IS NULL THEN '' WHEN trim(text) IN ('#NAME?', '#REF!', '#VALUE!', '#DIV/0!', '#N/A') THEN '[CORRUPTED_EXCEL_FORMULA]'
+  ELSE regexp_replace(trim(regexp_replace(b, '\\s+', ' ', 'g')), '\\s+([.,)])', '\\1', 'g') END AS text FROM c3)"""
+ORACLES["clean_text"] = f"WITH {CLEANED} SELECT doc_id, text FROM cleaned"
+ORACLES["cleaning_counts"] = f"""WITH {CLEANED} SELECT count(*) AS rows, count(*) FILTER (text IS DISTINCT FROM raw) AS changed,
+  count(*) FILTER (text = '[CORRUPTED_EXCEL_FORMULA]') AS corrupted FROM cleaned"""
+ORACLES["document_profile"] = f"""WITH {DIRTY} SELECT 'doc_id' AS "column", count(*) FILTER (doc_id IS NULL) AS nulls FROM dirty
+UNION ALL SELECT 'text', count(*) FILTER (text IS NULL) FROM dirty"""
+ORACLES["text_lengths"] = "SELECT doc_id, CAST(length(text) AS INTEGER) AS text_length FROM documents"
+
+LABELLED = "lab AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in D.LABELLED_COLUMNS.items()) + " FROM labels l JOIN documents d USING (doc_id))"
+_FLAGS = ("has_personal", "has_sensitive_legal", "has_sensitive_business", "is_direct_sensitive_text", "is_document_sensitive_signal")
+_ISSUES = [(f"{f} NOT IN ('Y', 'N')", "R1", f"'{f} 값은 Y 또는 N이어야 합니다: ' || {f}") for f in _FLAGS] + [
+    ("cso_grade NOT IN ('C', 'S', 'O')", "R2", "'cso_grade 값은 C/S/O 중 하나여야 합니다: ' || cso_grade"),
+    ("is_direct_sensitive_text = 'Y' AND deidentify_method = '해당 없음'", "R3", "'is_direct_sensitive_text=Y이면 deidentify_method는 ''해당 없음''이면 안 됩니다.'"),
+    ("is_direct_sensitive_text = 'N' AND deidentify_method <> '해당 없음'", "R4", "'is_direct_sensitive_text=N이면 deidentify_method는 ''해당 없음''이어야 합니다.'"),
+    ("is_document_sensitive_signal = 'Y' AND indicated_sensitive_category = '해당 없음'", "R5",
+     "'is_document_sensitive_signal=Y이면 indicated_sensitive_category가 구체적으로 부여되어야 합니다.'"),
+    ("is_document_sensitive_signal = 'N' AND indicated_sensitive_category <> '해당 없음'", "R6",
+     "'is_document_sensitive_signal=N이면 indicated_sensitive_category는 ''해당 없음''이어야 합니다.'"),
+    ("(has_personal = 'Y' OR has_sensitive_legal = 'Y' OR has_sensitive_business = 'Y') AND cso_grade = 'O'", "R7",
+     "'has_* 플래그 중 하나라도 Y이면 cso_grade는 O이면 안 됩니다.'"),
+    ("cso_grade = 'O' AND is_direct_sensitive_text = 'Y'", "R8", "'cso_grade=O이면 is_direct_sensitive_text는 N이어야 합니다.'"),
+    ("has_personal = 'Y' AND has_sensitive_legal = 'N' AND has_sensitive_business = 'N' AND sensitive_category NOT IN ('성명', '연락처', '이메일', '사번', '성명/연락처')", "R9",
+     "'has_personal=Y 단독 문장은 sensitive_category가 개인정보 계열이어야 합니다.'"),
+]
+ORACLES["label_issues"] = f"WITH {LABELLED} " + " UNION ALL ".join(
+    f"SELECT id, '{r}' AS rule, {m} AS message, text FROM lab WHERE {c}" for c, r, m in _ISSUES)
+ORACLES["label_value_counts"] = f"WITH {LABELLED} " + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", {c} AS value, count(*) AS n FROM lab GROUP BY {c}""" for c in (*_FLAGS, "cso_grade"))
+ORACLES["top_categories"] = f"WITH {LABELLED} SELECT sensitive_category, count(*) AS n FROM lab GROUP BY 1 ORDER BY n DESC, 1 LIMIT 20"
+
+_WORDS = ("내부망", "서버 IP", "서버IP", "방화벽 정책", "방화벽", "취약점", "접근 권한", "접근권한", "계정", "비밀번호", "인증", "침해 탐지", "침해탐지")
+_SENSITIVE = ("계약정보", "예산/원가정보", "계획/전략정보", "감사/법무정보", "입찰평가", "입찰정보", "인사정보", "인사/조직정보", "운영/유지보수정보",
+              "장애/사고대응", "운용데이터", "단속/민원정보", "민원처리정보", "보안운영정보")
+REGRADED = f"""{LABELLED}, rw AS (SELECT *, list_filter([{', '.join(f"'{w}'" for w in _WORDS)}], lambda q: contains(text, q)) AS ws FROM lab),
+rg AS (SELECT *, cso_grade AS original_grade, CASE
+  WHEN sensitive_category IN ('일반업무', '분류설명') THEN ['O', 'O유지: 카테고리=' || sensitive_category]
+  WHEN has_sensitive_legal <> 'Y' AND has_personal <> 'Y' AND has_sensitive_business <> 'Y' THEN ['O', 'O자동: 민감 플래그 모두 N']
+  WHEN has_sensitive_legal = 'Y' THEN ['C', 'C유지: has_sensitive_legal=Y (cat=' || sensitive_category || ')']
+  WHEN sensitive_category IN ('건강정보', '복지정보') THEN ['C', 'C유지: 법령상 민감정보 (cat=' || sensitive_category || ')']
+  WHEN sensitive_category = '보안정보' AND len(ws) > 0 THEN ['C', 'C유지: 보안정보+키워드(' || array_to_string(ws[1:3], ', ') || ')']
+  WHEN sensitive_category = '보안정보' THEN ['S', 'S재분류: 보안정보(공격악용키워드없음)']
+  WHEN sensitive_category IN ({', '.join(f"'{c}'" for c in _SENSITIVE)}) THEN ['S', 'S재분류: ' || sensitive_category || CASE WHEN cso_grade <> 'S' THEN '(기존=' || cso_grade || ')' ELSE '' END]
+  ELSE [cso_grade, '원본유지: (cat=' || sensitive_category || ')'] END AS res FROM rw),
+regraded AS (SELECT *, res[1] AS label, res[2] AS remap_reason FROM rg)"""
+ORACLES["regraded_labels"] = f"WITH {REGRADED} SELECT id, original_grade, label, remap_reason FROM regraded"
+FEEDBACK = ("fb AS (SELECT *, \"userGrade\" IS NOT DISTINCT FROM \"aiGrade\" AS agree, \"userGrade\" = 'X' AS fp FROM (SELECT l.doc_id, "
+            + ", ".join(f'{e} AS "{n}"' for n, e in D.FEEDBACK_COLUMNS.items()) + " FROM labels l JOIN documents d USING (doc_id)) z)")
+ORACLES["merged_training_set"] = f"""WITH {REGRADED},{FEEDBACK}
+SELECT text, label, '0' AS augmented, 'privacy_v5' AS source, 'privacy_sentence_sample_v5.csv' AS "sourceFile", original_grade AS "originalGrade", has_personal AS "hasPersonal",
+  has_sensitive_legal AS "hasSensitiveLegal", has_sensitive_business AS "hasSensitiveBusiness", sensitive_category AS "sensitiveCategory", remap_reason AS "remapReason", note AS memo FROM regraded
+UNION ALL SELECT context, "userGrade", CASE WHEN doc_id % 3 = 0 THEN '1' ELSE '0' END, 'trainset', coalesce("fileType", ''), "userGrade", '', '', '', '', 'trainset_label', ''
+FROM fb WHERE "userGrade" IN ('C', 'S', 'O')"""
+ORACLES["regrade_audit"] = f"""WITH {REGRADED} SELECT original_grade, label, count(*) AS n, original_grade <> label AS changed,
+  round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 1)::DOUBLE AS share FROM regraded GROUP BY original_grade, label"""
+ORACLES["appended_rows"] = f"""WITH {LABELLED},{FEEDBACK} SELECT id, text, cso_grade FROM lab
+UNION ALL SELECT CAST((SELECT max(id::BIGINT) FROM lab) + row_number() OVER (ORDER BY doc_id) AS VARCHAR), context, 'O' FROM fb"""
+ORACLES["failed_expectations"] = f"""WITH {REGRADED}, want(text, expected) AS (VALUES ('en src1', 'C'), ('fr src2', 'O'), ('없는 문장', 'S')),
+have AS (SELECT text, arg_max(label, id) AS actual FROM regraded GROUP BY text)
+SELECT want.text, expected, actual FROM want LEFT JOIN have USING (text) WHERE expected IS DISTINCT FROM actual"""
+
+# --- models and evaluation ------------------------------------------------------------------------------------------------------
+
+ORACLES["char_ngram_counts"] = """
+WITH w AS (SELECT item_id, ' ' || unnest(list_filter(string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' '), lambda x: x <> '')) || ' ' AS p FROM benchmark),
+g AS (SELECT item_id, p, unnest([2, 3, 4]) AS n FROM w),
+t AS (SELECT item_id, unnest(list_transform(range(1, greatest(length(p) - n + 1, 1) + 1), lambda i: substr(p, i, n))) AS term FROM g WHERE n = 2 OR length(p) >= n)
+SELECT item_id, term, count(*) AS tf FROM t GROUP BY ALL"""
+ORACLES["whole_text_ngram_counts"] = """
+WITH w AS (SELECT item_id, regexp_replace(lower(text), '\\s\\s+', ' ', 'g') AS p FROM benchmark), g AS (SELECT item_id, p, unnest([2, 3, 4, 5]) AS n FROM w),
+t AS (SELECT item_id, unnest(list_transform(range(1, length(p) - n + 2), lambda i: substr(p, i, n))) AS term FROM g WHERE length(p) >= n)
+SELECT item_id, term, count(*) AS tf FROM t GROUP BY ALL"""
+
+
+def _words(source: str, key: str) -> str:
+    return f"""w AS (SELECT {key} AS id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_][\\p{{L}}\\p{{M}}\\p{{N}}_]+') AS ws FROM {source}),
+t AS (SELECT id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM w),
+tf AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL)"""
+
+
+ORACLES["word_ngram_counts"] = f"WITH {_words('conversations', 'conv_id * 1000 + turn')} SELECT * FROM tf"
+ORACLES["word_tfidf"] = f"""WITH {_words('documents', 'doc_id')}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS n FROM documents),
+raw AS (SELECT id, term, tf, tf * (ln((1.0 + n.n) / (1.0 + df)) + 1.0) AS r FROM tf JOIN df USING (term), n), norm AS (SELECT id, sqrt(sum(r * r)) AS z FROM raw GROUP BY id)
+SELECT id AS doc_id, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS tokens, round(sum(r / z), 6) AS weight_sum, round(max(r / z), 6) AS weight_max FROM raw JOIN norm USING (id) GROUP BY id"""
+ORACLES["keyword_features"] = f"WITH {MANUALS} SELECT line_no, " + ", ".join(
+    f"CAST(len({_role(r, 'line')}) AS INTEGER) AS kw_{r}" for r in ("strong_procedural", "s_business_sensitive", "ambiguous_action", "weak")) + " FROM ml"
+ORACLES["stratified_split"] = f"""WITH {REGRADED}, x AS (SELECT id, label, id::BIGINT % 11 = 0 AS aug FROM regraded WHERE label IN ('C', 'S', 'O')),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha256('42|' || id)) AS rn, count(*) OVER (PARTITION BY label) AS n FROM x WHERE NOT aug)
+SELECT id, label, CASE WHEN rn <= round(n * 0.2) THEN 'test' ELSE 'train' END AS part FROM r UNION ALL SELECT id, label, 'train' FROM x WHERE aug"""
+ORACLES["shuffled_split"] = """
+SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY sha256('42|' || doc_id)) <= greatest(1, floor((SELECT count(*) FROM documents) * 0.2)) THEN 'validation' ELSE 'train' END AS part FROM documents"""
+ORACLES["balanced_weights"] = f"""WITH {REGRADED}, x AS (SELECT id, label FROM regraded WHERE label IN ('C', 'S', 'O')), c AS (SELECT label, count(*) AS n FROM x GROUP BY label)
+SELECT id, label, round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n::DOUBLE), 6)::DOUBLE AS weight FROM x JOIN c USING (label)"""
+
+PAIRS = f"""{LINES},{hits_cte('lines')}, tr AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'C' WHEN quality = 0 THEN 'S' ELSE 'O' END AS truth FROM labels),
+gr AS (SELECT doc_id, max({_GRADE_RANK}) AS g FROM hits GROUP BY doc_id),
+pairs AS (SELECT t.doc_id, t.truth, CASE coalesce(g, 0) WHEN 3 THEN 'C' WHEN 2 THEN 'S' ELSE 'O' END AS pred,
+  CASE d.n_chars % 5 WHEN 0 THEN 'C' WHEN 1 THEN 'S' ELSE 'O' END AS pred_b FROM tr t JOIN documents d USING (doc_id) LEFT JOIN gr USING (doc_id)
+  WHERE EXISTS (SELECT 1 FROM lines l WHERE l.doc_id = t.doc_id))"""
+ORACLES["confusion_matrix"] = f"""WITH RECURSIVE {PAIRS} SELECT g AS true_grade, """ + ", ".join(
+    f"CAST(count(*) FILTER (truth = g AND pred_b = '{p}') AS BIGINT) AS pred_{p}" for p in "CSO") + " FROM (VALUES ('C'), ('S'), ('O')) v(g), pairs GROUP BY g"
+ORACLES["class_report"] = f"""WITH RECURSIVE {PAIRS}, c AS (SELECT g AS grade, count(*) FILTER (truth = g AND pred_b = g) AS correct_count, count(*) FILTER (truth = g) AS true_count,
+  count(*) FILTER (pred_b = g) AS pred_count FROM (VALUES ('C'), ('S'), ('O')) v(g), pairs GROUP BY g),
+r AS (SELECT *, CASE WHEN pred_count = 0 THEN 0.0::DOUBLE ELSE correct_count / pred_count::DOUBLE END AS p, CASE WHEN true_count = 0 THEN 0.0::DOUBLE ELSE correct_count / true_count::DOUBLE END AS rc FROM c)
+SELECT grade, correct_count, true_count, pred_count, round(p, 6) AS precision, round(rc, 6) AS recall, round(CASE WHEN p + rc = 0 THEN 0.0::DOUBLE ELSE 2 * p * rc / (p + rc) END, 6) AS f1 FROM r"""
+_MODELS = "two AS (SELECT 'rules' AS model, truth, pred FROM pairs UNION ALL SELECT 'length', truth, pred_b FROM pairs)"
+ORACLES["model_comparison"] = f"""WITH RECURSIVE {PAIRS},{_MODELS} SELECT model, printf('%.6f', count(*) FILTER (truth = pred) / count(*)::DOUBLE)::DOUBLE AS accuracy, """ + ", ".join(
+    f"printf('%.6f', count(*) FILTER (truth = '{g}' AND pred = '{g}') / count(*) FILTER (truth = '{g}')::DOUBLE)::DOUBLE AS recall_{g}" for g in "CSO") + ", " + ", ".join(
+    f"count(*) FILTER (pred = '{g}') AS pred_{g}" for g in "CSO") + " FROM two GROUP BY model"
+ORACLES["best_model"] = f"""WITH m AS ({ORACLES['model_comparison']}) SELECT model, accuracy FROM m ORDER BY accuracy DESC, model LIMIT 1"""
+ORACLES["misclassified_rows"] = f"""WITH RECURSIVE {PAIRS} SELECT doc_id, truth, pred, pred_b, CASE WHEN truth <> pred THEN 'Y' ELSE 'N' END AS pred_wrong,
+  CASE WHEN truth <> pred_b THEN 'Y' ELSE 'N' END AS pred_b_wrong FROM pairs WHERE truth <> pred OR truth <> pred_b"""
+ORACLES["missed_and_false_alarms"] = f"""WITH RECURSIVE {PAIRS} SELECT doc_id, CASE WHEN truth = 'O' THEN 'false_alarm' ELSE 'missed' END AS slice FROM pairs WHERE (truth = 'O') <> (pred_b = 'O')"""
+
+# --- feedback --------------------------------------------------------------------------------------------------------------------
+
+ORACLES["feedback_flags"] = f"""WITH {FEEDBACK} SELECT doc_id, "aiGrade", "userGrade", agree AS "isAgreement", fp AS "isFalsePositive",
+  CASE WHEN fp THEN 'false_positive' WHEN NOT agree THEN 'mismatch' ELSE 'agreement' END AS event FROM fb"""
+ORACLES["feedback_overall"] = f"""WITH {FEEDBACK}, c AS (SELECT count(*) AS total, count(*) FILTER (agree) AS agreements, count(*) FILTER (fp) AS false_positives FROM fb)
+SELECT *, total - agreements AS mismatches, printf('%.3f', agreements / total::DOUBLE)::DOUBLE AS agreement_rate, printf('%.3f', false_positives / total::DOUBLE)::DOUBLE AS false_positive_rate,
+  printf('%.3f', (total - agreements) / total::DOUBLE)::DOUBLE AS mismatch_rate FROM c"""
+_GROUPS = " UNION ALL ".join(
+    f"SELECT '{d}' AS dimension, {e} AS value, count(*) AS total, count(*) FILTER (agree) AS agreements, count(*) FILTER (fp) AS false_positives FROM fb GROUP BY 2"
+    for d, e in (("file_type", "coalesce(\"fileType\", 'unknown')"), ("ai_grade", "coalesce(\"aiGrade\", 'None')"), ("feedback_date", "feedback_date")))
+ORACLES["feedback_groups"] = f"WITH {FEEDBACK} {_GROUPS}"
+ORACLES["feedback_rates"] = f"""WITH {FEEDBACK}, g AS ({_GROUPS}) SELECT dimension, value, printf('%.1f', agreements / total::DOUBLE * 100) || '%' AS agreement,
+  printf('%.1f', false_positives / total::DOUBLE * 100) || '%' AS false_positive FROM g"""
+ORACLES["feedback_mismatches"] = f"""WITH {FEEDBACK} SELECT coalesce("aiGrade", '?') AS ai_grade, "userGrade" AS user_grade, coalesce("fileType", '?') AS file_type,
+  replace(substr(context, 1, 40), chr(10), ' ') AS context FROM fb WHERE NOT agree ORDER BY doc_id LIMIT 10"""
+_RETRAIN = f"""{FEEDBACK}, rt AS (SELECT *, trim(context) AS text, CASE WHEN agree THEN "aiGrade" WHEN fp THEN 'O' ELSE "userGrade" END AS label,
+  CASE WHEN agree THEN 'agreement' WHEN fp THEN 'fp_correction' ELSE 'grade_correction' END AS source FROM fb), rr AS (SELECT * FROM rt WHERE text <> '' AND label IN ('C', 'S', 'O'))"""
+ORACLES["retrain_set"] = f"""WITH {_RETRAIN} SELECT text, label, source, "fileType" AS file_type, feedback_date AS date FROM rr"""
+ORACLES["retrain_counts"] = f"""WITH {_RETRAIN} SELECT 'label' AS kind, label AS value, count(*) AS n FROM rr GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM rr GROUP BY 2"""
+ORACLES["feedback_latest"] = f"""WITH {FEEDBACK} SELECT doc_id, context FROM fb WHERE feedback_date = '2026-05-05' ORDER BY doc_id DESC LIMIT 5"""
+ORACLES["feedback_rejects"] = f"""WITH {FEEDBACK} SELECT CASE WHEN doc_id % 31 = 0 THEN 'locationLabel is required' WHEN doc_id % 37 = 0 THEN 'userGrade must be one of C, S, O, X'
+  WHEN doc_id % 43 = 0 THEN 'userGrade is required' ELSE '' END AS error, count(*) AS n FROM fb GROUP BY 1"""
+ORACLES["routed_files"] = """
+WITH p AS (SELECT p_partkey, '/in.v1/' || replace(p_name, ' ', '_') || CASE p_partkey % 7 WHEN 0 THEN '.XLSX' WHEN 1 THEN '.csv' WHEN 2 THEN '.docx' WHEN 3 THEN '.hwp' WHEN 4 THEN '' WHEN 5 THEN '.tar.pdf' ELSE '.pptx' END AS path,
+  CASE p_partkey % 7 WHEN 0 THEN 'xlsx' WHEN 1 THEN 'csv' WHEN 2 THEN 'docx' WHEN 5 THEN 'pdf' WHEN 6 THEN 'pptx' END AS file_type FROM part)
+SELECT *, CASE WHEN file_type IN ('xlsx', 'csv') THEN 'applied' WHEN file_type IS NOT NULL THEN 'guide' END AS apply_mode, CASE WHEN file_type IS NULL THEN 'UNSUPPORTED_FILE_TYPE' END AS error FROM p"""
+ORACLES["streamed_daily_feedback"] = """
+WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS feedback_date, CASE event_id % 3 WHEN 0 THEN 'C' WHEN 1 THEN 'S' ELSE 'O' END AS a,
+  CASE WHEN event_id % 5 = 0 THEN 'X' WHEN event_id % 5 = 1 THEN 'S' WHEN event_id % 5 = 2 THEN 'C' WHEN event_id % 17 = 3 THEN '?' ELSE 'O' END AS u, event_type FROM events)
+SELECT feedback_date, count(*) AS total, count(*) FILTER (a = u) AS agreements, count(*) FILTER (u = 'X') AS false_positives FROM e WHERE u <> '?' AND event_type IS NOT NULL GROUP BY 1"""
