@@ -12,23 +12,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilspark.functions.rules import Rule
+from veilspark.functions.rules import IDENTIFIER_RULES, MINING_RULES, Rule
 from veilspark.functions.text import let
 
 HIT = "struct<rule:string,label:string,value:string,start:int,`end`:int,grade:string,action:string,desc:string>"
 HITS = f"array<{HIT}>"
 
-# No rule can match without a decimal digit or an @ sign, except the ones in _NO_GATE.
+# None of these rules can match without a decimal digit or an @ sign; other rules are always tried.
 _GATE = r"(?U)[\d@]"
-_NO_GATE = {"account_like", "password_like"}
+_GATED = frozenset(r for r in (*IDENTIFIER_RULES, *MINING_RULES) if r.id not in ("account_like", "password_like"))
+
+
+def _split_rules(rules: Sequence[Rule]) -> tuple[list[Rule], list[Rule]]:
+    """(rules behind the gate, rules always tried).  Hits follow rule order, so the gate only covers a
+    leading stretch of the rules."""
+    n = next((i for i, r in enumerate(rules) if r not in _GATED), len(rules))
+    return list(rules[:n]), list(rules[n:])
 
 
 def no_hits() -> Column:
     return F.array().cast(HITS)
 
 
-def _spans(text: Column, pattern: str) -> Column:
-    """array<struct<value,start>> of one pattern, in text order."""
+def _pieces(text: Column, rule: Rule) -> Column:
+    """array<struct<gap,value>> of one rule; null where the rule does not hit."""
+    cut = F.arrays_zip(
+        F.split(text, rule.java, -1).alias("gap"),
+        F.regexp_extract_all(text, F.lit(rule.java), F.lit(0)).alias("value"))
+    return F.when(text.rlike(rule.java), cut)
+
+
+def _spans(pieces: Column) -> Column:
+    """array<struct<value,start>> in text order: each start is the running length of what came before."""
     zero = F.struct(
         F.lit(0).alias("pos"), F.array().cast("array<struct<value:string,start:int>>").alias("out")
     )
@@ -41,34 +56,39 @@ def _spans(text: Column, pattern: str) -> Column:
         )
 
     # The gap after the last match has no value and adds nothing.
-    pieces = F.filter(
-        F.arrays_zip(F.split(text, pattern, -1).alias("gap"),
-                     F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value")),
-        lambda p: p["value"].isNotNull())
-    return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
-
-
-def rule_hits(text: Column, rule: Rule) -> Column:
-    found = F.transform(
-        _spans(text, rule.java),
-        lambda s: F.struct(
-            F.lit(rule.id).alias("rule"),
-            F.lit(rule.label).alias("label"),
-            s["value"].alias("value"),
-            s["start"].alias("start"),
-            (s["start"] + F.length(s["value"])).alias("end"),
-            F.lit(rule.grade).alias("grade"),
-            F.lit(rule.action).alias("action"),
-            F.lit(rule.desc).alias("desc"),
-        ),
-    )
-    return F.when(text.rlike(rule.java), found).otherwise(no_hits())
+    return F.aggregate(F.filter(pieces, lambda p: p["value"].isNotNull()), zero, step, lambda acc: acc["out"])
+
+
+def _described(rules: Sequence[Rule]) -> Column:
+    """The rules' fixed fields as a literal array."""
+    def text(v: str) -> str:
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    return F.expr("array(" + ", ".join(
+        "named_struct(" + ", ".join(
+            f"'{n}', {text(v)}" for n, v in (
+                ("rule", r.id), ("label", r.label), ("grade", r.grade), ("action", r.action), ("desc", r.desc))) + ")"
+        for r in rules) + ")")
+
+
+def _hits_of(text: Column, rules: Sequence[Rule]) -> Column:
+    """Hits of all given rules, each rule's pieces turned into hits by one shared expression."""
+    about = _described(rules)
+
+    def per_rule(pieces: Column, n: Column) -> Column:
+        r = F.get(about, n)
+        return F.transform(_spans(pieces), lambda s: F.struct(
+            r["rule"].alias("rule"), r["label"].alias("label"), s["value"].alias("value"), s["start"].alias("start"),
+            (s["start"] + F.length(s["value"])).alias("end"), r["grade"].alias("grade"), r["action"].alias("action"),
+            r["desc"].alias("desc")))
+
+    each = F.transform(F.array(*[_pieces(text, r) for r in rules]), per_rule)
+    return F.flatten(F.filter(each, lambda h: h.isNotNull()))
 
 
 def may_hit(text: Column, rules: Sequence[Rule]) -> Column:
     """Compiled prefilter: true for every row on which some rule hits."""
-    gated = [r for r in rules if r.id not in _NO_GATE]
-    free = [r for r in rules if r.id in _NO_GATE]
+    gated, free = _split_rules(rules)
     cond = F.lit(False)
     for r in gated:
         cond = cond | text.rlike(r.java)
@@ -79,12 +99,9 @@ def may_hit(text: Column, rules: Sequence[Rule]) -> Column:
 
 
 def _all_hits(text: Column, rules: Sequence[Rule]) -> Column:
-    gated = [r for r in rules if r.id not in _NO_GATE]
-    free = [r for r in rules if r.id in _NO_GATE]
-    parts = F.when(
-        text.rlike(_GATE), F.flatten(F.array(*[rule_hits(text, r) for r in gated]))
-    ).otherwise(no_hits())
-    return F.concat(parts, *[rule_hits(text, r) for r in free]) if free else parts
+    gated, free = _split_rules(rules)
+    parts = F.when(text.rlike(_GATE), _hits_of(text, gated)).otherwise(no_hits()) if gated else no_hits()
+    return F.concat(parts, _hits_of(text, free)) if free else parts
 
 
 def pattern_hits(text: Column, rules: Sequence[Rule]) -> Column:
@@ -92,24 +109,29 @@ def pattern_hits(text: Column, rules: Sequence[Rule]) -> Column:
     return let(text, lambda t: _all_hits(t, rules))
 
 
-def _same_span(a: Column, b: Column) -> Column:
-    return (a["start"] == b["start"]) & (a["end"] == b["end"])
-
-
 def identifier_hits(
     text: Column, base: Sequence[Rule], extra: Sequence[Rule], check_base: bool = True
 ) -> Column:
     """Base hits, then those extra hits whose exact span is not taken yet.
 
-    ``check_base=False`` compares the extra hits only with each other (the first mining policy)."""
-    def merge(b: Column) -> Column:
-        def unique(e: Column) -> Column:
-            def free(x: Column, i: Column) -> Column:
-                ok = ~F.exists(F.slice(e, F.lit(1), i), lambda o: _same_span(o, x))
-                return ok & ~F.exists(b, lambda o: _same_span(o, x)) if check_base else ok
+    ``check_base=False`` compares the extra hits only with each other (the first mining policy).
+    Sorting by span brings equal spans together, so each hit only looks at its neighbour."""
+    def tagged(hits: Column, further: bool) -> Column:
+        return F.transform(hits, lambda h, i: F.struct(
+            h["start"].alias("s"), h["end"].alias("e"), F.lit(further).alias("x"), i.alias("i"), h.alias("h")))
+
+    def same_span(a: Column, b: Column) -> Column:
+        return F.coalesce((a["s"] == b["s"]) & (a["e"] == b["e"]), F.lit(False))
 
-            return F.concat(b, F.filter(e, free))
+    def first_of_span(hits: Column) -> Column:
+        return let(F.array_sort(hits), lambda hs: F.filter(
+            hs, lambda h, i: ~h["x"] | ~same_span(F.get(hs, i - 1), h)))
 
-        return let(pattern_hits(text, extra), unique)
+    def in_order(hits: Column) -> Column:
+        keyed = F.transform(hits, lambda h: F.struct(h["x"].alias("x"), h["i"].alias("i"), h["h"].alias("h")))
+        return F.transform(F.array_sort(keyed), lambda h: h["h"])
 
-    return let(pattern_hits(text, base), merge)
+    found, more = tagged(pattern_hits(text, base), False), tagged(pattern_hits(text, extra), True)
+    if check_base:
+        return let(in_order(first_of_span(F.concat(found, more))), lambda h: h)
+    return let(in_order(F.concat(found, first_of_span(more))), lambda h: h)

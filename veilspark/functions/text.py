@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The white-space characters and the line ends of the texts handled here.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
@@ -87,23 +89,30 @@ def label_with_context(base: Column, context: Column, max_length: int = 30) -> C
     )
 
 
-def fixed(x: Column, digits: int, bits: int = 60) -> Column:
-    """``x`` with a fixed number of decimals, rounded on its exact binary value, half to even.
+# Powers of two that turn a double of each size into an exact integer below 2 ** 63.
+_SCALES = ((4.0, 55), (2.0 ** -8, 60), (2.0 ** -15, 70), (0.0, 77))
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """``x`` (0 <= x < 256, up to six digits) with a fixed number of decimals, rounded on its exact
+    binary value, half to even.
 
     ``format_string`` and ``round`` work on the shortest decimal form and round halves up, which
-    differs on ties.  ``bits`` scales x to an integer; x must stay below 2 ** (63 - bits)."""
+    differs on ties."""
     x = x.cast("double")
-    unit = F.lit(2 ** bits).cast("decimal(20,0)")
-    scaled = (x * F.lit(float(2 ** bits))).cast("bigint").cast("decimal(20,0)") * F.lit(10 ** digits).cast("decimal(12,0)")
+    factor, unit = F.lit(None).cast("double"), F.lit(None).cast("decimal(24,0)")
+    for least, bits in reversed(_SCALES):
+        factor = F.when(x >= least, F.lit(2.0 ** bits)).otherwise(factor)
+        unit = F.when(x >= least, F.lit(Decimal(2 ** bits)).cast("decimal(24,0)")).otherwise(unit)
+    scaled = (x * factor).cast("bigint").cast("decimal(20,0)") * F.lit(10 ** digits).cast("decimal(8,0)")
     whole, rest = F.call_function("div", scaled, unit), (scaled % unit) * F.lit(2).cast("decimal(1,0)")
-    up = (rest > unit) | ((rest == unit) & (whole % 2 == 1))
-    n = whole + F.when(up, 1).otherwise(0)
+    n = whole + F.when((rest > unit) | ((rest == unit) & (whole % 2 == 1)), 1).otherwise(0)
     return F.concat(
         F.floor(n / (10 ** digits)).cast("string"), F.lit("."), F.lpad((n % (10 ** digits)).cast("string"), digits, "0"))
 
 
-def rounded(x: Column, digits: int, bits: int = 60) -> Column:
-    return fixed(x, digits, bits).cast("double")
+def rounded(x: Column, digits: int) -> Column:
+    return fixed(x, digits).cast("double")
 
 
 def hangul_share(c: Column) -> Column:
@@ -111,7 +120,7 @@ def hangul_share(c: Column) -> Column:
     return F.length(F.regexp_replace(c, "[^가-힣]", "")) / F.length(c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
 

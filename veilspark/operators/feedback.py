@@ -94,7 +94,7 @@ def grouped_stats(feedback: DataFrame) -> DataFrame:
 def rate(count: Column, total: Column) -> Column:
     """``12.3%``, or ``N/A`` without any rows."""
     return F.when(total == 0, "N/A").otherwise(
-        F.concat(fixed(count / total * 100, 1, 55), F.lit("%")))
+        F.concat(fixed(count / total * 100, 1), F.lit("%")))
 
 
 def rate_report(stats: DataFrame) -> DataFrame:

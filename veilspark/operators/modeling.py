@@ -15,7 +15,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.grades import GRADES
@@ -38,25 +38,25 @@ def word_bounded_ngrams_sql(text: str, lo: int = 2, hi: int = 4) -> str:
     return f"flatten(flatten(transform(transform({words}, w -> concat(' ', w, ' ')), p -> {grams})))"
 
 
+def _joined_runs(items: str, sep: str, lo: int, hi: int) -> str:
+    """Runs of lo..hi neighbouring items joined with ``sep``.  Items are addressed by index: taking
+    slices or substrings of a long text would make every run cost the whole text."""
+    return (
+        f"flatten(transform(array({items}), xs -> flatten(transform(sequence({lo}, {hi}), n -> "
+        "if(size(xs) < n, cast(array() as array<string>), transform(sequence(0, greatest(size(xs) - n, 0)), "
+        f"i -> array_join(transform(sequence(0, n - 1), j -> get(xs, i + j)), '{sep}')))))))"
+    )
+
+
 def char_ngrams_sql(text: str, lo: int = 2, hi: int = 5) -> str:
     """Character n-grams of the whole text, white-space runs counted as one space."""
-    t = rf"regexp_replace(lower({text}), '(?U)\\s\\s+', ' ')"
-    grams = (
-        f"flatten(transform(sequence({lo}, {hi}), n -> if(length(t) < n, cast(array() as array<string>), "
-        "transform(sequence(1, greatest(length(t) - n + 1, 1)), i -> substring(t, i, n)))))"
-    )
-    return f"flatten(transform(array({t}), t -> {grams}))"
+    chars = rf"filter(split(regexp_replace(lower({text}), '(?U)\\s\\s+', ' '), ''), c -> c != '')"
+    return _joined_runs(chars, "", lo, hi)
 
 
 def word_ngrams_sql(text: str, lo: int = 1, hi: int = 2) -> str:
     """Words of at least two characters, single and in sequences."""
-    words = rf"regexp_extract_all(lower({text}), '(?U)\\b\\w\\w+\\b', 0)"
-    grams = (
-        f"flatten(transform(sequence({lo}, {hi}), n -> if(size(ws) < n, cast(array() as array<string>), "
-        "transform(sequence(1, greatest(size(ws) - n + 1, 1)), i -> concat_ws(' ', slice(ws, i, n))))))"
-    )
-    # The word list is bound once by wrapping it in an array of one.
-    return f"flatten(transform(array({words}), ws -> {grams}))"
+    return _joined_runs(rf"regexp_extract_all(lower({text}), '(?U)\\b\\w\\w+\\b', 0)", " ", lo, hi)
 
 
 TOKENS = {"char_wb": word_bounded_ngrams_sql, "char": char_ngrams_sql, "word": word_ngrams_sql}
@@ -78,8 +78,9 @@ def tfidf(df: DataFrame, key: str, text: str = "text", kind: str = "char_wb") ->
     idf = dfreq.join(F.broadcast(n), "_j").select(
         "term", "df", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
     raw = tf.join(idf, "term").withColumn("raw", F.col("tf") * F.col("idf"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, key).select(key, "term", "tf", "df", (F.col("raw") / F.col("norm")).alias("weight"))
+    # A window instead of a second pass joined back: the terms of one text are bounded by it.
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", "tf", "df", (F.col("raw") / norm).alias("weight"))
 
 
 def keyword_counts(df: DataFrame, pack: KeywordPack, text: str = "text") -> DataFrame:
@@ -218,7 +219,7 @@ class MarginGradeModel(GradeModel):
             svc = LinearSVC(featuresCol="features", labelCol="y", weightCol="weight", maxIter=max_iter,
                             regParam=1.0 / n, standardization=False).fit(fit_on.withColumn("y", target))
             margins = self._margin(svc, held.withColumn("y", target))
-            curve = LogisticRegression(featuresCol="margin", labelCol="y").fit(margins)
+            curve = LogisticRegression(featuresCol="margin", labelCol="y").fit(margins.select("margin", "y"))
             self.models.append((svc, float(curve.coefficients[0]), float(curve.intercept)))
         return self
 

@@ -6,6 +6,7 @@ import pandas as pd
 import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from veilspark.functions.grades import top_grade_in
 from veilspark.functions.location import BASE_LABELS, guide_gap, guide_key
@@ -242,7 +243,7 @@ def apply_plan(targets: DataFrame, deletion_mode: str = "delete") -> DataFrame:
     )
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _nfc_each(s: pd.Series) -> pd.Series:
     return s.map(lambda a: [None if v is None else unicodedata.normalize("NFC", v) for v in a],
                  na_action="ignore")

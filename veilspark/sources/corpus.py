@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.keywords import KeywordPack, pack_from_config
 from veilspark.functions.text import unify_line_ends
+from veilspark.sources.tables import plain_path
 
 try:
     import yaml
@@ -18,14 +19,14 @@ except ImportError:  # JSON configurations still work
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(source_file, content) of the ``*.md`` files below a directory; broken UTF-8 is replaced."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(path).select(
-        F.col("_metadata.file_name").alias("source_file"),
+    return spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True).select(
+        plain_path(F.col("_metadata.file_name")).alias("source_file"),
         unify_line_ends(F.make_valid_utf8("value")).alias("content"))
 
 
 def read_keywords(spark: SparkSession, path: str) -> KeywordPack:
     """Keyword pack from a YAML or JSON file.  The file is configuration: one row on the driver."""
-    body = spark.read.option("wholetext", True).text(path).first()["value"]
+    body = spark.read.text(path, wholetext=True).first()["value"]
     if yaml is not None:
         return pack_from_config(yaml.safe_load(body) or {})
     try:

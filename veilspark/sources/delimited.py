@@ -14,6 +14,7 @@ from veilspark.functions.rules import IDENTIFIER_RULES
 from veilspark.operators.deid_plan import auto_targets
 from veilspark.operators.detection import pattern_detections
 from veilspark.operators.redaction import apply_to_text
+from veilspark.sources.tables import plain_path
 
 # Delimiters in order of preference.
 DELIMITERS = (",", "\t", ";", "|")
@@ -34,7 +35,7 @@ def profile_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     and reduced on the map side, so no file has to fit into one row.  The delimiter is the candidate
     that occurs most in the first line, comma if none does."""
     lines = spark.read.text(list(paths) if not isinstance(paths, str) else paths).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        plain_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"), "value")
     per_file = lines.groupBy("path").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_and(_fits_cp949(F.col("value"))).alias("cp949"),
@@ -70,7 +71,7 @@ def read_delimited(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
             if len(df.columns) > 1 else F.lit(1)
         cells = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in df.columns])
         parts.append(df.select(
-            F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("pos"),
+            plain_path(F.col("_metadata.file_path")).alias("path"), F.monotonically_increasing_id().alias("pos"),
             F.slice(cells, F.lit(1), width).alias("cells")))
     if not parts:
         return spark.createDataFrame([], "path string, row_no int, cells array<string>")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.operators.feedback import FEEDBACK
+from veilspark.sources.tables import plain_path
 
 
 def read_feedback(
@@ -18,14 +19,15 @@ def read_feedback(
     df = (
         spark.read.schema(FEEDBACK + ", _corrupt_record string").option("multiLine", True)
         .option("mode", "PERMISSIVE").option("pathGlobFilter", "feedback_*.json").json(path)
-        .withColumn("feedback_date", F.regexp_extract(F.col("_metadata.file_name"), r"^feedback_(.*)\.json$", 1))
+        .withColumn("feedback_date", F.regexp_extract(plain_path(F.col("_metadata.file_name")), r"^feedback_(.*)\.json$", 1))
         .withColumn("arrival", F.monotonically_increasing_id())
     )
     if date_from:
         df = df.where(F.col("feedback_date") >= date_from)
     if date_to:
         df = df.where(F.col("feedback_date") <= date_to)
-    return df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    # A broken file arrives as one row without any field; a row with one odd field keeps the others.
+    return df.where(F.col("_corrupt_record").isNull() | F.col("userGrade").isNotNull()).drop("_corrupt_record")
 
 
 def read_feedback_store(spark: SparkSession, path: str) -> DataFrame:

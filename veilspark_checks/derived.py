@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.sources.tables import spread
+
 _K = "c_custkey"
 
 
@@ -97,8 +99,13 @@ FEEDBACK_COLUMNS = {
 }
 
 
+# Row keys of the tables whose texts are worked on.
+_SPREAD = {"documents": "doc_id", "customer": "c_custkey", "part": "p_partkey", "conversations": "conv_id", "benchmark": "item_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, _SPREAD[name]) if name in _SPREAD else df
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
