@@ -15,6 +15,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,11 +193,14 @@ class LogisticGradeModel(GradeModel):
     """Multinomial logistic regression with balanced class weights."""
 
     def fit(self, train: DataFrame, max_iter: int = 100) -> LogisticGradeModel:
-        data = _indexed(with_balanced_weight(self._prepare(train)))
+        # Tokens and vectors are made once; counting, weighting and every iteration read the stored rows.
+        prepared = self._prepare(train).select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
+        data = _indexed(with_balanced_weight(prepared))
         n = max(data.count(), 1)
         self.model = LogisticRegression(
             featuresCol="features", labelCol="y", weightCol="weight", family="multinomial", maxIter=max_iter,
             regParam=1.0 / n, standardization=False).fit(data)
+        prepared.unpersist()
         return self
 
     def score(self, df: DataFrame) -> DataFrame:
@@ -209,7 +213,8 @@ class MarginGradeModel(GradeModel):
     each margin into a probability and the three are scaled to sum 1."""
 
     def fit(self, train: DataFrame, key: str, max_iter: int = 50, holdout: float = 0.2) -> MarginGradeModel:
-        parts = stratified_split(self._prepare(train), key, share=holdout, augmented=None)
+        prepared = self._prepare(train).select(key, "label", "features").persist(StorageLevel.MEMORY_AND_DISK)
+        parts = stratified_split(prepared, key, share=holdout, augmented=None)
         fit_on = with_balanced_weight(parts.where(F.col("part") == "train"))
         held = parts.where(F.col("part") == "test")
         n = max(fit_on.count(), 1)
@@ -221,6 +226,7 @@ class MarginGradeModel(GradeModel):
             margins = self._margin(svc, held.withColumn("y", target))
             curve = LogisticRegression(featuresCol="margin", labelCol="y").fit(margins.select("margin", "y"))
             self.models.append((svc, float(curve.coefficients[0]), float(curve.intercept)))
+        prepared.unpersist()
         return self
 
     @staticmethod
@@ -244,7 +250,7 @@ class MarginGradeModel(GradeModel):
 
 def train_grade_model(
     train: DataFrame, variant: str = "lr_char", key: str = "id", pack: KeywordPack | None = None,
-    vocab_size: int = 1 << 18,
+    vocab_size: int = 1 << 18, max_iter: int = 100,
 ) -> GradeModel:
     """Variants: ``lr_char`` (logistic on word-bounded n-grams), ``svc_char``, ``svc_char_word``,
     ``svc_char_word_keyword``, ``lr_text_char`` (logistic on whole-text n-grams)."""
@@ -256,5 +262,5 @@ def train_grade_model(
     data = keyword_counts(train, with_keywords) if with_keywords is not None else train
     features = fit_features(data, kinds, with_keywords, vocab_size=vocab_size)
     if variant.startswith("lr"):
-        return LogisticGradeModel(features, with_keywords).fit(train)
-    return MarginGradeModel(features, with_keywords).fit(train, key)
+        return LogisticGradeModel(features, with_keywords).fit(train, max_iter)
+    return MarginGradeModel(features, with_keywords).fit(train, key, max_iter)
