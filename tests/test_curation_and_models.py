@@ -1,3 +1,6 @@
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions.keywords import KeywordPack
@@ -72,18 +75,24 @@ def test_tokens(spark):
 
 def labelled(spark):
     kinds = {"C": ["복구 절차와 카드 리셋 순서", "보호장치 해제 절차"], "S": ["계약 단가와 견적 금액", "업체 평가 결과 보고"], "O": ["회의 일정을 안내합니다", "식당 메뉴를 안내합니다"]}
-    rows = [(i * 6 + j, f"{t} {i}호", g, "0") for i in range(12) for j, (g, t) in enumerate((g, t) for g, ts in kinds.items() for t in ts)]
+    rows = [(i * 6 + j, f"{t} {i}호", g, "0") for i in range(8) for j, (g, t) in enumerate((g, t) for g, ts in kinds.items() for t in ts)]
     return spark.createDataFrame(rows, "id long, text string, label string, augmented string")
 
 
-def test_models_learn_separable_grades(spark):
+def test_logistic_model_learns_separable_grades(spark):
+    model = ML.train_grade_model(labelled(spark), "lr_char", max_iter=10, vocab_size=300)
+    probe = spark.createDataFrame([("회의 메뉴를 안내합니다", "O"), ("복구 절차와 카드 리셋", "C"), ("계약 단가", "S")], "text string, label string")
+    scored = model.score(probe).collect()
+    assert all(r.pred == r.label and abs(r.p_c + r.p_s + r.p_o - 1) < 1e-6 for r in scored)
+
+
+@pytest.mark.skipif(not os.environ.get("RUN_SLOW"), reason="three margin models take minutes in local mode")
+def test_model_variants_are_compared(spark):
     pack = KeywordPack(roles={"strong_procedural": ["복구 절차"], "s_business_sensitive": ["단가"], "weak": ["안내"]})
-    counts, models = flows.compare_models(labelled(spark), ("lr_char", "svc_char_word_keyword"), pack=pack, vocab_size=500, max_iter=8)
+    counts, models = flows.compare_models(labelled(spark), ("lr_char", "svc_char_word_keyword"), pack=pack, vocab_size=300, max_iter=8)
     summary = E.model_summary(counts).collect()
     assert len(summary) == 2 and all(r.accuracy > 0.95 for r in summary)
     assert E.best_model(E.model_summary(counts)).count() == 1
-    scored = models["lr_char"].score(labelled(spark)).first()
-    assert abs(scored.p_c + scored.p_s + scored.p_o - 1) < 1e-6
     probe = spark.createDataFrame([("회의 메뉴를 안내합니다",)], "text string")
     assert E.regressions(models["lr_char"].score(probe)).count() == 0
 
@@ -91,7 +100,7 @@ def test_models_learn_separable_grades(spark):
 def test_augmented_rows_never_reach_the_test_part(spark):
     df = labelled(spark).withColumn("augmented", F.when(F.col("id") % 4 == 0, "1").otherwise("0"))
     out = ML.stratified_split(df, "id")
-    assert out.count() == 72 and out.where("part = 'test' and augmented = '1'").count() == 0
+    assert out.count() == 48 and out.where("part = 'test' and augmented = '1'").count() == 0
 
 
 def test_reports_have_all_labels(spark):

@@ -224,7 +224,7 @@ class MarginGradeModel(GradeModel):
             svc = LinearSVC(featuresCol="features", labelCol="y", weightCol="weight", maxIter=max_iter,
                             regParam=1.0 / n, standardization=False).fit(fit_on.withColumn("y", target))
             margins = self._margin(svc, held.withColumn("y", target))
-            curve = LogisticRegression(featuresCol="margin", labelCol="y").fit(margins.select("margin", "y"))
+            curve = LogisticRegression(featuresCol="margin", labelCol="y", maxIter=25).fit(margins.select("margin", "y"))
             self.models.append((svc, float(curve.coefficients[0]), float(curve.intercept)))
         prepared.unpersist()
         return self
