@@ -10,13 +10,20 @@ from pyspark.sql import functions as F
 from veilspark.llm.shared import add_columns
 
 _LETTER = regex.compile(r"\p{L}")
+#: ASCII bytes that are no letters become blanks; marks, digits and separators say nothing about a language.
+_TABLE = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256))
+
+
+def plain(text: str) -> bytes:
+    """The whole text, lower-cased, ASCII letters and non-ASCII characters only, with single blanks between."""
+    return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_TABLE).split())
 
 
 def learn_dictionaries(
     labelled: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", rows: int = 600, excerpt: int = 1000,
     most_languages: int = 200,
 ) -> dict[str, bytes]:
-    """A raw-content dictionary per language: excerpts of labelled rows, lower-cased, one after another.
+    """A raw-content dictionary per language: excerpts of labelled rows in plain form, one after another.
 
     The sample is bounded by parameters and documented: about ``rows`` rows of each of the ``most_languages`` most frequent
     labels, chosen by hash of id and text, and ``excerpt`` characters of each.  Only the label is counted over all rows;
@@ -31,10 +38,10 @@ def learn_dictionaries(
         known.where(F.coalesce(chance < share, F.lit(False))).select(F.col(lang), F.left(F.col(text), F.lit(excerpt)).alias("t"), chance.alias("c"))
         .orderBy("c", "t").limit(2 * rows * len(counts)).collect()
     )
-    out: dict[str, list[str]] = {k: [] for k in counts}
+    out: dict[str, list[bytes]] = {k: [] for k in counts}
     for k, t, _ in sample:
-        out[k].append(t.lower())
-    return {k: "\n".join(v).encode("utf-8", "surrogatepass") for k, v in sorted(out.items()) if v}
+        out[k].append(plain(t))
+    return {k: b" ".join(v) for k, v in sorted(out.items()) if v}
 
 
 def identify_language(
@@ -42,7 +49,7 @@ def identify_language(
 ) -> DataFrame:
     """``documents`` with ``lang_pred``, ``score`` and ``rejected``.
 
-    Each whole lower-cased text is compressed with every language's zstandard dictionary; the smallest result names the
+    Each whole text, in plain form, is compressed with every language's zstandard dictionary; the smallest result names the
     language, at a tie the first name.  ``score`` (0 to 1) is the share of bytes saved against the second best language.
     ``rejected`` is set where this margin is at most ``margin``, and for texts without a letter.  Null texts, and texts
     without a letter, are ``unknown`` with score 0; with one learned language every other text gets it with score 1, with
@@ -67,7 +74,7 @@ def identify_language(
             if not models or not t or not _LETTER.search(t):
                 name, score = unknown, 0.0
             else:
-                data = t.lower().encode("utf-8", "surrogatepass")
+                data = plain(t)
                 sizes = sorted((len(c.compress(data)), k) for k, c in models)
                 name = sizes[0][1]
                 score = (sizes[1][0] - sizes[0][0]) / sizes[1][0] if len(sizes) > 1 else 1.0

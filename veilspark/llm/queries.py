@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from veilspark.llm.decontamination import mark_hits
 from veilspark.llm.language_id import identify_language, learn_dictionaries
 from veilspark.llm.line_dedup import dedup_lines
+from veilspark.llm.lm_scoring import count_corpus, score_texts
+from veilspark.llm.ngram_join import jaccard_components
 from veilspark.llm.packing import pack
 from veilspark.llm.shared import shared_folder
 from veilspark.llm.url_filter import judge_urls
+from veilspark.llm.vector_dedup import near_duplicate_vectors
 from veilspark.llm.warc_archive import read_archive, write_archive
 
 #: Fixed by the query's contract.
@@ -27,6 +30,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
@@ -42,6 +49,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(documents).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -59,6 +70,14 @@ def learning_rows(documents: DataFrame, parts: int, left_out: int, keep: bool =
     return documents.where(is_out if keep else ~is_out)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = count_corpus(learning_rows(documents, 10, 0))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
+    return score_texts(documents, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     dictionaries = learn_dictionaries(learning_rows(documents, 4, 2))
@@ -69,11 +88,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_url_filter": op2_url_filter,
     "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
+    "op5_vector_dedup": op5_vector_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_warc_archive": op7_warc_archive,
+    "op8_lm_scoring": op8_lm_scoring,
     "op10_language_id": op10_language_id,
 }
 

@@ -73,6 +73,30 @@ def add_columns(df: DataFrame, added: str, fn: Callable[[pa.RecordBatch], dict],
     return kept.mapInArrow(run, schema)
 
 
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[dict[str, list]]:
+    """Groups of equal ``keys`` of rows that come sorted by them, as lists per column; one group is held at a time."""
+    held: dict[str, list] = {}
+    last = None
+    for b in batches:
+        rows = b.to_pydict()
+        own = list(zip(*(rows[k] for k in keys)))
+        lo = 0
+        while lo < len(own):
+            hi = lo + 1
+            while hi < len(own) and own[hi] == own[lo]:
+                hi += 1
+            if held and own[lo] != last:
+                yield held
+                held = {}
+            if not held:
+                held, last = {c: [] for c in rows}, own[lo]
+            for c in rows:
+                held[c] += rows[c][lo:hi]
+            lo = hi
+    if held:
+        yield held
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id reachable over ``edges``; ids without an edge are absent.
 
