@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -15,31 +16,57 @@ from veilspark.llm.shared import map_batches, saved
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
+def _byte_signs() -> dict[int, int]:
+    """Characters of a byte-level model: printable Latin-1 bytes stand for themselves, the others follow from 256 on."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_BYTE_SIGNS = _byte_signs()
+
+
 class WordIds:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Token ids of whole texts as little-endian unsigned 32-bit bytes, for a tokenizer of this kind: lower case, white space
+    dropped, and a merge model over runs of letters, single digits and runs of other signs, with marked word ends.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its blank- and
-    newline-separated words one after another.  Short words are remembered, up to ``most`` of them at a time; other white
-    space stays inside a word and is left to the tokenizer."""
+    Nothing is joined across white space, so a text's ids are those of its blank- and newline-separated words one after
+    another, and a plain word's ids are those of its runs.  Words with apostrophes (contractions are runs of their own),
+    special tokens, unprintable or further letters are left to the tokenizer as they are.  What is remembered has a bound."""
 
-    def __init__(self, file: str, most: int = 300_000):
+    def __init__(self, file: str, most: int = 500_000):
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(file), most, {}
+        self.tokenizer, self.most = Tokenizer.from_file(file), most
+        self.model = self.tokenizer.model
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.runs = regex.compile(r"\p{L}+|\p{N}|[^\p{L}\p{N}]+").findall
+
+    def _run(self, run: str) -> bytes:
+        found = self.parts.get(run)
+        if found is None:
+            # The model reads UTF-8 bytes, each as one character.
+            shown = run if run.isascii() else run.encode().decode("latin-1").translate(_BYTE_SIGNS)
+            ids = [t.id for t in self.model.tokenize(shown)]
+            found = self.parts[run] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+    def _word(self, word: str) -> bytes:
+        if word.isprintable() and "'" not in word and "<|" not in word and max(word, default="") < "\u0100":
+            return b"".join(map(self._run, self.runs(word.lower())))
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:
-        known, words = self.known, text.replace("\n", " ").split(" ")
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
-        out = b"".join([known[w] for w in words])
-        if new and len(known) > self.most:
+        words = text.replace("\n", " ").split(" ")
+        known = self.known
+        if len(known) > self.most or len(self.parts) > self.most:
             known.clear()
-        return out
+            self.parts.clear()
+        for w in set(words).difference(known):
+            known[w] = self._word(w)
+        return b"".join([known[w] for w in words])
 
 
 def tokenized(documents: DataFrame, file: str, end: int | None = 1, id: str = "doc_id", text: str = "text") -> DataFrame:
