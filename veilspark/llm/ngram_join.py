@@ -238,8 +238,9 @@ def jaccard_components(
         .select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
         .join(pairs, ["a", "b"], "left_anti")
     )
-    more = _verified(saved(rest), classes, source, ordered, n, percent, group)
-    comp = components(links.union(more))
+    rest = saved(rest)
+    if not rest.isEmpty():
+        comp = components(links.union(_verified(rest, classes, source, ordered, n, percent, group)))
 
     grouped = rows.join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("g", F.coalesce("component", "cls"))
     least = classes.join(comp.withColumnRenamed("id", "cls"), "cls", "left").groupBy(

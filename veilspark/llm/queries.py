@@ -12,6 +12,7 @@ from veilspark.llm.lm_scoring import count_corpus, score_texts
 from veilspark.llm.ngram_join import jaccard_components
 from veilspark.llm.packing import pack
 from veilspark.llm.shared import shared_folder
+from veilspark.llm.suffix_dedup import remove_repeats
 from veilspark.llm.url_filter import judge_urls
 from veilspark.llm.vector_dedup import near_duplicate_vectors
 from veilspark.llm.warc_archive import read_archive, write_archive
@@ -78,6 +79,11 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     dictionaries = learn_dictionaries(learning_rows(documents, 4, 2))
@@ -96,6 +102,7 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_warc_archive": op7_warc_archive,
     "op8_lm_scoring": op8_lm_scoring,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_language_id": op10_language_id,
 }
 

@@ -107,7 +107,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).distinct()
     )
     before = None
-    while True:
+    while not cur.isEmpty():
         # Large star: every larger neighbour is linked to the vertex's minimum.
         both = cur.select("v", "u").union(cur.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
