@@ -134,7 +134,9 @@ class LanguageModel:
         self.table, self.shards, self.base, self.weight = table, shards, base, weight
         row = table.where("kind = 0").agg(F.sum("total"), F.sum("distinct")).first()
         self.tokens, self.types = int(row[0] or 0), int(row[1] or 0)
-        self.bytes = int(table.agg(F.sum(F.octet_length("keys") + F.octet_length("counts")).alias("n")).first()[0] or 0)
+        # What a broadcast would hold: word hashes with counts, and the filters.
+        held = F.when(F.col("kind") == 0, F.col("distinct") * 16).otherwise(F.col("size") / 8)
+        self.bytes = int(table.agg(F.sum(held)).first()[0] or 0)
 
 
 def count_corpus(training: DataFrame, text: str = "text", base: float = 1.5, weight: float = 0.5) -> LanguageModel:
@@ -296,11 +298,10 @@ def _joined_scores(documents: DataFrame, model: LanguageModel, text: str) -> Dat
     return pinned.join(sums, "_row").drop("_row")
 
 
-def score_texts(documents: DataFrame, model: LanguageModel, text: str = "text", most_bytes: int = 400_000_000) -> DataFrame:
+def score_texts(documents: DataFrame, model: LanguageModel, text: str = "text", most_bytes: int = 300_000_000) -> DataFrame:
     """``documents`` with n_tokens, n_known, base_score and score (log10) of every whole text (null: empty, its end alone).
 
-    A model of up to ``most_bytes`` (word counts and pair counts, which bound the filter) is broadcast; a larger one is
-    joined.  Rows stay as they are; repeated rows score alike; without training tokens every base score is 0 per token;
+    A model of up to ``most_bytes`` (word counts and filters) is broadcast; a larger one is joined.  Rows stay as they are; repeated rows score alike; without training tokens every base score is 0 per token;
     input columns named like a result are replaced."""
     by_broadcast = model.bytes <= most_bytes
     return (_broadcast_scores if by_broadcast else _joined_scores)(documents, model, text)
