@@ -5,7 +5,7 @@ The model interpolates a quantised bigram estimate with smoothed single-word cou
     P(w | h) = weight * q(h, w) / c(h) + (1 - weight) * P1(w),    P1(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)),
 
 where q is the lower end of the count's logarithmic bucket, so the estimate stays below one in sum but for the filter's
-false positives (about one unseen pair in 200).  The first token of a text has no predecessor and takes P1; so does a
+false positives (about one in 64 unseen pairs of known words).  The first token of a text has no predecessor and takes P1; so does a
 token after an unknown word."""
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from veilspark.llm.shared import add_columns, map_batches, saved
 
 _END = b" end"  # no word holds a blank
-_PROBES = 8
-_BITS = 11.6  # bits per insertion, for one false positive in about 250
+_PROBES = 6
+_BITS = 8.7  # bits per insertion, for one false positive in about 64
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _HALF = np.uint64(32)
 
@@ -46,7 +46,7 @@ class TokenHashes(dict):
     """64-bit hashes of tokens, remembered; cleared when large."""
 
     def __missing__(self, token: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[token] = xxhash.xxh3_64_intdigest(token)
         return value
@@ -189,7 +189,7 @@ def count_corpus(training: DataFrame, text: str = "text", base: float = 1.5, wei
 
 def _broadcast_scores(documents: DataFrame, model: LanguageModel, text: str) -> DataFrame:
     parts: dict = {"keys": [], "counts": [], "bits": [], "starts": np.zeros(model.shards, np.int64), "sizes": np.full(model.shards, 64, np.uint64)}
-    at = 64
+    at, kind_of_count = 64, np.int64 if model.tokens >= 1 << 32 else np.uint32
     parts["bits"].append(bytes(8))  # an empty shard's filter
     for kind, shard, keys, counts, bits, size in (
         model.table.select("kind", "shard", F.when(F.col("kind") == 0, F.col("keys")), F.when(F.col("kind") == 0, F.col("counts")), "bits", "size")
@@ -197,7 +197,7 @@ def _broadcast_scores(documents: DataFrame, model: LanguageModel, text: str) ->
     ):
         if kind == 0:
             parts["keys"].append(bytes(keys))
-            parts["counts"].append(bytes(counts))
+            parts["counts"].append(np.frombuffer(counts, np.int64).astype(kind_of_count).tobytes())
         else:
             parts["bits"].append(bytes(bits))
             parts["starts"][shard], parts["sizes"][shard] = at, size
@@ -212,17 +212,17 @@ def _broadcast_scores(documents: DataFrame, model: LanguageModel, text: str) ->
 
     def start() -> tuple:
         m = sent.value
-        return (TokenHashes(), np.frombuffer(m["keys"], np.uint64), np.frombuffer(m["counts"], np.int64), np.frombuffer(m["bits"], np.uint8),
+        return (TokenHashes(), np.frombuffer(m["keys"], np.uint64), np.frombuffer(m["counts"], kind_of_count), np.frombuffer(m["bits"], np.uint8),
                 m["starts"], m["sizes"])
 
     def fn(b: pa.RecordBatch, state: tuple) -> dict:
         hashes, keys, counts, bits, starts, sizes = state
         out: dict = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
-        texts, at = b.column(column).to_pylist(), 0
-        while at < len(texts):
+        at = 0
+        while at < b.num_rows:
             docs, size = [], 0
-            while at < len(texts) and size < 500_000:
-                docs.append(hashes.of(texts[at]))
+            while at < b.num_rows and size < 250_000:
+                docs.append(hashes.of(b.column(column)[at].as_py()))
                 size, at = size + len(docs[-1]), at + 1
             ids = np.concatenate(docs)
             ends = np.cumsum([len(d) for d in docs])
@@ -230,7 +230,7 @@ def _broadcast_scores(documents: DataFrame, model: LanguageModel, text: str) ->
             distinct, where = np.unique(ids, return_inverse=True)
             if len(keys):
                 place = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
-                c = np.where(keys[place] == distinct, counts[place], 0)[where]
+                c = np.where(keys[place] == distinct, counts[place], 0).astype(np.int64)[where]
             else:
                 c = np.zeros(len(ids), np.int64)
             single = (c + 0.1) / (n + 0.1 * (v + 1))

@@ -118,9 +118,10 @@ def jaccard_components(
        passages that many texts share out of the prefixes.
     2. A second pass emits each class's prefix, the elements one of which any partner must share; those of a single class
        go.  Frequent elements are dealt out in parts.
-    3. In each bucket every class meets three of the bucket's classes; bin counts and set sizes rule pairs out, and
-       the trie walk decides the rest.  Components follow, and then all pairs of a bucket that are in different components
-       and were not compared, so that large groups of copies cost a few comparisons each and no link is lost.
+    3. In each bucket every class meets eight of the bucket's classes; bin counts and set sizes rule pairs out, and the
+       trie walk decides the rest.  Components follow.  Classes outside a bucket's largest component meet eight classes
+       of that one, and then all of the bucket that are in other components and were not compared: large groups of
+       copies cost a few comparisons each, and no link between components is lost.
     4. Sets are made again from the texts of the few classes in question, not kept for all.
 
     Texts without words are empty sets and link with nothing; null ids link like others but give no component id of their
@@ -214,33 +215,36 @@ def jaccard_components(
         return (F.col(f"{x}.n") - F.col(f"{x}.i") >= need) & (F.col(f"{y}.n") - F.col(f"{y}.i") >= need)
 
     row = F.struct("n", "c", "i")
-    centres = shared.groupBy("h").agg(F.array(
-        F.min(row), F.max(row), F.min_by(row, F.xxhash64("c"))).alias("centres"), F.min("c").alias("lo"), F.max("c").alias("hi")
-    ).where("lo <> hi").select("h", F.explode(F.array_distinct("centres")).alias("y"))
-    pairs = (
-        shared.select("h", row.alias("x")).join(centres, "h").where(F.col("x.c") != F.col("y.c")).where(far_enough("x", "y"))
-        .select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
-    )
-    pairs = saved(pairs)
-    links = _verified(pairs, classes, source, ordered, n, percent, group)
-    comp = components(links)
 
-    labelled = shared.join(comp.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-    labelled = saved(labelled)
-    per = labelled.groupBy("h", "component").agg(F.count("*").alias("m")).groupBy("h").agg(
-        F.max_by("component", "m").alias("main"), F.count("*").alias("k")).where("k > 1").select("h", "main")
-    wide = F.struct("n", "c", "i", "component")
-    mixed = labelled.join(per, "h").select("h", "main", wide.alias("x"))
-    rest = (
-        mixed.where(F.col("x.component") != F.col("main")).select("h", "x")
-        .join(mixed.select("h", F.col("x").alias("y")), "h")
-        .where((F.col("x.component") != F.col("y.component")) & far_enough("x", "y"))
-        .select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
-    rest = saved(rest)
-    if not rest.isEmpty():
-        comp = components(links.union(_verified(rest, classes, source, ordered, n, percent, group)))
+    def centres(of: DataFrame, seeds: range) -> DataFrame:
+        """Some rows of every bucket: chosen by hash, so that buckets of the same classes choose the same ones."""
+        return of.groupBy("h").agg(F.array(*[F.min_by(row, F.xxhash64("c", F.lit(s))) for s in seeds]).alias("y")).select(
+            "h", F.explode(F.array_distinct("y")).alias("y"))
+
+    def paired(x: DataFrame, y: DataFrame, further: Column) -> DataFrame:
+        return (
+            x.join(y, "h").where((F.col("x.c") != F.col("y.c")) & far_enough("x", "y") & further)
+            .select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
+        )
+
+    done = saved(paired(shared.select("h", row.alias("x")), centres(shared, range(8)), F.lit(True)))
+    links = _verified(done, classes, source, ordered, n, percent, group)
+    for seeds in (range(8, 16), None):  # more centres for classes outside a bucket's largest component, then all pairs left
+        comp = components(links)
+        labelled = saved(shared.join(comp.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c")))
+        per = labelled.groupBy("h", "component").agg(F.count("*").alias("m")).groupBy("h").agg(
+            F.max_by("component", "m").alias("main"), F.count("*").alias("k")).where("k > 1").select("h", "main")
+        mixed = saved(labelled.join(per, "h"))
+        outside = mixed.where("component <> main").select("h", F.struct("n", "c", "i", "component").alias("x"))
+        if seeds:
+            pairs = paired(outside, centres(mixed.where("component = main"), seeds), F.lit(True))
+        else:
+            pairs = paired(outside, mixed.select("h", F.struct("n", "c", "i", "component").alias("y")), F.col("x.component") != F.col("y.component"))
+        pairs = saved(pairs.join(done, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            links = links.union(_verified(pairs, classes, source, ordered, n, percent, group))
+            done = done.union(pairs)
+    comp = components(links)
 
     grouped = rows.join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("g", F.coalesce("component", "cls"))
     least = classes.join(comp.withColumnRenamed("id", "cls"), "cls", "left").groupBy(
