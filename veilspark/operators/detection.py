@@ -173,6 +173,11 @@ def name_detections(spans: DataFrame, threshold: float = 0.8) -> DataFrame:
     )
 
 
+def _entity_name() -> Column:
+    """The group's name; a null or empty one gives way to the entity's own."""
+    return F.coalesce(F.when(F.col("entity_group") != "", F.col("entity_group")), F.col("entity"), F.lit(""))
+
+
 def inline_name_detections(
     outputs: DataFrame, text: Column, threshold: float = 0.8, style: str = "document"
 ) -> DataFrame:
@@ -180,7 +185,7 @@ def inline_name_detections(
 
     ``style``: ``document`` needs offsets and more than two characters; ``cell`` treats missing
     offsets as 0; ``sheet`` needs offsets but no minimum length.  A missing score counts as 0."""
-    raw = F.coalesce(F.when(F.col("entity_group") != "", F.col("entity_group")), F.col("entity"), F.lit(""))
+    raw = _entity_name()
     unprefixed = lambda c: F.replace(F.replace(c, F.lit("B-")), F.lit("I-"))
     entity = F.upper(unprefixed(raw)) if style == "sheet" else unprefixed(F.upper(raw))
     score = F.coalesce(F.col("score").cast("double"), F.lit(0.0))
@@ -321,7 +326,7 @@ def detect_units(
     if names is not None:
         spans = names.withColumnRenamed("text", "span_text") if "text" in names.columns else names
         # Only candidate spans meet the unit text.
-        person = F.upper(F.coalesce("entity_group", "entity")).rlike("PERSON|PER|PS|인명")
+        person = F.upper(_entity_name()).rlike("PERSON|PER|PS|인명")
         order = ["span_no"] if "span_no" in spans.columns else ["start", "end"]
         near = spans.where(person).join(units.select(*UNIT_KEY, "text"), UNIT_KEY)
         found = inline_name_detections(near, text, name_threshold, "cell" if style == "cell" else "document")
