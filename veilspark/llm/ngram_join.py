@@ -46,13 +46,14 @@ def _class(keys: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(keys.tobytes()))))
 
 
-def _counts(keys: np.ndarray) -> bytes:
-    """How many of a set's shingles fall into each of at least n / 4 bins: the bins' smaller counts bound an overlap."""
-    bins = 16
-    while bins < len(keys) / 4:
+def _bits(keys: np.ndarray) -> bytes:
+    """A bit for each of at least 4 n bins that a set's shingles occupy: bins of one side only bound an overlap."""
+    bins = 64
+    while bins < 4 * len(keys):
         bins *= 2
-    n = np.bincount(keys & (bins - 1), minlength=bins)
-    return n.astype(np.uint8).tobytes() if n.max() < 256 else b""
+    on = np.zeros(bins, np.uint8)
+    on[keys & (bins - 1)] = 1
+    return np.packbits(on, bitorder="little").tobytes()
 
 
 def _least_overlap(total: Column | int, percent: int):
@@ -60,15 +61,15 @@ def _least_overlap(total: Column | int, percent: int):
     return (percent * total + 99 + percent) // (100 + percent)
 
 
-def _may_overlap(a: bytes, b: bytes, need: int) -> bool:
-    if not a or not b:
-        return True
+def _may_overlap(a: bytes, b: bytes, n_a: int, n_b: int, need: int) -> bool:
+    """Every bin that only one side occupies holds at least one element that the other side lacks."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
     if len(x) > len(y):
-        x, y = y, x
+        x, y, n_a, n_b = y, x, n_b, n_a
     if len(x) < len(y):  # low bits of the hash: bins fold by their number
-        y = y.reshape(-1, len(x)).sum(axis=0)
-    return int(np.minimum(x, y).sum()) >= need
+        y = np.bitwise_or.reduce(y.reshape(-1, len(x)), axis=0)
+    lacks = lambda u, v: int(np.bitwise_count(u & ~v).sum())
+    return min(n_a - lacks(x, y), n_b - lacks(y, x)) >= need
 
 
 def trie_links(query: np.ndarray, members: list[tuple[int, np.ndarray]], percent: int) -> list[int]:
@@ -113,12 +114,12 @@ def jaccard_components(
     Two documents link when 100 * overlap >= ``percent`` * union of their sets of ``n``-word shingles.  All links between
     different sets count; equal sets are one class.
 
-    1. One pass over the texts gives set sizes, classes, bin counts and, in a fixed number of counters, how frequent
+    1. One pass over the texts gives set sizes, classes, occupied bins and, in a fixed number of counters, how frequent
        shingles are.  The global order is by hash with the frequent ones last; any order is exact, this one keeps
        passages that many texts share out of the prefixes.
     2. A second pass emits each class's prefix, the elements one of which any partner must share; those of a single class
        go.  Frequent elements are dealt out in parts.
-    3. In each bucket every class meets eight of the bucket's classes; bin counts and set sizes rule pairs out, and the
+    3. In each bucket every class meets eight of the bucket's classes; occupied bins and set sizes rule pairs out, and the
        trie walk decides the rest.  Components follow.  Classes outside a bucket's largest component meet eight classes
        of that one, and then all of the bucket that are in other components and were not compared: large groups of
        copies cost a few comparisons each, and no link between components is lost.
@@ -141,7 +142,7 @@ def jaccard_components(
                 if fresh:
                     seen.add(cls)
                     np.add.at(counters, keys >> 28, np.uint32(1))
-                for k, v in zip(none, (doc, len(keys), cls, _counts(keys) if fresh else None, None, None)):
+                for k, v in zip(none, (doc, len(keys), cls, _bits(keys) if fresh else None, None, None)):
                     out[k].append(v)
             yield out
         parts = [p for p in range(_COUNTERS // _SLICE) if counters[p * _SLICE : (p + 1) * _SLICE].any()]
@@ -275,7 +276,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, source: DataFrame, ordered:
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             a, z, x, y, m, k = (b.column(i).to_pylist() for i in range(6))
-            keep = [i for i in range(len(a)) if _may_overlap(x[i], y[i], int(_least_overlap(m[i] + k[i], percent)))]
+            keep = [i for i in range(len(a)) if _may_overlap(x[i], y[i], m[i], k[i], int(_least_overlap(m[i] + k[i], percent)))]
             yield {"a": [a[i] for i in keep], "b": [z[i] for i in keep]}
 
     side = lambda k: classes.select(F.col("cls").alias(k), F.col("bins").alias(f"bins_{k}"), F.col("n").alias(f"n_{k}"))
