@@ -31,10 +31,11 @@ WARNING_CODES = (
 # Code used when a guide location is no longer in the document.
 NOT_FOUND_CODES = {
     "docx": "paragraph_out_of_range", "pptx": "slide_out_of_range",
-    "hwpx": "section_out_of_range", "pdf": "pdf_page_out_of_range",
+    "hwpx": "section_out_of_range", "pdf": "pdf_text_block_not_found",
 }
 # Message parts.
 REVIEW_REASON = "검토 필요 action은 자동 적용하지 않습니다."
+NO_DOCX_LABEL = "알 수 없는 docx 위치"
 NO_SPAN_REASON = "start 또는 end가 None입니다."
 CONTEXTS_DIFFER = "같은 location 내 target들의 context가 서로 다릅니다. 첫 번째 context를 사용합니다."
 NO_CONTEXT = "해당 location에 context가 없어 빈 문자열을 사용했습니다."
@@ -304,7 +305,7 @@ def _applied_items(found: DataFrame, what: str, deletion_mode: str) -> DataFrame
     bad = F.filter("checks", lambda c: c.isNotNull())
     context_note = F.when(mismatch, F.array(warning(
         "context_mismatch", F.col("shown_label"), F.lit(f": target.context와 실제 {what} 다릅니다. "),
-        F.lit("paragraph 텍스트 기준으로 slice 검증 후 권장 여부를 판단합니다." if what.startswith("paragraph")
+        F.lit(f"{what[:-1]} 기준으로 slice 검증 후 권장 여부를 판단합니다." if what.endswith("텍스트가")
               else "cell_value 기준으로 slice 검증 후 적용 여부를 판단합니다."))))
     skipped = F.size(bad) + F.size("r.skipped")
     return df.select(
@@ -364,15 +365,17 @@ def guide_items(targets: DataFrame, units: DataFrame, file_type: str, deletion_m
     ).where(F.col("key").isNotNull() & ~is_blank(F.col("text")))
     grouped = _grouped_targets(mine.where(F.col("key").isNotNull()), "doc_id", "key")
     joined = grouped.join(current, ["doc_id", "key"], "left").withColumn(
-        "shown_label", F.coalesce("location_label", base)).withColumn("location_label", F.col("shown_label"))
+        "shown_label", F.coalesce("location_label", F.lit(NO_DOCX_LABEL) if file_type == "docx" else base)).withColumn("location_label", F.col("shown_label"))
     missing = joined.where(F.col("text").isNull())
     where = F.col("shown_label")
     text_of = {
         "docx": (F.lit(": location=("), F.lit(")가 문서 범위를 벗어났습니다.")),
+        "pdf": (F.lit(": 위치가 현재 PDF에서 발견되지 않습니다 (key=("), F.lit(")).")),
     }.get(file_type, (F.lit(f": 위치가 현재 {file_type}에서 발견되지 않습니다 (key=("), F.lit(")).")))
+    shown_key = F.regexp_replace("key", r"^(\w+)", "'$1'")  # the section is shown in quotes
     not_found = _group_skipped(
-        missing, F.lit(""), warning(NOT_FOUND_CODES[file_type], where, text_of[0], F.col("key"), text_of[1]))
-    found = _applied_items(joined.where(F.col("text").isNotNull()), "paragraph 텍스트가", deletion_mode)
+        missing, F.lit(""), warning(NOT_FOUND_CODES[file_type], where, text_of[0], shown_key, text_of[1]))
+    found = _applied_items(joined.where(F.col("text").isNotNull()), "line 텍스트가" if file_type == "pdf" else "paragraph 텍스트가", deletion_mode)
     return no_place.unionByName(not_found).unionByName(found)
 
 

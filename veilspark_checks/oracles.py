@@ -251,7 +251,7 @@ _BASE_LABEL = {
     "hwpx": "'1번 본문 ' || (unit_no + 1) || '번째 문단'", "pdf": "'1쪽 ' || (unit_no + 1) || '번째 줄'",
 }
 _LOST = {"docx": "missing_paragraph_no", "pptx": "missing_shape_location", "hwpx": "missing_section_no", "pdf": "missing_page_no"}
-_GONE = {"docx": "paragraph_out_of_range", "pptx": "slide_out_of_range", "hwpx": "section_out_of_range", "pdf": "pdf_page_out_of_range"}
+_GONE = {"docx": "paragraph_out_of_range", "pptx": "slide_out_of_range", "hwpx": "section_out_of_range", "pdf": "pdf_text_block_not_found"}
 _UNKNOWN = {"docx": "unsupported_docx_section", "pptx": "unknown_section", "hwpx": "unknown_section", "pdf": "unknown_section"}
 
 
@@ -278,16 +278,40 @@ SELECT * FROM single UNION ALL SELECT * FROM whole"""
 
 for _t in ("docx", "pptx", "hwpx", "pdf"):
     ORACLES[f"guide_items_{_t}"] = _guide(_t)
-_PDF_LABEL = f"{_BASE_LABEL['pdf']} || ': ' || {_SHORT.format('text')}"
-_SPAN = "actual='{0}', matched='{0}x', start={1}, end={2}"
-ORACLES["guide_warnings"] = f"""WITH RECURSIVE {_NOTE_HITS},{_PER_NOTE}, w AS (SELECT *, {_PDF_LABEL} AS location_label, unit_no % 7 AS m FROM pn),
+# Message texts of lost, unknown and vanished places ({n}: the paragraph, slide or line number).
+_LOST_TEXT = {
+    "docx": "paragraphNo가 없어 안내를 생성하지 못했습니다.",
+    "pptx": "위치 필드(shapeNo/rowNo/colNo 등)가 누락되어 안내를 생성하지 못했습니다.",
+    "hwpx": "sectionNo가 없어 안내를 생성하지 못했습니다.",
+    "pdf": "pageNo가 없어 안내를 생성하지 못했습니다.",
+}
+_UNKNOWN_TEXT = {"docx": "section=footer 위치는 현재 docx guide 범위 외이므로 안내를 생성하지 않습니다."} | dict.fromkeys(
+    ("pptx", "hwpx", "pdf"), "알 수 없는 section=''footer''이므로 안내를 생성하지 않습니다.")
+_GONE_TEXT = {
+    "docx": "location=(''body'', {n})가 문서 범위를 벗어났습니다.",
+    "pptx": "위치가 현재 pptx에서 발견되지 않습니다 (key=(''shape_text'', {n}, 1, 0)).",
+    "hwpx": "위치가 현재 hwpx에서 발견되지 않습니다 (key=(''body'', 0, {n})).",
+    "pdf": "위치가 현재 PDF에서 발견되지 않습니다 (key=(''text_line'', 0, {n})).",
+}
+
+
+def _guide_warnings(t: str) -> str:
+    label = f"{_BASE_LABEL[t]} || ': ' || {_SHORT.format('text')}"
+    what = "line" if t == "pdf" else "paragraph"
+    gone = _GONE_TEXT[t].replace("{n}", "' || (unit_no + 10000000) || '")
+    return f"""WITH RECURSIVE {_NOTE_HITS},{_PER_NOTE}, w AS (SELECT *, {label} AS location_label, unit_no % 7 AS m FROM pn),
 each AS (SELECT *, pv AS v, ps AS s, pe AS e FROM w UNION ALL SELECT *, xv, xs, xe FROM w WHERE xs IS NOT NULL)
-SELECT doc_id, location_label, '[missing_page_no] ' || location_label || ': pageNo가 없어 안내를 생성하지 못했습니다.' AS warning FROM each WHERE m = 0
-UNION ALL SELECT doc_id, location_label, '[unknown_section] ' || location_label || ': 알 수 없는 section=''footer''이므로 안내를 생성하지 않습니다.' FROM each WHERE m = 2
-UNION ALL SELECT doc_id, location_label, '[pdf_page_out_of_range] ' || location_label || ': 위치가 현재 pdf에서 발견되지 않습니다 (key=(text_line, 0, ' || (unit_no + 10000000) || ')).' FROM w WHERE m = 1
+SELECT doc_id, location_label, '[{_LOST[t]}] ' || location_label || ': {_LOST_TEXT[t]}' AS warning FROM each WHERE m = 0
+UNION ALL SELECT doc_id, location_label, '[{_UNKNOWN[t]}] ' || location_label || ': {_UNKNOWN_TEXT[t]}' FROM each WHERE m = 2
+UNION ALL SELECT doc_id, location_label, '[{_GONE[t]}] ' || location_label || ': {gone}' FROM w WHERE m = 1
 UNION ALL SELECT doc_id, location_label, '[slice_mismatch] ' || location_label || ': text[start:end]와 matched가 일치하지 않아 자동 적용을 건너뜁니다: actual=''' || v || ''', matched=''' || v
   || 'x'', start=' || s || ', end=' || e FROM each WHERE m = 3
-UNION ALL SELECT doc_id, location_label, '[context_mismatch] ' || location_label || ': target.context와 실제 paragraph 텍스트가 다릅니다. paragraph 텍스트 기준으로 slice 검증 후 권장 여부를 판단합니다.' FROM w WHERE m = 4"""
+UNION ALL SELECT doc_id, location_label, '[context_mismatch] ' || location_label || ': target.context와 실제 {what} 텍스트가 다릅니다. {what} 텍스트 기준으로 slice 검증 후 권장 여부를 판단합니다.' FROM w WHERE m = 4"""
+
+
+ORACLES["guide_warnings"] = _guide_warnings("pdf")
+for _t in ("docx", "pptx", "hwpx"):
+    ORACLES[f"guide_warnings_{_t}"] = _guide_warnings(_t)
 ORACLES["guide_summary"] = f"""WITH i AS ({ORACLES['guide_items_docx']})
 SELECT doc_id, count(*) AS total_locations, count(*) FILTER (status = 'applied') AS applied_locations, 0::BIGINT AS partial_locations,
   count(*) FILTER (status = 'skipped') AS skipped_locations,

@@ -7,18 +7,14 @@ _D, _ND = "[0-9]", "[^0-9]"
 _W, _NW = "[A-Za-z0-9]", "[^A-Za-z0-9]"
 _DASH = "[-–]"
 _PHONE_SEP = "[-–·]?"
-
-
-def _n(*parts: str) -> str:
-    """Digit groups with hyphens: '3', '2', '6' -> three-two-six digits."""
-    return "-".join(f"{_D}{{{p}}}" for p in parts)
-
-
-_ACCOUNTS = [
-    ("3", "2", "4", "3"), ("4", "3", "6"), ("3", "6", "5"), ("3", "2", "6"), ("3", "6", "2", "3"),
-    ("3", "4", "4", "2"), ("4", "4", "4", "1"), ("6", "2", "6"), ("4", "2", "7"), ("3", "6", "3"),
-    ("2", "2", "6"), ("3", "2", "6", "1"), ("3", "4", "4", "3"),
-]
+# Account number layouts, and the driver licence.
+_ACCOUNT = (
+    "[0-9]{3}-[0-9]{2}-[0-9]{4}-[0-9]{3}|[0-9]{4}-[0-9]{3}-[0-9]{6}|[0-9]{3}-[0-9]{6}-[0-9]{5}|[0-9]{3}-[0-9]{2}-[0-9]{6}"
+    "|[0-9]{3}-[0-9]{6}-[0-9]{2}-[0-9]{3}|[0-9]{3}-[0-9]{4}-[0-9]{4}-[0-9]{2}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{1}|[0-9]{6}-[0-9]{2}-[0-9]{6}"
+    "|[0-9]{4}-[0-9]{2}-[0-9]{7}|[0-9]{3}-[0-9]{6}-[0-9]{3}|[0-9]{2}-[0-9]{2}-[0-9]{6}|[0-9]{3}-[0-9]{2}-[0-9]{6}-[0-9]{1}"
+    "|[0-9]{3}-[0-9]{4}-[0-9]{4}-[0-9]{3}|[0-9]{10,14}"
+)
+_LICENCE = "[0-9]{2}-[0-9]{2}-[0-9]{6}-[0-9]{2}"
 _OCTETS = rf"{_D}{{1,3}}\.{_D}{{1,3}}"
 
 # id, label, grade, action, left context, match, right context, keep (1: the scan restarts on the
@@ -32,12 +28,12 @@ BASE = [
     ("email", "이메일 주소", "S", "마스킹", r"[^A-Za-z0-9._%+\-]",
      r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", r"[^A-Za-z0-9.\-]", 1),
     ("empid", "사번", "S", "마스킹", _NW, f"[A-Za-z]{{2}}{_D}{{6}}", _NW, 1),
-    ("account", "계좌번호", "S", "마스킹", _ND, "|".join(_n(*a) for a in _ACCOUNTS) + f"|{_D}{{10,14}}", _ND, 1),
+    ("account", "계좌번호", "S", "마스킹", _ND, _ACCOUNT, _ND, 1),
     ("freq", "무선 주파수", "S", "치환", _ND, rf"{_D}{{2,3}}\.{_D}{{3,4}}\s*[MGmg][Hh][Zz]", _NW, 1),
     ("coord", "정밀 위치(키로정)", "S", "범주화", _NW, f"{_D}{{1,3}}[Kk]{_D}{{3}}", _NW, 1),
     ("datetime_precise", "정밀 시각", "S", "범주화", _ND, f"(?:[01]{_D}|2[0-3]):[0-5]{_D}:[0-5]{_D}", _ND, 1),
     ("credit_card", "신용카드번호", "C", "삭제", _ND, r"[-\s]".join([f"{_D}{{4}}"] * 4), _ND, 1),
-    ("driver_license", "운전면허번호", "S", "삭제", _ND, _n("2", "2", "6", "2"), _ND, 1),
+    ("driver_license", "운전면허번호", "S", "삭제", _ND, _LICENCE, _ND, 1),
     ("vlan_port", "VLAN/포트 정보", "C", "삭제", _NW,
      rf"[Vv][Ll][Aa][Nn]\s*{_D}+|[Pp][Oo][Rr][Tt]\s*{_D}{{2,5}}", _ND, 1),
 ]

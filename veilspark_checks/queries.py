@@ -325,10 +325,13 @@ def _guide_query(file_type: str) -> Query:
     return run
 
 
-def guide_warnings(spark, sf):
-    """Full warning texts of the page guide."""
-    t, u = _guide_inputs(spark, sf, "pdf")
-    return redaction.guide_items(t, u, "pdf").select("doc_id", "location_label", F.explode(T.rows_of(F.col("warnings"))).alias("warning"))
+def _guide_warning_query(file_type: str) -> Query:
+    """Full warning texts of the guide of a file type."""
+    def query(spark, sf):
+        t, u = _guide_inputs(spark, sf, file_type)
+        return redaction.guide_items(t, u, file_type).select("doc_id", "location_label", F.explode(T.rows_of(F.col("warnings"))).alias("warning"))
+
+    return query
 
 
 def guide_summary(spark, sf):
@@ -789,7 +792,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     document_grades, adapted_name_spans, name_detections, inline_name_detections, class_probabilities, hold_policy,
     context_detections, classifier_gate, joined_detections, detector_output_aliases, contact_plan, contact_plan_from_rows,
     mixed_plan, plan_summary_grade, plan_source_counts, contact_redaction, contact_redaction_marked, document_redaction,
-    redacted_documents, redaction_summary, plan_applied_to_contexts, cell_units, cell_items, cell_summary, guide_warnings,
+    redacted_documents, redaction_summary, plan_applied_to_contexts, cell_units, cell_items, cell_summary,
     guide_summary, sheet_items, review_items, line_units, extraction_stats, paragraph_units, section_units, slide_units,
     location_keys, markdown_units, markdown_blocks, noise_rules, document_noise, keyword_matches, mined_candidates,
     mined_candidates_second_policy, mined_candidates_first_policy, mining_counts, mining_cutoff, mining_review_order,
@@ -802,3 +805,4 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     streamed_daily_feedback, streamed_redaction,
 )}
 QUERIES |= {f"guide_items_{t}": _guide_query(t) for t in ("docx", "pptx", "hwpx", "pdf")}
+QUERIES |= {"guide_warnings": _guide_warning_query("pdf")} | {f"guide_warnings_{t}": _guide_warning_query(t) for t in ("docx", "pptx", "hwpx")}
