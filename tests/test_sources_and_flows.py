@@ -41,6 +41,30 @@ def test_delimited_files_of_every_encoding(spark, folder):
     assert "".join(sorted(parts, reverse=True)) == "﻿이름,전화\r\n김도윤,*************\r\n"
 
 
+def test_delimited_rows_of_differing_width_keep_their_cells(spark, folder):
+    for sub in ("x", "y"):
+        os.mkdir(os.path.join(folder, sub))
+    put(folder, "0.csv", b"title\nonly\n")
+    put(folder, "x/a.csv", b"name,phone\nkim,010-1111-2222\nlee,010-3333-4444,extra,\n\n,\n")
+    put(folder, "y/a.csv", b"name;phone\nkim;010-1111-2222\nlee;010-3333-4444\n")
+    paths = [os.path.join(folder, f) for f in ("0.csv", "x/a.csv", "y/a.csv")]
+    rows = delimited.read_delimited(spark, paths)
+    got = {}
+    for r in rows.orderBy("path", "row_no").collect():
+        got.setdefault(r.path.split(folder + "/")[-1], []).append(r.cells)
+    assert got == {
+        "0.csv": [["title"], ["only"]],
+        "x/a.csv": [["name", "phone"], ["kim", "010-1111-2222"], ["lee", "010-3333-4444", "extra", ""], [], ["", ""]],
+        "y/a.csv": [["name", "phone"], ["kim", "010-1111-2222"], ["lee", "010-3333-4444"]]}
+    assert {r.path.split(folder + "/")[-1]: r.delimiter for r in delimited.profile_files(spark, paths).collect()}["y/a.csv"] == ";"
+    out = os.path.join(folder, "out")
+    delimited.write_redacted(delimited.redact_rows(rows).coalesce(1), out)
+    back = spark.read.option("wholetext", True).text(out).collect()
+    assert len({(r.folder, r.file) for r in back}) == 3
+    lines = {(r.folder.rstrip("/")[-1], line) for r in back for line in r.value.replace("\ufeff", "").split("\r\n")}
+    assert {("x", "lee,*************,extra,"), ("x", ","), ("x", ""), ("y", "kim;*************")} <= lines
+
+
 def test_labelled_files_are_checked(spark, folder):
     good = put(folder, "g.csv", "text,cso_grade\n 글 ,C\n ,S\n".encode("utf-8-sig"))
     assert [(r.text, r.cso_grade) for r in delimited.read_labelled(spark, good).collect()] == [("글", "C")]

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+import io
+import itertools
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions.grades import GRADES
-from veilspark.functions.running import numbered
 from veilspark.functions.text import strip
 from veilspark.functions.rules import IDENTIFIER_RULES
 from veilspark.operators.deid_plan import auto_targets
@@ -21,65 +24,63 @@ DELIMITERS = (",", "\t", ";", "|")
 BOM = "﻿"
 
 
-def _fits_cp949(value: Column) -> Column:
-    """The bytes are ASCII plus well-formed two-byte characters."""
-    latin = F.decode(value.cast("binary"), "ISO-8859-1")
-    pairs = F.regexp_replace(latin, r"[\x81-\xfe][\x41-\x5a\x61-\x7a\x81-\xfe]", "")
-    return ~pairs.rlike(r"[\x80-\xff]")
+# Encodings in order of preference.
+ENCODINGS = ("utf-8-sig", "cp949")
+
+
+def _opened(content: bytes) -> tuple[str, str, str]:
+    """Text, encoding and delimiter (comma if the start of the text shows none) of a file."""
+    for encoding in ENCODINGS:
+        try:
+            text = content.decode(encoding)
+            break
+        except UnicodeDecodeError:
+            continue
+    else:
+        encoding, text = "utf-8", content.decode("utf-8", errors="replace")
+    try:
+        delimiter = csv.Sniffer().sniff(text[:4096], delimiters="".join(DELIMITERS)).delimiter
+    except csv.Error:
+        delimiter = ","
+    return text, encoding, delimiter
+
+
+def _files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    return spark.read.format("binaryFile").load(list(paths) if not isinstance(paths, str) else paths).select(
+        plain_path(F.col("path")).alias("path"), "content")
 
 
 def profile_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(path, encoding, delimiter) per file.
-
-    Files are read as splittable text lines (a line break is a single byte in every encoding at hand)
-    and reduced on the map side, so no file has to fit into one row.  The delimiter is the candidate
-    that occurs most in the first line, comma if none does."""
-    lines = spark.read.text(list(paths) if not isinstance(paths, str) else paths).select(
-        plain_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"), "value")
-    per_file = lines.groupBy("path").agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_and(_fits_cp949(F.col("value"))).alias("cp949"),
-        F.min_by("value", F.when(F.col("block") == 0, F.col("pos"))).alias("first_line"))
-    first = F.make_valid_utf8("first_line")
-    counts = [F.length(first) - F.length(F.replace(first, F.lit(d))) for d in DELIMITERS]
-    most = F.greatest(*counts)
-    delimiter = F.when(most == 0, ",")
-    for d, n in zip(DELIMITERS, counts):
-        delimiter = delimiter.when(n == most, d)
-    encoding = F.when(F.col("utf8") | ~F.col("cp949"), "UTF-8").otherwise("x-windows-949")
-    return per_file.select("path", encoding.alias("encoding"), delimiter.alias("delimiter"))
+    """(path, encoding, delimiter) per file."""
+    def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_opened(c)[1:] for c in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"path": b.column(0), "encoding": [f[0] for f in found], "delimiter": [f[1] for f in found]})
+
+    return _files(spark, paths).mapInArrow(profiled, "path string, encoding string, delimiter string")
 
 
 def read_delimited(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Rows (path, row_no from 1, cells array) of all files; the first row is data and header.
-
-    Only the file list grouped by (encoding, delimiter), at most eight groups, comes to the driver,
-    which lists the files anyway."""
-    groups = profile_files(spark, paths).groupBy("encoding", "delimiter").agg(
-        F.collect_list("path").alias("paths")).collect()
-    if any(g["encoding"] != "UTF-8" for g in groups):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    parts = []
-    for g in groups:
-        df = (
-            spark.read.option("sep", g["delimiter"]).option("encoding", g["encoding"]).option("header", False)
-            .option("multiLine", True).option("escape", '"').option("maxColumns", 1 << 20)
-            .csv(list(g["paths"]))
-        )
-        # Short rows come padded with nulls, an empty cell as null; the last given cell ends the row.
-        width = F.array_max(F.array(*[F.when(F.col(c).isNotNull(), i + 1).otherwise(0) for i, c in enumerate(df.columns)])) \
-            if len(df.columns) > 1 else F.lit(1)
-        cells = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in df.columns])
-        parts.append(df.select(
-            plain_path(F.col("_metadata.file_path")).alias("path"), F.monotonically_increasing_id().alias("pos"),
-            F.slice(cells, F.lit(1), width).alias("cells")))
-    if not parts:
-        return spark.createDataFrame([], "path string, row_no int, cells array<string>")
-    numbered_parts = [numbered(p, ["path"], "pos", "row_no").drop("pos") for p in parts]
-    out = numbered_parts[0]
-    for p in numbered_parts[1:]:
-        out = out.unionByName(p)
-    return out.select("path", (F.col("row_no") + 1).alias("row_no"), "cells")
+    """Rows (path, row_no from 1, cells array, delimiter) of all files; the first row is data and header.
+
+    Every row keeps its own number of cells, empty ones included; an empty line is a row without cells.  Files spread
+    over tasks, but one file is one task and is held there while it is read: quoted line breaks make any line depend on
+    all before it.  A file over 2 GB fails with an error and should be cut beforehand."""
+    arrow = pa.schema([("path", pa.string()), ("row_no", pa.int32()), ("cells", pa.list_(pa.string())), ("delimiter", pa.string())])
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(1 << 31)
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                text, _, delimiter = _opened(content)
+                rows, first = csv.reader(io.StringIO(text, newline=""), delimiter=delimiter), 1
+                while part := list(itertools.islice(rows, 5000)):
+                    n = len(part)
+                    yield pa.RecordBatch.from_pydict({
+                        "path": [path] * n, "row_no": range(first, first + n), "cells": part, "delimiter": [delimiter] * n}, schema=arrow)
+                    first += n
+
+    return _files(spark, paths).mapInArrow(parsed, "path string, row_no int, cells array<string>, delimiter string")
 
 
 def with_headers(rows: DataFrame) -> DataFrame:
@@ -97,22 +98,28 @@ def redact_rows(rows: DataFrame, deletion_mode: str = "mark") -> DataFrame:
     return rows.withColumn("cells", F.transform("cells", redacted))
 
 
-def csv_line(cells: Column, delimiter: str) -> Column:
+def csv_line(cells: Column, delimiter: Column | str) -> Column:
     """One output line with minimal quoting."""
-    special = f"[{delimiter if delimiter != '|' else chr(92) + '|'}\"\\r\\n]"
+    delimiter = F.lit(delimiter) if isinstance(delimiter, str) else delimiter
     quoted = F.transform(cells, lambda c: F.when(
-        c.rlike(special), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c))
+        c.rlike('["\\r\\n]') | F.contains(c, delimiter),
+        F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c))
     return F.when((F.size(cells) == 1) & (F.get(cells, F.lit(0)) == ""), '""').otherwise(
-        F.array_join(quoted, delimiter))
+        F.call_function("array_join", quoted, delimiter))
+
 
+def write_redacted(rows: DataFrame, path: str, delimiter: str | None = None) -> None:
+    """Redacted rows (path, row_no, cells) as CSV text, byte-order mark first, in row order.
 
-def write_redacted(rows: DataFrame, path: str, delimiter: str = ",") -> None:
-    """Redacted rows (path, row_no, cells) as CSV text, byte-order mark first, in row order."""
-    line = csv_line(F.col("cells"), delimiter)
+    Each file has a folder below that of its source folder, and keeps its own ``delimiter`` column unless one is given
+    (comma where there is neither)."""
+    own = F.lit(delimiter or ",") if delimiter or "delimiter" not in rows.columns else F.coalesce("delimiter", F.lit(","))
+    line = csv_line(F.col("cells"), own)
     marked = F.when(F.col("row_no") == 1, F.concat(F.lit(BOM), line)).otherwise(line)
     rows.repartitionByRange("path", "row_no").sortWithinPartitions("path", "row_no").select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), marked.alias("value")
-    ).write.mode("overwrite").partitionBy("file").option("lineSep", "\r\n").text(path)
+        F.regexp_extract("path", r"^(.*/)?[^/]+$", 1).alias("folder"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"),
+        marked.alias("value")
+    ).write.mode("overwrite").partitionBy("folder", "file").option("lineSep", "\r\n").text(path)
 
 
 def read_labelled(
