@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -41,6 +42,13 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark's context cleaner delete the shuffle files of finished queries: it follows the driver's garbage collection,
+    which by itself may not come for half an hour."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def map_batches(df: DataFrame, schema: T.StructType | str, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]) -> DataFrame:
     """``fn`` turns Arrow batches into dicts of columns of ``schema``."""
     if isinstance(schema, str):
