@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -44,9 +45,11 @@ def forget(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Have Spark's context cleaner delete the shuffle files of finished queries: it follows the driver's garbage collection,
-    which by itself may not come for half an hour."""
+    which by itself may not come for half an hour.  Plans are let go in a first collection, their shuffles in a second."""
     gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def map_batches(df: DataFrame, schema: T.StructType | str, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]) -> DataFrame:
