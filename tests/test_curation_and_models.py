@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from veilspark.functions.keywords import KeywordPack
@@ -80,16 +81,22 @@ def labelled(spark):
 
 
 def test_logistic_model_learns_separable_grades(spark):
-    model = ML.train_grade_model(labelled(spark), "lr_char", max_iter=10, vocab_size=300)
+    model = ML.train_grade_model(labelled(spark), "lr_char", max_iter=10, width=1 << 12)
     probe = spark.createDataFrame([("회의 메뉴를 안내합니다", "O"), ("복구 절차와 카드 리셋", "C"), ("계약 단가", "S")], "text string, label string")
     scored = model.score(probe).collect()
     assert all(r.pred == r.label and abs(r.p_c + r.p_s + r.p_o - 1) < 1e-6 for r in scored)
 
 
+def test_no_term_is_dropped(spark):
+    df = spark.range(400).select(F.concat(F.lit("낱말"), F.col("id").cast("string")).alias("text"))
+    out = ML.fit_features(df, ("word",), width=64).transform(df)
+    assert out.where(vector_to_array("tf_word")[0].isNull() | (F.aggregate(vector_to_array("tf_word"), F.lit(0.0), lambda a, x: a + x) != 1.0)).count() == 0
+
+
 @pytest.mark.skipif(not os.environ.get("RUN_SLOW"), reason="three margin models take minutes in local mode")
 def test_model_variants_are_compared(spark):
     pack = KeywordPack(roles={"strong_procedural": ["복구 절차"], "s_business_sensitive": ["단가"], "weak": ["안내"]})
-    counts, models = flows.compare_models(labelled(spark), ("lr_char", "svc_char_word_keyword"), pack=pack, vocab_size=300, max_iter=8)
+    counts, models = flows.compare_models(labelled(spark), ("lr_char", "svc_char_word_keyword"), pack=pack, width=1 << 12, max_iter=8)
     summary = E.model_summary(counts).collect()
     assert len(summary) == 2 and all(r.accuracy > 0.95 for r in summary)
     assert E.best_model(E.model_summary(counts)).count() == 1

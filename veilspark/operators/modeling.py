@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import (
-    IDF, CountVectorizer, ElementwiseProduct, Normalizer, SQLTransformer, VectorAssembler,
+    IDF, ElementwiseProduct, HashingTF, Normalizer, SQLTransformer, VectorAssembler,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -136,14 +136,17 @@ def with_balanced_weight(df: DataFrame, label: str = "label", classes: Sequence[
 
 def fit_features(
     train: DataFrame, kinds: Sequence[str] = ("char_wb",), pack: KeywordPack | None = None,
-    text: str = "text", vocab_size: int = 1 << 18,
+    text: str = "text", width: int = 1 << 18,
 ) -> PipelineModel:
     """Fitted feature stages: per token kind tf-idf with smoothed idf and unit length, optionally the
-    keyword counts, assembled into ``features``."""
+    keyword counts, assembled into ``features``.
+
+    Every term counts: it is indexed by its hash, so no vocabulary is cut off or brought to the driver.  Terms that meet in
+    one of the ``width`` indexes share a weight."""
     stages, parts = [], []
     for kind in kinds:
         tok = SQLTransformer(statement=f"SELECT *, {TOKENS[kind](text)} AS tok_{kind} FROM __THIS__")
-        counts = CountVectorizer(inputCol=f"tok_{kind}", outputCol=f"tf_{kind}", vocabSize=vocab_size)
+        counts = HashingTF(inputCol=f"tok_{kind}", outputCol=f"tf_{kind}", numFeatures=width)
         fitted = Pipeline(stages=[tok, counts, IDF(inputCol=f"tf_{kind}", outputCol=f"idf_{kind}")]).fit(train)
         weights = Vectors.dense(fitted.stages[2].idf.toArray() + 1.0)
         stages += [
@@ -250,7 +253,7 @@ class MarginGradeModel(GradeModel):
 
 def train_grade_model(
     train: DataFrame, variant: str = "lr_char", key: str = "id", pack: KeywordPack | None = None,
-    vocab_size: int = 1 << 18, max_iter: int = 100,
+    width: int = 1 << 18, max_iter: int = 100,
 ) -> GradeModel:
     """Variants: ``lr_char`` (logistic on word-bounded n-grams), ``svc_char``, ``svc_char_word``,
     ``svc_char_word_keyword``, ``lr_text_char`` (logistic on whole-text n-grams)."""
@@ -260,7 +263,7 @@ def train_grade_model(
     }[variant]
     with_keywords = pack if variant.endswith("keyword") else None
     data = keyword_counts(train, with_keywords) if with_keywords is not None else train
-    features = fit_features(data, kinds, with_keywords, vocab_size=vocab_size)
+    features = fit_features(data, kinds, with_keywords, width=width)
     if variant.startswith("lr"):
         return LogisticGradeModel(features, with_keywords).fit(train, max_iter)
     return MarginGradeModel(features, with_keywords).fit(train, key, max_iter)

@@ -85,7 +85,7 @@ def feedback_report(feedback: DataFrame) -> dict[str, DataFrame]:
 
 def compare_models(
     labelled: DataFrame, variants: tuple[str, ...] = ("lr_char", "svc_char", "svc_char_word_keyword"),
-    key: str = "id", pack: KeywordPack | None = None, vocab_size: int = 1 << 18,
+    key: str = "id", pack: KeywordPack | None = None, width: int = 1 << 18,
     max_iter: int = 100,
 ) -> tuple[DataFrame, dict[str, modeling.GradeModel]]:
     """Train the variants on the training part and evaluate on the test part: (counts, models)."""
@@ -94,7 +94,7 @@ def compare_models(
     train, test = split.where("part = 'train'"), split.where("part = 'test'")
     counts, models = None, {}
     for rank, v in enumerate(variants):
-        models[v] = modeling.train_grade_model(train, v, key, pack, vocab_size, max_iter)
+        models[v] = modeling.train_grade_model(train, v, key, pack, width, max_iter)
         scored = models[v].score(test).withColumns({"model": F.lit(v), "rank": F.lit(rank)})
         c = E.confusion_counts(scored, "label", "pred", by=("model", "rank"))
         counts = c if counts is None else counts.unionByName(c)
