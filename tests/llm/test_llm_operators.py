@@ -314,6 +314,21 @@ def test_language_model(spark, docs):
     assert score_texts(docs.limit(0), model).count() == 0
 
 
+def test_language_model_scores_alike_at_every_size(spark):
+    """Sharded filters answer like the broadcast ones, false positives included."""
+    r = random.Random(11)
+    rows = [(i, None if i == 5 else " ".join(f"w{int(r.paretovariate(0.6)) % 700}" for _ in range(300))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = count_corpus(df.where("doc_id % 2 = 0"))
+    names = ("doc_id", "text", "n_tokens", "n_known", "base_score", "score")
+    sent = by_id(_broadcast_scores(df, model, "text").na.fill(""), *names)
+    for block_tokens in (1_000, 500_000):
+        asked = by_id(_joined_scores(df, model, "text", block_tokens).na.fill(""), *names)
+        assert [x[:4] for x in asked] == [x[:4] for x in sent]
+        assert [x[4:] for x in asked] == [pytest.approx(x[4:], rel=1e-12) for x in sent]
+    assert score_texts(df, model, most_bytes=0).columns == score_texts(df, model).columns
+
+
 def test_suffix_dedup(spark, docs):
     rows = texts()
     data = [(d, (t or "").encode()) for d, t in rows]

@@ -1,4 +1,4 @@
-"""Language-model scoring: bigram counts in a log-frequency Bloom filter that is broadcast to the workers.
+"""Language-model scoring: bigram counts in a log-frequency Bloom filter, broadcast to the workers or probed shard by shard.
 
 The model interpolates a quantised bigram estimate with smoothed single-word counts,
 
@@ -11,22 +11,26 @@ token after an unknown word."""
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from veilspark.llm.shared import add_columns, map_batches, saved
+from veilspark.llm.shared import add_columns, map_batches, release, saved
 
 _END = b" end"  # no word holds a blank
 _PROBES = 6
 _BITS = 8.7  # bits per insertion, for one false positive in about 64
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _HALF = np.uint64(32)
+_RESULTS = "n_tokens bigint, n_known bigint, base_score double, score double"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -128,7 +132,7 @@ def _counted(parts: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class LanguageModel:
-    """Counts over a corpus: ``table`` (kind, shard, keys, counts), kind 0 words, 1 bigrams; and the totals N and V."""
+    """Counts over a corpus: ``table``, kind 0 words (keys, counts), 1 bigrams (filter bits), one row per shard; and the totals N and V."""
 
     def __init__(self, table: DataFrame, shards: int, base: float, weight: float):
         self.table, self.shards, self.base, self.weight = table, shards, base, weight
@@ -174,17 +178,64 @@ def count_corpus(training: DataFrame, text: str = "text", base: float = 1.5, wei
 
     def merge(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, counts = _counted(parts)
-        packed, size = b"", 0
-        if key[0] == 1:
+        own = {"keys": [None], "counts": [None], "bits": [None], "size": [0]}
+        if key[0] == 1:  # of the pairs only the filter is kept
             bits = build_filter(keys, counts, base)
-            packed, size = bits.tobytes(), 8 * len(bits)
-        yield pd.DataFrame({
-            "kind": [key[0]], "shard": [key[1]], "keys": [keys.tobytes()], "counts": [counts.tobytes()], "bits": [packed], "size": [size],
-            "total": [int(counts.sum())], "distinct": [len(keys)]})
+            own |= {"bits": [bits.tobytes()], "size": [8 * len(bits)]}
+        else:
+            own |= {"keys": [keys.tobytes()], "counts": [counts.tobytes()]}
+        yield pd.DataFrame({"kind": [key[0]], "shard": [key[1]], **own, "total": [int(counts.sum())], "distinct": [len(keys)]})
 
-    raw = map_batches(training.select(F.col(text).cast("string")), "kind int, shard int, keys binary, counts binary", count)
     schema = "kind int, shard int, keys binary, counts binary, bits binary, size bigint, total bigint, distinct bigint"
-    return LanguageModel(saved(raw.groupBy("kind", "shard").applyInPandas(merge, schema)), shards, base, weight)
+    table = saved(
+        map_batches(training.select(F.col(text).cast("string")), "kind int, shard int, keys binary, counts binary", count)
+        .groupBy("kind", "shard").applyInPandas(merge, schema))
+    release(training.sparkSession)
+    return LanguageModel(table, shards, base, weight)
+
+
+class _Block:
+    """Some whole texts as one run of token hashes."""
+
+    def __init__(self, docs: list[np.ndarray]):
+        self.ids = np.concatenate(docs)
+        self.ends = np.cumsum([len(d) for d in docs])
+        self.begins = self.ends - [len(d) for d in docs]
+        self.first = np.zeros(len(self.ids), bool)
+        self.first[self.begins] = True
+        self.words, self.word_at = np.unique(self.ids, return_inverse=True)
+
+    def pairs(self) -> np.ndarray:
+        """Keys of all distinct pairs of neighbours."""
+        at = np.flatnonzero(~self.first)
+        return np.unique(pair_key(self.ids[at - 1], self.ids[at]))
+
+    def sums(self, counts: np.ndarray, levels: Callable[[np.ndarray, np.ndarray], np.ndarray], model: tuple) -> dict:
+        """The result columns, from the counts of ``words`` and a function from pair keys and their highest possible levels to levels."""
+        n, v, base, weight = model
+        c = counts[self.word_at]
+        single = (c + 0.1) / (n + 0.1 * (v + 1))
+        has = np.flatnonzero(~self.first[1:] & (c[:-1] > 0) & (c[1:] > 0)) + 1
+        pairs, back = np.unique(pair_key(self.ids[has - 1], self.ids[has]), return_inverse=True)
+        # A pair is at most as frequent as either of its words: no level beyond counts.
+        most = np.zeros(len(pairs), np.int64)
+        most[back] = _level(np.minimum(c[has - 1], c[has]), base)
+        found = _value(levels(pairs, most), base)[back]
+        p = single.copy()
+        after = np.flatnonzero(~self.first[1:] & (c[:-1] > 0)) + 1
+        p[after] *= 1 - weight
+        p[has] += weight * found / c[has - 1]
+        return {
+            "n_tokens": (self.ends - self.begins).tolist(), "n_known": np.add.reduceat((c > 0).astype(np.int64), self.begins).tolist(),
+            "base_score": np.add.reduceat(np.log10(single), self.begins).tolist(), "score": np.add.reduceat(np.log10(p), self.begins).tolist()}
+
+
+def _look_up(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Counts of ``wanted`` in sorted ``keys``, 0 where absent."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[place] == wanted, counts[place], 0).astype(np.int64)
 
 
 def _broadcast_scores(documents: DataFrame, model: LanguageModel, text: str) -> DataFrame:
@@ -192,8 +243,7 @@ def _broadcast_scores(documents: DataFrame, model: LanguageModel, text: str) ->
     at, kind_of_count = 64, np.int64 if model.tokens >= 1 << 32 else np.uint32
     parts["bits"].append(bytes(8))  # an empty shard's filter
     for kind, shard, keys, counts, bits, size in (
-        model.table.select("kind", "shard", F.when(F.col("kind") == 0, F.col("keys")), F.when(F.col("kind") == 0, F.col("counts")), "bits", "size")
-        .orderBy("kind", "shard").toLocalIterator()
+        model.table.select("kind", "shard", "keys", "counts", "bits", "size").orderBy("kind", "shard").toLocalIterator()
     ):
         if kind == 0:
             parts["keys"].append(bytes(keys))
@@ -204,10 +254,9 @@ def _broadcast_scores(documents: DataFrame, model: LanguageModel, text: str) ->
             at += size
     for k in ("keys", "counts", "bits"):
         parts[k] = b"".join(parts[k])
-    sent = documents.sparkSession.sparkContext.broadcast(parts)  # ``score`` has checked its size
+    sent = documents.sparkSession.sparkContext.broadcast(parts)  # ``score_texts`` has checked its size
     del parts
-    n, v, base, weight, shards = model.tokens, model.types, model.base, model.weight, model.shards
-    shift = np.uint64(64 - shards.bit_length() + 1)
+    numbers, shift = (model.tokens, model.types, model.base, model.weight), np.uint64(64 - model.shards.bit_length() + 1)
     column = documents.columns.index(text)
 
     def start() -> tuple:
@@ -224,84 +273,139 @@ def _broadcast_scores(documents: DataFrame, model: LanguageModel, text: str) ->
             while at < b.num_rows and size < 250_000:
                 docs.append(hashes.of(b.column(column)[at].as_py()))
                 size, at = size + len(docs[-1]), at + 1
-            ids = np.concatenate(docs)
-            ends = np.cumsum([len(d) for d in docs])
-            begins = ends - [len(d) for d in docs]
-            distinct, where = np.unique(ids, return_inverse=True)
-            if len(keys):
-                place = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
-                c = np.where(keys[place] == distinct, counts[place], 0).astype(np.int64)[where]
-            else:
-                c = np.zeros(len(ids), np.int64)
-            single = (c + 0.1) / (n + 0.1 * (v + 1))
-            first = np.zeros(len(ids), bool)
-            first[begins] = True
-            has = np.flatnonzero(~first[1:] & (c[:-1] > 0) & (c[1:] > 0)) + 1
-            pairs, back = np.unique(pair_key(ids[has - 1], ids[has]), return_inverse=True)
-            # A pair is at most as frequent as either of its words: no level beyond is probed.
-            most = np.zeros(len(pairs), np.int64)
-            most[back] = _level(np.minimum(c[has - 1], c[has]), base)
-            found = _value(probe_levels(bits, starts, sizes, pairs, (pairs >> shift).astype(np.int64), most), base)[back]
-            p = single.copy()
-            after = np.flatnonzero(~first[1:] & (c[:-1] > 0)) + 1
-            p[after] *= 1 - weight
-            p[has] += weight * found / c[has - 1]
-            out["n_tokens"] += (ends - begins).tolist()
-            out["n_known"] += np.add.reduceat((c > 0).astype(np.int64), begins).tolist()
-            out["base_score"] += np.add.reduceat(np.log10(single), begins).tolist()
-            out["score"] += np.add.reduceat(np.log10(p), begins).tolist()
+            block = _Block(docs)
+            found = block.sums(
+                _look_up(keys, counts, block.words),
+                lambda k, most: probe_levels(bits, starts, sizes, k, (k >> shift).astype(np.int64), most), numbers)
+            for k in out:
+                out[k] += found[k]
         return out
 
-    return add_columns(documents, "n_tokens bigint, n_known bigint, base_score double, score double", fn, start)
+    return add_columns(documents, _RESULTS, fn, start)
+
 
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys: the first one, then the steps between them in as many bytes as the longest needs."""
+    steps = np.diff(keys)
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return keys[:1].astype("<u8").tobytes() + bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
-def _joined_scores(documents: DataFrame, model: LanguageModel, text: str) -> DataFrame:
-    """The same by joins on exact counts, quantised alike, for models too large to broadcast."""
-    pinned = saved(documents.drop("n_tokens", "n_known", "base_score", "score").withColumn("_row", F.monotonically_increasing_id()))
-    column, row = pinned.columns.index(text), pinned.columns.index("_row")
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        hashes = TokenHashes()
+def _unpacked(data: bytes) -> np.ndarray:
+    width = data[8]
+    steps = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    out = np.zeros((len(steps) + 1, 8), np.uint8)
+    out[0], out[1:, :width] = np.frombuffer(data, np.uint8, 8), steps
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _joined_scores(documents: DataFrame, model: LanguageModel, text: str, block_tokens: int = 3_000_000) -> DataFrame:
+    """The same for models too large to broadcast: every block of documents asks each shard once for its distinct words and pairs.
+
+    A shard's task looks the words up and probes the same filter bits; the counts and levels go back, in the order asked, to
+    the block's documents.  Blocks are bounded, so neither a frequent pair nor a long table gathers in one task."""
+    spark, shards = documents.sparkSession, model.shards
+    release(spark)
+    new = T.StructType.fromDDL(_RESULTS)
+    kept = documents.drop(*new.names)
+    column = kept.columns.index(text)
+    shift = np.uint64(64 - shards.bit_length() + 1)
+    numbers = (model.tokens, model.types, model.base, model.weight)
+
+    def number(b: pa.RecordBatch, numbered: Iterator[int]) -> dict:
+        blocks, rows, part, size = [], [], TaskContext.get().partitionId() << 32, block_tokens
+        for t in b.column(column):
+            if size >= block_tokens:
+                block, row, size = part + next(numbered), 0, 0
+            blocks.append(block)
+            rows.append(row)
+            row, size = row + 1, size + len((t.as_py() or "").split()) + 1
+        return {"_lm_block": blocks, "_lm_row": rows}
+
+    pinned = saved(add_columns(kept, "_lm_block bigint, _lm_row bigint", number, lambda: iter(range(1 << 32))))
+    salts = max(1, math.ceil(documents.rdd.getNumPartitions() / shards))  # a longer table asks every shard in several tasks
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        """A piece is what one task reads of a block without a gap; it is named by its first row."""
+        hashes, docs, here, piece = TokenHashes(), [], None, 0
+
+        def asked() -> dict:
+            block = _Block(docs)
+            out: dict = {k: [] for k in ("kind", "shard", "asked")}
+            for kind, keys in enumerate((block.words, block.pairs())):
+                cut = np.searchsorted(keys >> shift, np.arange(shards + 1).astype(np.uint64))
+                own = [s for s in range(shards) if cut[s + 1] > cut[s]]
+                out["shard"] += own
+                out["kind"] += [kind] * len(own)
+                out["asked"] += [_packed(keys[cut[s] : cut[s + 1]]) for s in own]
+            n = len(out["shard"])
+            return out | {"block": [here] * n, "piece": [piece] * n, "salt": [(here ^ here >> 32) % salts] * n}
+
         for b in batches:
-            for t, r in zip(b.column(column).to_pylist(), b.column(row).to_pylist()):
-                ids = hashes.of(t).view(np.int64)
-                before = np.concatenate([[0], ids[:-1]])
-                pairs = pair_key(before.view(np.uint64), ids.view(np.uint64)).view(np.int64)
-                starts = np.arange(len(ids)) == 0
-                _, at, n = np.unique(np.stack([starts, before, ids]), axis=1, return_index=True, return_counts=True)
-                yield {"_row": np.full(len(at), r), "start": starts[at], "h": before[at], "w": ids[at], "pair": pairs[at], "n": n}
-
-    def rows(kind: int) -> DataFrame:
-        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-            for b in batches:
-                for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    yield {"key": np.frombuffer(k, np.int64), "c": np.frombuffer(n, np.int64)}
-
-        return map_batches(model.table.where(F.col("kind") == kind).select("keys", "counts"), "key bigint, c bigint", unpack)
-
-    tokens = map_batches(pinned, "_row bigint, start boolean, h bigint, w bigint, pair bigint, n bigint", explode)
-    words = rows(0)
-    joined = (
-        tokens.join(words.select(F.col("key").alias("w"), F.col("c").alias("cw")), "w", "left")
-        .join(words.select(F.col("key").alias("h"), F.col("c").alias("ch")), "h", "left")
-        .join(rows(1).select(F.col("key").alias("pair"), F.col("c").alias("cp")), "pair", "left")
-        .na.fill(0, ["cw", "ch", "cp"])
-    )
-    single = (F.col("cw") + 0.1) / (model.tokens + 0.1 * (model.types + 1))
-    level = F.floor(F.log(F.greatest("cp", F.lit(1))) / math.log(model.base) + 1e-9)
-    held = F.when(F.col("cp") > 0, F.ceil(F.pow(F.lit(model.base), level) - 1e-9)).otherwise(0)
-    p = F.when(F.col("start") | (F.col("ch") == 0), single).otherwise(
-        model.weight * held / F.greatest("ch", F.lit(1)) + (1 - model.weight) * single)
-    sums = joined.groupBy("_row").agg(
-        F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("cw") > 0, F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("n") * F.log10(single)).alias("base_score"), F.sum(F.col("n") * F.log10(p)).alias("score"))
-    return pinned.join(sums, "_row").drop("_row")
+            for t, block, row in zip(*(b.column(i) for i in range(3))):
+                block, row = block.as_py(), row.as_py()
+                if docs and (block != here or row != piece + len(docs)):
+                    yield asked()
+                    docs = []
+                if not docs:
+                    here, piece = block, row
+                docs.append(hashes.of(t.as_py()))
+        if docs:
+            yield asked()
+
+    def answer(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        row = held.iloc[0] if len(held) else None
+        for kind, data in zip(asked["kind"], asked["asked"]):
+            keys = _unpacked(data)
+            if row is None:
+                values = np.zeros(len(keys), np.int64)
+            elif kind == 0:
+                values = _look_up(np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], np.int64), keys)
+            else:
+                values = probe_levels(
+                    np.frombuffer(row["bits"], np.uint8), np.zeros(1, np.int64), np.array([row["size"]], np.uint64), keys,
+                    np.zeros(len(keys), np.int64), np.full(len(keys), 1 << 15))
+            found.append(values.astype(np.int64 if kind == 0 else np.uint16).tobytes())
+        return pd.DataFrame({"_lm_block": asked["block"], "piece": asked["piece"], "kind": asked["kind"], "shard": asked["shard"], "found": found})
+
+    def answered() -> DataFrame:
+        asked = map_batches(
+            pinned.select(text, "_lm_block", "_lm_row"), "block bigint, piece bigint, kind int, shard int, salt int, asked binary", ask)
+        held = model.table.select("kind", "shard", "keys", "counts", "bits", "size", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        both = asked.groupBy("kind", "shard", "salt").cogroup(held.groupBy("kind", "shard", "salt"))
+        return saved(both.applyInPandas(answer, "_lm_block bigint, piece bigint, kind int, shard int, found binary"))
+
+    answers = answered()
+    release(spark)
+    arrow = to_arrow_schema(new)
+
+    def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        hashes, rows = TokenHashes(), rows.sort_by("_lm_row")
+        docs = [hashes.of(t) for t in rows.column(column).to_pylist()]
+        parts: dict = {}
+        for piece, kind, _, found in sorted(zip(*(answers.column(k).to_pylist() for k in ("piece", "kind", "shard", "found"))), key=lambda x: x[:3]):
+            parts.setdefault(piece, ([], []))[kind].append(found)
+        out: dict = {f.name: [] for f in arrow}
+        for at, end in zip(parts, [*list(parts)[1:], len(docs)]):
+            block = _Block(docs[at:end])
+            counts, levels, pairs = np.frombuffer(b"".join(parts[at][0]), np.int64), np.frombuffer(b"".join(parts[at][1]), np.uint16), block.pairs()
+            if len(counts) != len(block.words) or len(levels) != len(pairs):
+                raise ValueError("the answers do not fit the documents of their block")
+            found = block.sums(counts, lambda k, most: np.minimum(levels[np.searchsorted(pairs, k)].astype(np.int64), most), numbers)
+            for k in out:
+                out[k] += found[k]
+        rows = rows.drop_columns(["_lm_block", "_lm_row"])
+        return pa.table([*rows.columns, *(pa.array(out[f.name], f.type) for f in arrow)], names=[*rows.column_names, *arrow.names])
+
+    return pinned.groupBy("_lm_block").cogroup(answers.groupBy("_lm_block")).applyInArrow(score, T.StructType([*kept.schema.fields, *new.fields]))
 
 
 def score_texts(documents: DataFrame, model: LanguageModel, text: str = "text", most_bytes: int = 300_000_000) -> DataFrame:
     """``documents`` with n_tokens, n_known, base_score and score (log10) of every whole text (null: empty, its end alone).
 
-    A model of up to ``most_bytes`` (word counts and filters) is broadcast; a larger one is joined.  Rows stay as they are; repeated rows score alike; without training tokens every base score is 0 per token;
+    A model of up to ``most_bytes`` (word counts and filters) is broadcast; of a larger one every shard answers what blocks of
+    documents ask.  The same filter decides either way, with the same results.  Rows stay as they are; repeated rows score alike; without training tokens every base score is 0 per token;
     input columns named like a result are replaced."""
     by_broadcast = model.bytes <= most_bytes
     return (_broadcast_scores if by_broadcast else _joined_scores)(documents, model, text)
