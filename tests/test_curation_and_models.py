@@ -93,6 +93,22 @@ def test_no_term_is_dropped(spark):
     assert out.where(vector_to_array("tf_word")[0].isNull() | (F.aggregate(vector_to_array("tf_word"), F.lit(0.0), lambda a, x: a + x) != 1.0)).count() == 0
 
 
+def test_registered_model_has_the_full_width(spark, monkeypatch):
+    from veilspark_checks import queries as Q
+
+    tables = {
+        "documents": labelled(spark).select(F.col("id").alias("doc_id"), "text"),
+        "labels": labelled(spark).select(F.col("id").alias("doc_id"), (F.col("label") == "C").cast("int").alias("toxic"), (F.col("label") == "O").cast("int").alias("quality"))}
+    asked = []
+    train = ML.train_grade_model
+    monkeypatch.setattr(Q, "table", lambda spark, sf, name: tables[name])
+    monkeypatch.setattr(ML, "train_grade_model", lambda *a, **k: asked.append(k) or train(*a, **k | {"max_iter": 3}))
+    scored = Q.grade_model_scores(spark, "")
+    assert scored.count() == 48 and "width" not in asked[0]
+    features = ML.fit_features(labelled(spark)).transform(labelled(spark)).schema["features"].metadata
+    assert features["ml_attr"].keys() <= {"num_attrs"}  # no name for each of 2^18 indexes
+
+
 @pytest.mark.skipif(not os.environ.get("RUN_SLOW"), reason="three margin models take minutes in local mode")
 def test_model_variants_are_compared(spark):
     pack = KeywordPack(roles={"strong_procedural": ["복구 절차"], "s_business_sensitive": ["단가"], "weak": ["안내"]})

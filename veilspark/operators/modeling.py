@@ -23,6 +23,7 @@ from veilspark.functions.grades import GRADES
 from veilspark.functions.keywords import KeywordPack, normalized, role_matches
 from veilspark.functions.running import smallest_by_hash
 
+ROWS_PER_TASK = 4000
 KEYWORD_FEATURES = ("strong_procedural", "s_business_sensitive", "ambiguous_action", "weak")
 
 
@@ -144,6 +145,7 @@ def fit_features(
     Every term counts: it is indexed by its hash, so no vocabulary is cut off or brought to the driver.  Terms that meet in
     one of the ``width`` indexes share a weight."""
     stages, parts = [], []
+    alone = len(kinds) == 1 and pack is None  # an assembler would name every index in the column's metadata
     for kind in kinds:
         tok = SQLTransformer(statement=f"SELECT *, {TOKENS[kind](text)} AS tok_{kind} FROM __THIS__")
         counts = HashingTF(inputCol=f"tok_{kind}", outputCol=f"tf_{kind}", numFeatures=width)
@@ -152,12 +154,13 @@ def fit_features(
         stages += [
             fitted.stages[0], fitted.stages[1],
             ElementwiseProduct(inputCol=f"tf_{kind}", outputCol=f"w_{kind}", scalingVec=weights),
-            Normalizer(inputCol=f"w_{kind}", outputCol=f"x_{kind}", p=2.0),
+            Normalizer(inputCol=f"w_{kind}", outputCol="features" if alone else f"x_{kind}", p=2.0),
         ]
         parts.append(f"x_{kind}")
     if pack is not None:
         parts += [f"kw_{r}" for r in KEYWORD_FEATURES]
-    stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
+    if not alone:
+        stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
     return PipelineModel(stages)
 
 
@@ -200,6 +203,8 @@ class LogisticGradeModel(GradeModel):
         prepared = self._prepare(train).select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
         data = _indexed(with_balanced_weight(prepared))
         n = max(data.count(), 1)
+        # Every task of an iteration hands on a dense gradient of three rows of ``width``: it should have rows to sum.
+        data = data.coalesce(-(-n // ROWS_PER_TASK))
         self.model = LogisticRegression(
             featuresCol="features", labelCol="y", weightCol="weight", family="multinomial", maxIter=max_iter,
             regParam=1.0 / n, standardization=False).fit(data)

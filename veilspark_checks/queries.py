@@ -686,7 +686,7 @@ def grade_model_scores(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     truth = table(spark, sf, "labels").select("doc_id", F.when(F.col("toxic") == 1, "C").when(F.col("quality") == 0, "S").otherwise("O").alias("label"))
     train = docs.join(truth, "doc_id")
-    m = modeling.train_grade_model(train, "lr_char", "doc_id", width=1 << 12)
+    m = modeling.train_grade_model(train, "lr_char", "doc_id")
     return m.score(docs).select("doc_id", "pred", F.round("confidence", 3).alias("confidence"))
 
 
