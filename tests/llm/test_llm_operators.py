@@ -368,6 +368,17 @@ def test_language_id(spark):
     assert identify_language(df.limit(0), learned).count() == 0
 
 
+def test_every_label_is_learned_from_all_of_its_texts(spark):
+    r = random.Random(4)
+    own = {f"l{i:03}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(12)] for i in range(230)}
+    rows = [(i * 4 + j, " ".join(r.choice(w) for _ in range(30)), k) for i, (k, w) in enumerate(own.items()) for j in range(2)]
+    learned = learn_dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_rows=100)
+    assert learned.keys() == own.keys()
+    header = "same header " * 100
+    paged = spark.createDataFrame([(i, header + "eigener Rumpf " * 400, "de") for i in range(50)], "doc_id long, text string, lang string")
+    assert learn_dictionaries(paged)["de"].count(b"rumpf") > 1000
+
+
 def test_pipeline(spark, folder):
     import corpus_pipeline as cp
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilspark.llm.shared import add_columns
 
@@ -21,22 +22,31 @@ def plain(text: str) -> bytes:
 
 def learn_dictionaries(
     labelled: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", rows: int = 600, excerpt: int = 1000,
-    most_languages: int = 200,
+    most_rows: int = 120_000,
 ) -> dict[str, bytes]:
     """A raw-content dictionary per language: excerpts of labelled rows in plain form, one after another.
 
-    The sample is bounded by parameters and documented: about ``rows`` rows of each of the ``most_languages`` most frequent
-    labels, chosen by hash of id and text, and ``excerpt`` characters of each.  Only the label is counted over all rows;
-    the sample is then taken by a filter, without a shuffle of texts.  Rows with a null label or text teach nothing."""
+    Every label is learned.  The sample is bounded by parameters and documented: about ``rows`` rows of each label, fewer of
+    each where the labels are so many that this would be more than ``most_rows``, but at least one, chosen by hash of id
+    and text; and ``excerpt`` characters of each, from a place in the whole text that a hash chooses.  Only labels are counted
+    over all rows; the sample is then taken by a filter, without a shuffle of texts.  Rows with a null label or text teach
+    nothing."""
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(most_languages).collect()}
+    place, size = F.xxhash64(F.col(id).cast("string"), F.length(text)), F.length(text)
+    chance = F.pmod(place, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    counts = {r[0]: (r[1], r[2]) for r in known.groupBy(lang).agg(F.count("*"), F.min(chance)).collect()}
     if not counts:
         return {}
-    share = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, rows / n)))]), F.col(lang))
-    chance = F.pmod(F.xxhash64(F.col(id).cast("string"), F.length(text)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = max(1, min(rows, most_rows // len(counts)))
+    shares = labelled.sparkSession.createDataFrame(
+        [(k, max(rows / n, least)) for k, (n, least) in counts.items()],
+        T.StructType([T.StructField(lang, labelled.schema[lang].dataType), T.StructField("_share", T.DoubleType())]))
+    start = (F.pmod(F.xxhash64(place), F.greatest(size - excerpt + 1, F.lit(1))) + 1).cast("int")
+    first = Window.partitionBy(lang).orderBy("c", "t")
     sample = (
-        known.where(F.coalesce(chance < share, F.lit(False))).select(F.col(lang), F.left(F.col(text), F.lit(excerpt)).alias("t"), chance.alias("c"))
-        .orderBy("c", "t").limit(2 * rows * len(counts)).collect()
+        known.join(F.broadcast(shares), lang).where(chance <= F.col("_share"))
+        .select(F.col(lang), F.substring(F.col(text), start, F.lit(excerpt)).alias("t"), chance.alias("c"))
+        .withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= 2 * rows).drop("_n").orderBy("c", "t").collect()
     )
     out: dict[str, list[bytes]] = {k: [] for k in counts}
     for k, t, _ in sample:
