@@ -379,6 +379,17 @@ def test_every_label_is_learned_from_all_of_its_texts(spark):
     assert learn_dictionaries(paged)["de"].count(b"rumpf") > 1000
 
 
+def test_language_margin_does_not_shrink_with_length(spark):
+    r = random.Random(8)
+    make = lambda: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(1500)]
+    a, b = make(), make()
+    draw = lambda words, n: " ".join(r.choice(words) for _ in range(n))
+    learned = {"a": draw(a, 8_000).encode(), "b": draw(b, 8_000).encode()}
+    df = spark.createDataFrame([(1, draw(a, 8_000)), (2, draw(a, 400_000))], "doc_id long, text string")
+    short, long = by_id(identify_language(df, learned), "doc_id", "lang_pred", "score", "rejected")
+    assert short[1] == long[1] == "a" and not long[3] and long[2] > short[2] / 2
+
+
 def test_pipeline(spark, folder):
     import corpus_pipeline as cp
 

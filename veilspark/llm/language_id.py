@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from veilspark.llm.shared import add_columns
 
+_BLOCK = 1 << 16
 _LETTER = regex.compile(r"\p{L}")
 #: ASCII bytes that are no letters become blanks; marks, digits and separators say nothing about a language.
 _TABLE = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256))
@@ -60,7 +61,8 @@ def identify_language(
     """``documents`` with ``lang_pred``, ``score`` and ``rejected``.
 
     Each whole text, in plain form, is compressed with every language's zstandard dictionary; the smallest result names the
-    language, at a tie the first name.  ``score`` (0 to 1) is the share of bytes saved against the second best language.
+    language, at a tie the first name.  A long text is compressed in blocks of 64 KB, whose sizes are summed: what a dictionary
+    saves is bounded, and over one long stream the margin would shrink with the length.  ``score`` (0 to 1) is the share of bytes saved against the second best language.
     ``rejected`` is set where this margin is at most ``margin``, and for texts without a letter.  Null texts, and texts
     without a letter, are ``unknown`` with score 0; with one learned language every other text gets it with score 1, with
     none ``unknown``.  Rows are neither shuffled nor dropped; input columns named like a result are replaced."""
@@ -85,7 +87,8 @@ def identify_language(
                 name, score = unknown, 0.0
             else:
                 data = plain(t)
-                sizes = sorted((len(c.compress(data)), k) for k, c in models)
+                cut = [data[i : i + _BLOCK] for i in range(0, len(data), _BLOCK)]
+                sizes = sorted((sum(len(c.compress(x)) for x in cut), k) for k, c in models)
                 name = sizes[0][1]
                 score = (sizes[1][0] - sizes[0][0]) / sizes[1][0] if len(sizes) > 1 else 1.0
             names.append(name)
