@@ -349,6 +349,12 @@ def test_suffix_dedup(spark, docs):
     assert remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_with_a_null_text_beside_a_repeat(spark):
+    t = " ".join(WORDS)
+    df = spark.createDataFrame([(1, t), (1, None), (2, t), (2, None)], "doc_id long, text string")
+    assert remove_repeats(df).count() == 4
+
+
 def test_language_id(spark):
     r = random.Random(6)
     own = {"aa": "the and ing tion with for her".split(), "bb": "der und keit sch ung mit ein".split(), "cc": "que de la ment aux oire pour".split()}

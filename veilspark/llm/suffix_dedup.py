@@ -218,7 +218,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, id: str = "doc_id", t
         for b in batches:
             out: dict = {k: [] for k in ("r", "c", "d", "a", "m")}
             for d, t, packed in zip(*(b.column(k).to_pylist() for k in range(3))):
-                data = t.encode("utf-8", "surrogatepass")
+                data = (t or "").encode("utf-8", "surrogatepass")
                 for w in set(packed):
                     p = w >> 24
                     first, last = p - (w >> 12 & 4095), p - (w & 4095)
@@ -248,7 +248,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, id: str = "doc_id", t
         for b in batches:
             out: dict = {"name": [], "d": [], "a": []}
             for d, t, own in zip(*(b.column(k).to_pylist() for k in range(3))):
-                data = t.encode("utf-8", "surrogatepass")
+                data = (t or "").encode("utf-8", "surrogatepass")
                 starts = {s for x in own for s in range(x["a"], x["a"] + x["m"])}
                 for s in starts:
                     name, a = _hash(data[s : s + length]), s
