@@ -83,9 +83,11 @@ def _deal(key: tuple[bytes, object]) -> int:
 
 
 def output_pieces(documents: DataFrame, id: str = "doc_id", text: str = "text", seed: int = 1, plain: int = 10, spm: int = 20,
-                  chunk: int = 32_768) -> RDD:
+                  chunk: int = 32_768, part_chars: int = 16 << 20) -> RDD:
     """((document, output position), chunk) in order of that key; position -1 holds (id, n, form, prefix, middle).
 
+    The texts are measured first, so that a partition sorts about ``part_chars`` code points, however many there are.
+
     A document is named by a 128-bit hash of its id and text and the partition it was read from.  So rows with equal ids
     or none at all stay apart, and equal rows have equal pieces at every position, of which readers count one; a hot
     group of equal rows is spread over as many keys as partitions hold it."""
@@ -109,9 +111,9 @@ def output_pieces(documents: DataFrame, id: str = "doc_id", text: str = "text",
                     yield (row, at), content[start : min(start + chunk, hi)]
                     at += 1
 
+    total = documents.agg(F.sum(F.char_length(F.col(text).cast("string")))).first()[0] or 0
+    parts = max(documents.sparkSession.sparkContext.defaultParallelism, -(-total // part_chars))
     rows = documents.select(F.col(id), F.col(text).cast("string")).rdd
-    wanted = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, wanted, rows.getNumPartitions())
     return rows.mapPartitions(pieces).repartitionAndSortWithinPartitions(parts, _deal)
 
 
