@@ -257,7 +257,7 @@ def _broadcast_scores(documents: DataFrame, model: LanguageModel, text: str) ->
     sent = documents.sparkSession.sparkContext.broadcast(parts)  # ``score_texts`` has checked its size
     del parts
     numbers, shift = (model.tokens, model.types, model.base, model.weight), np.uint64(64 - model.shards.bit_length() + 1)
-    column = documents.columns.index(text)
+    column = documents.drop(*T.StructType.fromDDL(_RESULTS).names).columns.index(text)
 
     def start() -> tuple:
         m = sent.value
@@ -401,7 +401,7 @@ def _joined_scores(documents: DataFrame, model: LanguageModel, text: str, block_
     return pinned.groupBy("_lm_block").cogroup(answers.groupBy("_lm_block")).applyInArrow(score, T.StructType([*kept.schema.fields, *new.fields]))
 
 
-def score_texts(documents: DataFrame, model: LanguageModel, text: str = "text", most_bytes: int = 300_000_000) -> DataFrame:
+def score_texts(documents: DataFrame, model: LanguageModel, text: str = "text", most_bytes: int = 128_000_000) -> DataFrame:
     """``documents`` with n_tokens, n_known, base_score and score (log10) of every whole text (null: empty, its end alone).
 
     A model of up to ``most_bytes`` (word counts and filters) is broadcast; of a larger one every shard answers what blocks of
