@@ -17,7 +17,7 @@ from veilspark.llm.decontamination import mark_hits, words_of
 from veilspark.llm.language_id import identify_language, learn_dictionaries
 from veilspark.llm.line_dedup import CuckooFilter, LineIndex, dedup_lines
 from veilspark.llm.lm_scoring import _broadcast_scores, _joined_scores, count_corpus, score_texts
-from veilspark.llm.ngram_join import jaccard_components, trie_links
+from veilspark.llm.ngram_join import jaccard_components, one_of_each, trie_links
 from veilspark.llm.packing import WordIds, pack
 from veilspark.llm.queries import tokenizer_file
 from veilspark.llm.shared import components
@@ -89,6 +89,30 @@ def test_jaccard_components(spark, docs):
     assert sorted(map(str, by_id(jaccard_components(odd).na.fill(-1), "doc_id", "component_id"))) == ["(-1, -1)", "(-1, 4)", "(4, 4)"]
 
 
+def test_rows_without_an_id_link_others(spark):
+    base = [f"w{i}" for i in range(70)]
+    near, far = base[:65] + ["x1", "x2", "x3", "x4", "x5"], ["y1", "y2", "y3", "y4", "y5"] + base[5:65] + ["x1", "x2", "x3", "x4", "x5"]
+    df = spark.createDataFrame([(1, " ".join(base)), (None, " ".join(near)), (None, " ".join(near)), (2, " ".join(far))], "doc_id bigint, text string")
+    assert sorted(by_id(jaccard_components(df).na.fill(-1), "doc_id", "component_id")) == [(-1, 1), (-1, 1), (1, 1), (2, 1)]
+    assert by_id(one_of_each(df), "doc_id") == [(1,)]
+
+
+def test_one_of_each(spark):
+    r = random.Random(2)
+    base = [f"w{i}" for i in range(80)]
+    other = " ".join(f"z{i}" for i in range(50))
+    copy = lambda i: " ".join(base[:i] + ["new"] + base[i + 1 :])
+    rows = [(1, " ".join(base)), (2, copy(40)), (2, other), (None, copy(41)), (None, "quite another text of its own here"), (3, None), (3, None),
+            (4, " "), (4, None), (None, None), (5, other.upper()), (1, "  ".join(base)), (9, "one more text that is like none")]
+    r.shuffle(rows)
+    df = spark.createDataFrame([(*x, 7, "c", 0) for x in rows], "doc_id bigint, text string, _cls int, g string, n int").withColumnsRenamed({"_cls": "cls"}).repartition(4)
+    got = by_id(one_of_each(df).na.fill(-1, ["doc_id"]).na.fill("", ["text"]), "doc_id", "text")
+    got = sorted((d, " ".join(t.split()) if t and d == 1 else t or "") for d, t in got)
+    assert got == sorted([(1, " ".join(base)), (2, other), (-1, "quite another text of its own here"), (3, ""), (4, " "), (4, ""), (-1, ""),
+                          (9, "one more text that is like none")])
+    assert one_of_each(df).columns == df.columns and one_of_each(df.limit(0)).count() == 0
+
+
 def test_trie_walk():
     r = random.Random(5)
     for _ in range(300):

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.shared import components, map_batches, saved, sorted_groups
+from veilspark.llm.shared import add_columns, components, map_batches, narrow, saved, sorted_groups
 
 _HEAVY = 1 << 48  # set in the order key of frequent shingles: they come last
 _COUNTERS = 1 << 20
@@ -20,9 +20,15 @@ _M1, _M2, _HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93),
 
 
 class WordHashes(dict):
+    """Hashes of words seen lately; words and their entries take 48 MB at most."""
+
+    room = 48 << 20
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        self.room -= len(word) + 200  # what an entry of the table and its two objects take
+        if self.room < 0:
             self.clear()
+            self.room = type(self).room
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
@@ -111,6 +117,45 @@ def jaccard_components(
 ) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
 
+    See ``linked_classes``.  Null ids link like others but give no component id of their own; repeated rows get equal
+    results; extra columns are not returned."""
+    rows, classes = linked_classes(documents, n, percent, id, text, heavy_factor, group)
+    grouped = rows.join(classes.select("cls", "g"), "cls", "left")
+    least = classes.groupBy("g").agg(F.min("rep").alias("least"))
+    return grouped.join(least, "g", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, n: int = 5, percent: int = 75, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``documents`` that stay when one row of every group of linked texts is kept, all columns as they were.
+
+    Rows are told apart by id and set of shingles: rows that share an id but no shingles are judged each for itself.  A
+    group keeps the row with the smallest id; null ids come last, so that one of them stays only where a group has no
+    other.  Of rows with the same id and set one stays.  Texts without words link with nothing; of such rows, those with
+    equal id and text are one."""
+    _, classes = linked_classes(documents, n, percent, id, text)
+    cls, own = (next(name for k in range(len(documents.columns) + 1) if (name := f"_{x}{k}") not in documents.columns) for x in ("class", "id"))
+    first = F.struct(F.col("rep").isNull().alias("last"), "rep", "cls")
+    winners = classes.groupBy("g").agg(F.min(first).alias("w")).select(
+        F.col("w.cls").alias(cls), F.coalesce(F.col("w.rep").cast("string"), F.lit("null")).alias(own))
+    blank = F.coalesce(F.trim(F.col(text), F.lit(" \t\n\x0b\x0c\r")), F.lit("")) == ""
+    place = documents.columns.index(text)
+
+    def classed(b: pa.RecordBatch, words: WordHashes) -> dict:
+        return {cls: [_class(shingle_set(t.as_py(), words, n)) for t in b.column(place)]}
+
+    spoken = add_columns(documents.where(~blank), f"{cls} bigint", classed, WordHashes)
+    spoken = spoken.withColumn(own, F.coalesce(F.col(id).cast("bigint").cast("string"), F.lit("null")))
+    kept = spoken.join(winners, [cls, own], "left_semi").dropDuplicates([cls, own])
+    return kept.select(*documents.columns).union(documents.where(blank).dropDuplicates([id, text]))
+
+
+def linked_classes(
+    documents: DataFrame, n: int = 5, percent: int = 75, id: str = "doc_id", text: str = "text", heavy_factor: float = 2.5, group: int = 256,
+) -> tuple[DataFrame, DataFrame]:
+    """(per document: doc_id, n, cls; per class of equal sets: cls, rep, g): ``g`` names the component of a class by its
+    links, ``rep`` is the smallest doc_id of the class.
+
     Two documents link when 100 * overlap >= ``percent`` * union of their sets of ``n``-word shingles.  All links between
     different sets count; equal sets are one class.
 
@@ -125,9 +170,8 @@ def jaccard_components(
        copies cost a few comparisons each, and no link between components is lost.
     4. Sets are made again from the texts of the few classes in question, not kept for all.
 
-    Texts without words are empty sets and link with nothing; null ids link like others but give no component id of their
-    own; repeated rows get equal results; extra columns are not returned.  Shingles are told apart by 48-bit hashes, sets
-    by 64-bit ones."""
+    Texts without words are empty sets of no class and link with nothing; an empty table gives no rows.  Shingles are told
+    apart by 48-bit hashes, sets by 64-bit ones."""
     source = documents.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def facts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -228,30 +272,27 @@ def jaccard_components(
             .select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
         )
 
-    done = saved(paired(shared.select("h", row.alias("x")), centres(shared, range(8)), F.lit(True)))
+    done = saved(narrow(paired(shared.select("h", row.alias("x")), centres(shared, range(8)), F.lit(True))))
     links = _verified(done, classes, source, ordered, n, percent, group)
     for seeds in (range(8, 16), None):  # more centres for classes outside a bucket's largest component, then all pairs left
         comp = components(links)
-        labelled = saved(shared.join(comp.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c")))
+        labelled = saved(narrow(shared.join(comp.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))))
         per = labelled.groupBy("h", "component").agg(F.count("*").alias("m")).groupBy("h").agg(
             F.max_by("component", "m").alias("main"), F.count("*").alias("k")).where("k > 1").select("h", "main")
-        mixed = saved(labelled.join(per, "h"))
+        mixed = saved(narrow(labelled.join(per, "h")))
         outside = mixed.where("component <> main").select("h", F.struct("n", "c", "i", "component").alias("x"))
         if seeds:
             pairs = paired(outside, centres(mixed.where("component = main"), seeds), F.lit(True))
         else:
             pairs = paired(outside, mixed.select("h", F.struct("n", "c", "i", "component").alias("y")), F.col("x.component") != F.col("y.component"))
-        pairs = saved(pairs.join(done, ["a", "b"], "left_anti"))
+        pairs = saved(narrow(pairs.join(done, ["a", "b"], "left_anti")))
         if not pairs.isEmpty():
             links = links.union(_verified(pairs, classes, source, ordered, n, percent, group))
             done = done.union(pairs)
     comp = components(links)
 
-    grouped = rows.join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("g", F.coalesce("component", "cls"))
-    least = classes.join(comp.withColumnRenamed("id", "cls"), "cls", "left").groupBy(
-        F.coalesce("component", "cls").alias("g")).agg(F.min("rep").alias("least"))
-    return grouped.join(least, "g", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    named = classes.join(comp.withColumnRenamed("id", "cls"), "cls", "left")
+    return rows, named.select("cls", "rep", F.coalesce("component", "cls").alias("g"))
 
 
 def _heavy_counters(facts: DataFrame, factor: float) -> bytes:
@@ -274,14 +315,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, source: DataFrame, ordered:
     """The links (a, b) among ``pairs`` of classes."""
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for b in batches:
+        for b in (batch.slice(lo, 256) for batch in batches for lo in range(0, batch.num_rows, 256)):
             a, z, x, y, m, k = (b.column(i).to_pylist() for i in range(6))
             keep = [i for i in range(len(a)) if _may_overlap(x[i], y[i], m[i], k[i], int(_least_overlap(m[i] + k[i], percent)))]
             yield {"a": [a[i] for i in keep], "b": [z[i] for i in keep]}
 
     side = lambda k: classes.select(F.col("cls").alias(k), F.col("bins").alias(f"bins_{k}"), F.col("n").alias(f"n_{k}"))
-    near = saved(map_batches(
-        pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "bins_a", "bins_b", "n_a", "n_b"), "a bigint, b bigint", bounded))
+    near = saved(narrow(map_batches(
+        pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "bins_a", "bins_b", "n_a", "n_b"), "a bigint, b bigint", bounded)))
     # Groups around one class, cut into parts of bounded size.
     sizes = near.groupBy("a").agg(F.ceil(F.count("*") / group).alias("parts"))
     members = near.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).select("a", "part", "b")
@@ -293,13 +334,26 @@ def _verified(pairs: DataFrame, classes: DataFrame, source: DataFrame, ordered:
         words = WordHashes()
         for b in batches:
             out: dict = {"b": [], "keys": []}
-            for cls, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                keys = shingle_set(t, words, n)
+            for cls, t in zip(b.column(0), b.column(1)):
+                cls, keys = cls.as_py(), shingle_set(t.as_py(), words, n)
                 if len(keys) and _class(keys) == cls:  # rows may share a doc_id
                     out["b"].append(cls)
                     out["keys"].append(ordered(keys).tobytes())
             yield out
 
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        words, seen = WordHashes(), set()
+        for b in batches:
+            out: dict = {"cls": [], "text": []}
+            for t in b.column(0):
+                keys = shingle_set(t.as_py(), words, n)
+                cls = _class(keys) if len(keys) else None
+                if cls is not None and cls not in seen:
+                    seen.add(cls)
+                    out["cls"].append(cls)
+                    out["text"].append(t.as_py())
+            yield out
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for g in sorted_groups(batches, ("a", "part")):
             found = {c: np.frombuffer(k, np.int64) for c, k in zip(g["b"], g["keys"])}
@@ -309,7 +363,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, source: DataFrame, ordered:
                 hits = trie_links(query, list(found.items()), percent)
                 yield {"a": [centre] * len(hits), "b": hits}
 
-    made = saved(map_batches(
-        source.where(F.col("doc_id").isNotNull()).join(wanted, "doc_id").select("cls", "text"), "b bigint, keys binary", sets))
+    # Classes that no id leads to are found among the rows without one by their sets.
+    nameless = map_batches(source.where(F.col("doc_id").isNull()).select("text"), "cls bigint, text string", classed)
+    nameless = nameless.join(wanted.where("doc_id is null").select("cls"), "cls").groupBy("cls").agg(F.first("text").alias("text"))
+    named = source.where(F.col("doc_id").isNotNull()).join(wanted, "doc_id").select("cls", "text")
+    made = saved(narrow(map_batches(named.union(nameless), "b bigint, keys binary", sets)))
     spread = members.join(made, "b").repartition("a", "part").sortWithinPartitions("a", "part")
-    return saved(map_batches(spread.select("a", "part", "b", "keys"), "a bigint, b bigint", walk))
+    return saved(narrow(map_batches(spread.select("a", "part", "b", "keys"), "a bigint, b bigint", walk)))

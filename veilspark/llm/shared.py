@@ -33,6 +33,12 @@ def saved(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def narrow(df: DataFrame, per_core: int = 4) -> DataFrame:
+    """A table of ids in a few partitions for every core of the cluster: it is written in that many files, however many the
+    shuffle before it has.  (Every new file costs an executor a process on some file systems.)"""
+    return df.coalesce(max(1, per_core * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table made by ``saved`` once nothing reads it any more."""
     jvm = df.sparkSession._jvm
@@ -113,10 +119,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternating large-star and small-star rounds; every round is one written table, and no adjacency is gathered: the
     minimum per vertex is an aggregate and neighbours are joined to it."""
-    cur = saved(
+    cur = saved(narrow(
         edges.where(F.col(a) != F.col(b))
         .select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).distinct()
-    )
+    ))
     before = None
     while not cur.isEmpty():
         # Large star: every larger neighbour is linked to the vertex's minimum.
@@ -130,7 +136,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u"))
             .union(least.select("v", F.col("m").alias("u"))).where("v <> u").distinct()
         )
-        new = saved(small)
+        new = saved(narrow(small))
         state = new.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         forget(cur)
         cur = new
