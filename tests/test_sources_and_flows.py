@@ -1,12 +1,15 @@
+import csv
+import io
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions.keywords import pack_from_config
 from veilspark.operators import feedback as FB
-from veilspark.operators import units
+from veilspark.operators import mining, units
 from veilspark.plans import flows
 from veilspark.sources import corpus, delimited, feedback_files, routing, sinks
 from veilspark.streaming import feedback_stream as S
@@ -65,6 +68,59 @@ def test_delimited_rows_of_differing_width_keep_their_cells(spark, folder):
     assert {("x", "lee,*************,extra,"), ("x", ","), ("x", ""), ("y", "kim;*************")} <= lines
 
 
+def test_blocks_of_a_file_are_read_as_one(spark, folder):
+    """Random quoting in files of every encoding, cut into blocks of a few lines, against the whole-file reader."""
+    r = random.Random(5)
+    want = {}
+    for i in range(12):
+        text = "h1,h2,h3\n" + "".join(r.choice(["a", "b", ",", '"', "\n", "\r\n" if i % 3 else "\n", "é" if i % 4 == 1 else "가"]) for _ in range(300))
+        data = text.encode("utf-8-sig" if i % 4 == 0 else "utf-8" if i % 4 == 1 else "cp949")
+        if i % 4 == 3:
+            data = b"\xef\xbb\xbf" * (i % 8 == 3) + data + b'\xff\xfe"\n'
+        put(folder, f"{i}.csv", data)
+        for encoding in ("utf-8-sig", "cp949"):
+            try:
+                want[f"{i}.csv"] = data.decode(encoding)
+                break
+            except UnicodeDecodeError:
+                want[f"{i}.csv"] = data.decode("utf-8", errors="replace")
+    sizes = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(c) for c in sizes]
+    try:
+        for size in ("61", "128m"):
+            spark.conf.set(sizes[0], size)
+            spark.conf.set(sizes[1], "0")
+            got, delimiters = {}, {}
+            for x in delimited.read_delimited(spark, folder).collect():
+                name = os.path.basename(x.path)
+                assert x.row_no not in got.setdefault(name, {})
+                got[name][x.row_no], delimiters[name] = x.cells, x.delimiter
+            for name, text in want.items():
+                rows = list(csv.reader(io.StringIO(text, newline=""), delimiter=delimiters[name]))
+                assert [got[name].get(n + 1) for n in range(len(rows))] == rows and len(got[name]) == len(rows), name
+    finally:
+        for c, v in zip(sizes, before):
+            spark.conf.set(c, v)
+
+
+def test_markdown_lines_equal_whole_files(spark, folder):
+    r = random.Random(3)
+    parts = ["## one", "## two  ", "### sub", "**bold**", "**b2** : ", "text", "  more text ", "| a | b |", "|---|---|", "| c | d |", "", " ", "<!-- page 3 -->",
+             "## with <!-- page 2 -->", "#### four", "##no space", "line \ufffd", "x" * 500]
+    for i in range(6):
+        put(folder, f"f {i}.md", ("\r\n" if i % 2 else "\n").join(r.choice(parts) for _ in range(200)).encode() + b"\rlast")
+    whole = units.markdown_units(corpus.read_markdown(spark, folder), mining.is_table_header)
+    columns = ("source_file", "unit_no", "text", "heading_path", "preceding_text")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+        lines = corpus.read_markdown_lines(spark, folder)
+        got = sorted(tuple(x) for x in units.markdown_line_units(lines, mining.is_table_header, run=20).select(*columns).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sorted(tuple(x) for x in whole.select(*columns).collect()) and len(got) > 500
+
+
 def test_labelled_files_are_checked(spark, folder):
     good = put(folder, "g.csv", "text,cso_grade\n 글 ,C\n ,S\n".encode("utf-8-sig"))
     assert [(r.text, r.cso_grade) for r in delimited.read_labelled(spark, good).collect()] == [("글", "C")]
@@ -132,6 +188,27 @@ def test_feedback_stream_equals_batch(spark, folder):
     assert got.count() == 12 and got.where("isFalsePositive").count() == 6 and got.select("feedback_date").distinct().count() == 3
 
 
+def test_every_payload_is_stored_or_rejected_once(spark, folder):
+    inbox, store, rejects, check = (os.path.join(folder, x) for x in ("inbox", "store", "rejects", "check"))
+    os.mkdir(inbox)
+    for n in range(4):
+        payloads = [json.dumps({k: v for k, v in item("C", "CXQ"[i % 3], "pdf", i + 86400 * n).items() if not k.startswith("is")}) for i in range(6)]
+        put(inbox, f"{n}.json", "\n".join([*payloads, "not json", '{"context": "no place", "userGrade": "C"}']).encode())
+    S.store_feedback(S.payload_stream(spark, inbox, 2), store, rejects, check).awaitTermination()
+    # A run that broke off: the last batch counts as not done and one of its folders is half written.
+    done = sorted(int(f) for f in os.listdir(os.path.join(check, "commits")) if f.isdigit())
+    os.remove(os.path.join(check, "commits", str(done[-1])))
+    crc = os.path.join(check, "commits", f".{done[-1]}.crc")
+    if os.path.exists(crc):
+        os.remove(crc)
+    put(os.path.join(store, f"batch_id={done[-1]}"), "part-left-over.json", b'{"locationLabel": "twice"}')
+    S.store_feedback(S.payload_stream(spark, inbox, 2), store, rejects, check).awaitTermination()
+    stored, refused = spark.read.json(store), spark.read.json(rejects)
+    assert stored.count() == 4 * 4 and stored.where("locationLabel = 'twice'").count() == 0 and len(done) > 1
+    assert {x["error"]: x["count"] for x in refused.groupBy("error").count().collect()} == {
+        "userGrade must be one of C, S, O, X": 8, "payload is not a JSON object of the expected types": 4, "locationLabel is required": 4}
+
+
 def test_routing(spark):
     files = spark.createDataFrame([("/a/b.DOCX",), ("/a.v1/readme",), ("x.csv",)], "path string")
     ok, bad = routing.split_supported(files)
@@ -146,3 +223,18 @@ def test_result_documents(spark):
     assert r["success"] and r["applyMode"] == "applied" and r["metadata"]["originalFilename"] == "a.csv"
     assert r["autoResults"][0]["appliedText"] == "*" * 13 and r["autoResults"][0]["locationMeta"]["rowNo"] == 2
     assert r["summary"]["appliedLocations"] == 1 and r["reviewTargets"] == []
+    assert list(r) == ["success", "fileType", "applyMode", "inputFilePath", "outputFilePath", "autoResults", "reviewTargets", "warnings", "summary", "metadata"]
+    assert r["outputFilePath"] is None and r["metadata"]["fileSize"] is None
+    assert set(r["autoResults"][0]) == {"locationLabel", "locationMeta", "label", "action", "originalText", "appliedText", "status", "appliedTargetCount",
+                                        "skippedTargetCount", "warnings", "grade", "source"}
+    assert None not in r["autoResults"][0]["locationMeta"].values()
+
+
+def test_result_of_a_document_without_hits(spark):
+    docs = spark.createDataFrame([(1, "/in/a \"q\".pdf", "pdf"), (2, "/in/b.xyz", None)], "doc_id long, path string, file_type string")
+    rows = spark.createDataFrame([(9, 1, ["번호"])], "doc_id long, row_no int, cells array<string>")
+    out = flows.applied_cells(units.cell_units(rows, F.col("cells"), F.array(F.lit("번호")), F.col("row_no")))
+    warned = spark.createDataFrame([(1, "b"), (1, "a\n")], "doc_id long, warning string")
+    got = {r.doc_id: json.loads(r.result) for r in sinks.result_documents(docs, out.items, out.reviews, out.summary, warned).collect()}
+    assert got[1]["warnings"] == ["a\n", "b"] and got[1]["metadata"]["originalFilename"] == 'a "q".pdf' and got[1]["autoResults"] == []
+    assert set(got[1]["summary"].values()) == {0} and len(got[1]["summary"]) == 7 and got[2]["fileType"] is None and got[2]["applyMode"] is None

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from veilspark.functions.rules import IDENTIFIER_RULES, Rule
 from veilspark.operators.deid_plan import plan_units
 from veilspark.operators.detection import detect_units
-from veilspark.operators.feedback import valid_payload, with_flags
+from veilspark.operators.feedback import split_payloads, valid_payload, with_flags
 from veilspark.operators.redaction import redact_units
 
 PAYLOAD = (
@@ -20,6 +20,16 @@ PAYLOAD = (
 )
 
 
+#: Arriving lines that are no such object come whole in this column.
+CORRUPT = "_corrupt_record"
+
+
+def payload_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
+    """Arriving payload files (JSON lines), as they come."""
+    return spark.readStream.schema(f"{PAYLOAD}, {CORRUPT} string").option("maxFilesPerTrigger", max_files).option(
+        "columnNameOfCorruptRecord", CORRUPT).json(path)
+
+
 def feedback_inbox(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
     """Arriving payload files (JSON lines), accepted payloads only, with flags and day."""
     raw = spark.readStream.schema(PAYLOAD).option("maxFilesPerTrigger", max_files).json(path)
@@ -42,6 +52,38 @@ def append_feedback(feedback: DataFrame, store: str, checkpoint: str, **trigger)
     )
 
 
+def _folder(base: str, batch: int) -> str:
+    return f"{base.rstrip('/')}/batch_id={batch}"
+
+
+def store_feedback(payloads: DataFrame, store: str, rejects: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Every arriving payload goes to one of two places: accepted ones, with flags, to ``store`` by day, the others with the
+    reason to ``rejects``.
+
+    Each batch has a folder of its own in either place and is written over what an interrupted attempt has left there: a
+    batch keeps its number and its files after a restart, so nothing is lost and nothing comes twice."""
+    def both(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            accepted, rejected = split_payloads(batch)
+            if CORRUPT in batch.columns:
+                accepted = accepted.drop(CORRUPT)
+                rejected = rejected.withColumn("error", F.when(F.col(CORRUPT).isNotNull(), "payload is not a JSON object of the expected types").otherwise(F.col("error")))
+            prepared(accepted).drop("at").write.mode("overwrite").partitionBy("feedback_date").json(_folder(store, number))
+            rejected.write.mode("overwrite").option("ignoreNullFields", False).json(_folder(rejects, number))
+        finally:
+            batch.unpersist()
+
+    return payloads.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def append_daily_counts(feedback: DataFrame, path: str, checkpoint: str, lateness: str = "1 day", **trigger) -> StreamingQuery:
+    """Counts of every day that is closed, appended as Parquet once; days that may still get feedback stay in the state."""
+    return (
+        daily_counts(feedback, lateness).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        .outputMode("append").trigger(**(trigger or {"availableNow": True})).start())
+
+
 def daily_counts(feedback: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Totals, agreements and false positives per day; days close once the watermark has passed."""
     return (
