@@ -109,15 +109,17 @@ def test_registered_model_has_the_full_width(spark, monkeypatch):
     assert features["ml_attr"].keys() <= {"num_attrs"}  # no name for each of 2^18 indexes
 
 
-@pytest.mark.skipif(not os.environ.get("RUN_SLOW"), reason="three margin models take minutes in local mode")
 def test_model_variants_are_compared(spark):
     pack = KeywordPack(roles={"strong_procedural": ["복구 절차"], "s_business_sensitive": ["단가"], "weak": ["안내"]})
-    counts, models = flows.compare_models(labelled(spark), ("lr_char", "svc_char_word_keyword"), pack=pack, width=1 << 12, max_iter=8)
+    rows = labelled(spark).union(E.regression_set(spark).select(F.xxhash64("text").alias("id"), "text", "label", F.lit("1")))
+    counts, models = flows.compare_models(rows, ("lr_char", "svc_char_word_keyword"), pack=pack, width=1 << 12)
     summary = E.model_summary(counts).collect()
     assert len(summary) == 2 and all(r.accuracy > 0.95 for r in summary)
     assert E.best_model(E.model_summary(counts)).count() == 1
-    probe = spark.createDataFrame([("회의 메뉴를 안내합니다",)], "text string")
-    assert E.regressions(models["lr_char"].score(probe)).count() == 0
+    assert len(E.REGRESSION_SENTENCES) == 8
+    for m in models.values():
+        assert E.regressions(m.score(E.regression_set(spark))).count() == 0
+    assert E.regressions(models["lr_char"].score(E.regression_set(spark)), "S").count() == 8
 
 
 def test_augmented_rows_never_reach_the_test_part(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions.grades import GRADES
@@ -89,6 +89,24 @@ def false_alarms(df: DataFrame, truth: str = "truth", pred: str = "pred") -> Dat
     return df.where((F.col(truth) == "O") & F.col(pred).isin("C", "S"))
 
 
+# Sentences about grades and procedures that a model has to leave open.
+REGRESSION_SENTENCES = (
+    "기간의 경과 등으로 비공개 필요성이 소멸된 정보",
+    "O 등급 C 등급",
+    "S 등급",
+    "(비식별화 조치 내역 및 결과)",
+    "5) S등급 데이터 비식별화 조치 결과 검토 및 승인",
+    "C등급은 외부 공개 시 기관에 중대한 피해를 줄 수 있는 기밀 정보입니다",
+    "정보 등급별 외부 AI 활용 가능 여부를 확인하시기 바랍니다",
+    "비공개 분류 기준 검토서를 제출했습니다",
+)
+
+
+def regression_set(spark: SparkSession) -> DataFrame:
+    """(text, label): the regression sentences and the grade they should get."""
+    return spark.createDataFrame([(s, "O") for s in REGRESSION_SENTENCES], "text string, label string")
+
+
 def regressions(scored: DataFrame, expected: str = "O", pred: str = "pred") -> DataFrame:
     """Rows of a regression set that did not get the expected grade."""
     return scored.where(~F.col(pred).eqNullSafe(F.lit(expected)))

@@ -8,22 +8,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import (
     IDF, ElementwiseProduct, HashingTF, Normalizer, SQLTransformer, VectorAssembler,
 )
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.grades import GRADES
 from veilspark.functions.keywords import KeywordPack, normalized, role_matches
 from veilspark.functions.running import smallest_by_hash
+from veilspark.functions.text import let
+from veilspark.operators.linear import SparseRows, fit_margins, fit_sigmoids, fit_softmax, margin_model
 
-ROWS_PER_TASK = 4000
 KEYWORD_FEATURES = ("strong_procedural", "s_business_sensitive", "ambiguous_action", "weak")
 
 
@@ -70,11 +71,22 @@ def token_counts(df: DataFrame, key: str, text: str = "text", kind: str = "char_
         F.count("*").alias("tf"))
 
 
+def counted_terms_sql(tokens: str) -> str:
+    """An array of (term, tf) from an array of tokens: sorted, and cut where the term changes.  Linear after the sort, and
+    inside the row."""
+    firsts = "filter(sequence(0, size(s) - 1), i -> i = 0 or get(s, i) <> get(s, i - 1))"
+    runs = "transform(f, (a, j) -> struct(get(s, a) as term, cast(coalesce(get(f, j + 1), size(s)) - a as bigint) as tf))"
+    return (f"transform(array(array_sort({tokens})), s -> if(size(s) = 0, cast(array() as array<struct<term: string, tf: bigint>>), "
+            f"transform(array({firsts}), f -> {runs})[0]))[0]")
+
+
 def tfidf(df: DataFrame, key: str, text: str = "text", kind: str = "char_wb") -> DataFrame:
-    """(key, term, tf, df, weight): tf * (ln((1 + n) / (1 + df)) + 1), each text scaled to length 1.
+    """(key, term, tf, df, weight): tf * (ln((1 + n) / (1 + df)) + 1), each text scaled to length 1.  A row is a text; its
+    key should be its own.
 
-    The join by term is left to adaptive execution, which splits frequent terms."""
-    tf = token_counts(df, key, text, kind)
+    Terms are counted inside the row, so pairs move twice: to their term's frequency and back to their text.  A term's
+    frequency is one row, so adaptive execution can split the pairs of a frequent term."""
+    tf = df.select(key, F.inline(F.expr(counted_terms_sql(TOKENS[kind](text)))))
     dfreq = tf.groupBy("term").agg(F.count("*").alias("df")).withColumn("_j", F.lit(1))
     n = df.agg(F.count("*").alias("n")).withColumn("_j", F.lit(1))
     idf = dfreq.join(F.broadcast(n), "_j").select(
@@ -191,77 +203,96 @@ class GradeModel:
         out = keyword_counts(df, self.pack, text) if self.pack is not None else df
         return self.features.transform(out)
 
-    def _clean(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-        return df.select(*keep, "p_c", "p_s", "p_o", "pred", "confidence")
+    def _rows(self, train: DataFrame, fold: Column) -> SparseRows:
+        """The labelled rows as fitting reads them, tokens and vectors made once; rows of other labels are left out."""
+        known = _indexed(train.where(F.col("label").isin(*GRADES)).withColumn("fold", fold))
+        prepared = self._prepare(known)
+        return SparseRows(prepared.select("y", "fold", "features"), _width(prepared))
+
+    def _keep(self, context: SparkContext, coefficients: np.ndarray, intercepts: np.ndarray) -> None:
+        self.coefficients, self.intercepts = coefficients, intercepts
+        self.model = margin_model(context, coefficients, intercepts)
+
+    def margins(self, df: DataFrame) -> DataFrame:
+        """``df`` with the array ``margins``: one for every row of the coefficients."""
+        return self.model.transform(self._prepare(df)).withColumn("margins", vector_to_array("rawPrediction")).select(*df.columns, "margins")
+
+    def score(self, df: DataFrame) -> DataFrame:
+        scored = _graded(self.margins(df), self._probabilities(F.col("margins")))
+        return scored.select(*df.columns, "p_c", "p_s", "p_o", "pred", "confidence")
+
+    def _probabilities(self, margins: Column) -> Column:
+        raise NotImplementedError
 
 
 class LogisticGradeModel(GradeModel):
-    """Multinomial logistic regression with balanced class weights."""
-
-    def fit(self, train: DataFrame, max_iter: int = 100) -> LogisticGradeModel:
-        # Tokens and vectors are made once; counting, weighting and every iteration read the stored rows.
-        prepared = self._prepare(train).select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
-        data = _indexed(with_balanced_weight(prepared))
-        n = max(data.count(), 1)
-        # Every task of an iteration hands on a dense gradient of three rows of ``width``: it should have rows to sum.
-        data = data.coalesce(-(-n // ROWS_PER_TASK))
-        self.model = LogisticRegression(
-            featuresCol="features", labelCol="y", weightCol="weight", family="multinomial", maxIter=max_iter,
-            regParam=1.0 / n, standardization=False).fit(data)
-        prepared.unpersist()
+    """Multinomial logistic regression with balanced class weights, fitted until its derivatives vanish."""
+
+    def fit(self, train: DataFrame, max_iter: int = 1000, tolerance: float = 1e-4) -> LogisticGradeModel:
+        rows = self._rows(train, F.lit(0))
+        try:
+            coefficients, intercepts, self.iterations = fit_softmax(rows, len(GRADES), tolerance, max_iter)
+        finally:
+            rows.close()
+        self._keep(rows.context, coefficients, intercepts)
         return self
 
-    def score(self, df: DataFrame) -> DataFrame:
-        out = self.model.transform(self._prepare(df))
-        return self._clean(_graded(out, vector_to_array("probability")), df.columns)
+    def _probabilities(self, margins: Column) -> Column:
+        def shares(m: Column) -> Column:
+            e = F.transform(m, lambda x: F.exp(x - F.array_max(m)))
+            return let(e, lambda xs: F.transform(xs, lambda x: x / F.aggregate(xs, F.lit(0.0), lambda acc, y: acc + y)))
+
+        return let(margins, shares)
 
 
 class MarginGradeModel(GradeModel):
-    """One linear support-vector model per grade; a logistic curve fitted on held-out margins turns
-    each margin into a probability and the three are scaled to sum 1."""
-
-    def fit(self, train: DataFrame, key: str, max_iter: int = 50, holdout: float = 0.2) -> MarginGradeModel:
-        prepared = self._prepare(train).select(key, "label", "features").persist(StorageLevel.MEMORY_AND_DISK)
-        parts = stratified_split(prepared, key, share=holdout, augmented=None)
-        fit_on = with_balanced_weight(parts.where(F.col("part") == "train"))
-        held = parts.where(F.col("part") == "test")
-        n = max(fit_on.count(), 1)
-        self.models = []
-        for g in GRADES:
-            target = F.when(F.col("label") == g, 1.0).otherwise(0.0)
-            svc = LinearSVC(featuresCol="features", labelCol="y", weightCol="weight", maxIter=max_iter,
-                            regParam=1.0 / n, standardization=False).fit(fit_on.withColumn("y", target))
-            margins = self._margin(svc, held.withColumn("y", target))
-            curve = LogisticRegression(featuresCol="margin", labelCol="y", maxIter=25).fit(margins.select("margin", "y"))
-            self.models.append((svc, float(curve.coefficients[0]), float(curve.intercept)))
-        prepared.unpersist()
+    """Support-vector margins turned into probabilities by curves that were fitted on rows their classifier has not seen.
+
+    Rows are dealt into folds by a hash of their key.  For every fold, one classifier per grade is fitted on the other folds
+    and a logistic curve on this fold's margins.  A score is the mean over the folds of the curves' values, each fold's
+    scaled to sum 1.  So every row helps to fit ``folds`` - 1 classifiers and one set of curves."""
+
+    def fit(self, train: DataFrame, key: str, max_iter: int = 2000, folds: int = 5, tolerance: float = 1e-4) -> MarginGradeModel:
+        self.folds = folds
+        rows = self._rows(train, fold_of(key, folds))
+        try:
+            weights, self.iterations = fit_margins(rows, folds, len(GRADES), tolerance, max_iter)
+            self.curves = fit_sigmoids(rows, weights, folds, len(GRADES))
+            self._keep(rows.context, *rows.spread(weights))
+        finally:
+            rows.close()
         return self
 
-    @staticmethod
-    def _margin(svc, df: DataFrame) -> DataFrame:
-        raw = svc.transform(df.drop("rawPrediction", "prediction"))
-        m = F.get(vector_to_array("rawPrediction"), F.lit(1))
-        return raw.withColumn("margin", array_to_vector(F.array(m)))
+    def _probabilities(self, margins: Column) -> Column:
+        k = len(GRADES)
+        each = [1.0 / (1.0 + F.exp(-(F.lit(float(a)) * F.get(margins, F.lit(i)) + F.lit(float(b))))) for i, (a, b) in enumerate(self.curves)]
 
-    def score(self, df: DataFrame) -> DataFrame:
-        out = self._prepare(df)
-        for i, (svc, a, b) in enumerate(self.models):
-            out = svc.transform(out)
-            m = F.get(vector_to_array("rawPrediction"), F.lit(1))
-            out = out.withColumn(f"_q{i}", 1.0 / (1.0 + F.exp(-(F.lit(a) * m + F.lit(b))))).drop(
-                "rawPrediction", "prediction")
-        total = sum((F.col(f"_q{i}") for i in range(len(GRADES))), F.lit(0.0))
-        probs = F.array(*[
-            F.when(total > 0, F.col(f"_q{i}") / total).otherwise(1.0 / len(GRADES)) for i in range(len(GRADES))])
-        return self._clean(_graded(out, probs), df.columns)
+        def mean(q: Column) -> Column:
+            totals = [sum((F.get(q, F.lit(f * k + j)) for j in range(1, k)), F.get(q, F.lit(f * k))) for f in range(self.folds)]
+            return F.array(*[
+                sum((F.when(t > 0, F.get(q, F.lit(f * k + j)) / t).otherwise(1.0 / k) for f, t in enumerate(totals)), F.lit(0.0)) / self.folds
+                for j in range(k)])
+
+        return let(F.array(*each), mean)
+
+
+def fold_of(key: str, folds: int, seed: int = 42) -> Column:
+    """Fold 0 to ``folds`` - 1 of a row by a hash of its key."""
+    return F.pmod(F.conv(F.left(split_key(key, seed), F.lit(8)), 16, 10).cast("bigint"), F.lit(folds)).cast("int")
+
+
+def _width(prepared: DataFrame) -> int:
+    """Length of the feature vectors, from the column's metadata."""
+    return int(prepared.schema["features"].metadata["ml_attr"]["num_attrs"])
 
 
 def train_grade_model(
     train: DataFrame, variant: str = "lr_char", key: str = "id", pack: KeywordPack | None = None,
-    width: int = 1 << 18, max_iter: int = 100,
+    width: int = 1 << 18, max_iter: int | None = None, tolerance: float = 1e-4,
 ) -> GradeModel:
     """Variants: ``lr_char`` (logistic on word-bounded n-grams), ``svc_char``, ``svc_char_word``,
-    ``svc_char_word_keyword``, ``lr_text_char`` (logistic on whole-text n-grams)."""
+    ``svc_char_word_keyword``, ``lr_text_char`` (logistic on whole-text n-grams).  ``max_iter`` is 1000 for logistic and 2000
+    for margin models where it is not given."""
     kinds = {
         "lr_char": ("char_wb",), "svc_char": ("char_wb",), "svc_char_word": ("char_wb", "word"),
         "svc_char_word_keyword": ("char_wb", "word"), "lr_text_char": ("char",),
@@ -270,5 +301,5 @@ def train_grade_model(
     data = keyword_counts(train, with_keywords) if with_keywords is not None else train
     features = fit_features(data, kinds, with_keywords, width=width)
     if variant.startswith("lr"):
-        return LogisticGradeModel(features, with_keywords).fit(train, max_iter)
-    return MarginGradeModel(features, with_keywords).fit(train, key, max_iter)
+        return LogisticGradeModel(features, with_keywords).fit(train, max_iter or 1000, tolerance)
+    return MarginGradeModel(features, with_keywords).fit(train, key, max_iter or 2000, tolerance=tolerance)

@@ -86,16 +86,20 @@ def feedback_report(feedback: DataFrame) -> dict[str, DataFrame]:
 def compare_models(
     labelled: DataFrame, variants: tuple[str, ...] = ("lr_char", "svc_char", "svc_char_word_keyword"),
     key: str = "id", pack: KeywordPack | None = None, width: int = 1 << 18,
-    max_iter: int = 100,
+    max_iter: int | None = None,
 ) -> tuple[DataFrame, dict[str, modeling.GradeModel]]:
-    """Train the variants on the training part and evaluate on the test part: (counts, models)."""
+    """Train the variants on the training part and evaluate on the test part: (counts, models).  The counts are at most one
+    row per model, grade and predicted grade; they are made here, so that nothing stays in the cache."""
     # Every variant trains and tests on the same stored split.
     split = modeling.stratified_split(labelled, key).persist()
-    train, test = split.where("part = 'train'"), split.where("part = 'test'")
-    counts, models = None, {}
-    for rank, v in enumerate(variants):
-        models[v] = modeling.train_grade_model(train, v, key, pack, width, max_iter)
-        scored = models[v].score(test).withColumns({"model": F.lit(v), "rank": F.lit(rank)})
-        c = E.confusion_counts(scored, "label", "pred", by=("model", "rank"))
-        counts = c if counts is None else counts.unionByName(c)
-    return counts, models
+    try:
+        train, test = split.where("part = 'train'"), split.where("part = 'test'")
+        counts, models = None, {}
+        for rank, v in enumerate(variants):
+            models[v] = modeling.train_grade_model(train, v, key, pack, width, max_iter)
+            scored = models[v].score(test).withColumns({"model": F.lit(v), "rank": F.lit(rank)})
+            c = E.confusion_counts(scored, "label", "pred", by=("model", "rank"))
+            counts = c if counts is None else counts.unionByName(c)
+        return labelled.sparkSession.createDataFrame(counts.collect(), counts.schema), models
+    finally:
+        split.unpersist()
