@@ -1,6 +1,7 @@
 import random
 import re
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from veilspark.functions import hits as H
@@ -98,3 +99,19 @@ def test_exact_decimals(spark):
     percent = [100 * v for v in values]
     df = spark.createDataFrame([(v,) for v in percent], "x double")
     assert [r[0] for r in df.select(fixed(F.col("x"), 1)).collect()] == [f"{v:.1f}" for v in percent]
+
+
+def test_failed_scorers_are_counted(spark):
+    text = "담당 업무 절차와 장비 구성 방식을 정리한 문서"
+    units = spark.createDataFrame([(1, i, text if i else "010-1234-5678") for i in range(6)] + [(2, 0, text)], "doc_id long, unit_no long, text string")
+    names = spark.createDataFrame([(1, 1, "PER", "담당", 0, 3, 0.9, None), (1, 2, "PER", "담당", 0, 3, 0.9, "timeout")],
+                                  "doc_id long, unit_no long, entity_group string, word string, start int, end int, score double, error string"
+                                  ).withColumn("entity", F.lit(None).cast("string"))
+    predictions = spark.createDataFrame([(1, i, 0.9, 0.05, 0.05, "down" if i == 4 else None) for i in (1, 2, 4)], "doc_id long, unit_no long, p_c double, p_s double, p_o double, error string")
+    seen = Observation("scorers")
+    detected = D.detect_units(units, names=names, predictions=predictions)
+    got = {r.doc_id: (r.units, r.ner_failed, r.ai_failed) for r in D.scorer_failures(detected, seen).collect()}
+    assert got == {1: (6, 1, 3), 2: (1, 0, 1)}  # units 3 and 5 have no prediction, unit 4 an error; unit 0 needs none
+    assert seen.get == {"units": 7, "ner_failed": 1, "ai_failed": 4}
+    assert {(r.unit_no, d.source) for r in detected.where("doc_id = 1").collect() for d in r.detections} == {(0, "regex"), (1, "ner"), (1, "ai"), (2, "ai")}
+    assert "failed" not in D.detect_units(units).columns

@@ -99,6 +99,30 @@ def test_fold_equals_brute_force_in_both_forms(spark):
         assert got.get(f"L{i}", []) == [(d["label"], d["start"], d["end"], d["reason"]) for d in brute(g)]
 
 
+def test_a_hot_location_is_swept_in_runs(spark):
+    rng = random.Random(8)
+    spans = []
+    for o in range(600):
+        s = rng.randrange(0, 4000)
+        spans.append(det(o, s, s + rng.choice([1, 2, 5, 30]), rng.choice(["regex", "ner"]), rng.choice("CSO"), "마스킹", text="x" * 5000))
+    rows = [(1, 7, f"context {d[0] % 2}", "L") + d for d in spans] + [(2, 7, None, "L") + d for d in spans[:5]]
+    df = spark.createDataFrame(
+        rows, "doc_id long, unit_no long, context string, location_label string, ord long, label string, matched string, grade string, "
+        "action string, source string, start int, end int, sensitive_type string, sensitive_category string, reason string"
+    ).withColumn("loc", L.no_location())
+    want = [(d["label"], d["start"], d["end"], d["reason"]) for d in brute(spans)]
+    for run in (50, P.RUN):
+        got = P.plan_detections(df, run=run).where("doc_id = 1").collect()
+        assert sorted((r.start, r.slot.ord, r.label, r.end, r.reason) for r in got) and sorted((r.label, r.start, r.end, r.reason) for r in got) == sorted(want)
+        assert all(r.context == f"context {r.order.ord % 2}" and r.first_seen == min(got, key=lambda x: x.slot).order for r in got)
+    islands = P.with_islands(df.where("doc_id = 1").withColumn("_o", F.struct("unit_no", "ord")), ("doc_id", "location_label"), "_o", 50)
+    reach, n = -1, 0
+    for s, e in sorted((d[6], d[7]) for d in spans):
+        n += s >= reach
+        reach = max(reach, e)
+    assert islands.select("_island").distinct().count() == n
+
+
 def brute_apply(text, targets, mode):
     warnings, n = [], 0
     for t in sorted(targets, key=lambda d: -d["start"]):

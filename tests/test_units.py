@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from veilspark.functions import location as L
-from veilspark.functions.running import last_before, numbered, smallest_by_hash
+from veilspark.functions.running import last_before, numbered, ranked, smallest_by_hash, with_runs
 from veilspark.operators import units as U
 from veilspark.operators.mining import is_table_header
 
@@ -23,6 +23,30 @@ def test_running_helpers_do_not_depend_on_the_run_length(spark):
         assert all(r.before == (f"v{(r.seq - 1) // 3 * 3}" if r.seq else None) for r in rows)
 
 
+def test_runs_hold_rows_not_values(spark):
+    """Bursts, gaps and timestamps: runs are cut by numbers of rows."""
+    rows = [("a", 10**15 + i) for i in range(3000)] + [("a", 5), ("a", 7 * 10**16)] + [("b", i * 10**9) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, seq long").repartition(5).withColumn("ts", F.timestamp_micros("seq"))
+    for seq in ("seq", "ts"):
+        cut = with_runs(df, ["g"], seq, run=100)
+        sizes = {(r.g, r._run): r["count"] for r in cut.groupBy("g", "_run").count().collect()}
+        assert sum(g == "a" for g, _ in sizes) > 100 and max(n for (g, _), n in sizes.items() if g == "a") < 200
+        assert [n for (g, _), n in sizes.items() if g == "b"] == [40]
+        got = numbered(df, ["g"], seq, "n", run=100, kind="bigint").collect()
+        for g in ("a", "b"):
+            assert [r.n for r in sorted((r for r in got if r.g == g), key=lambda r: r.seq)] == list(range(sum(r[0] == g for r in rows)))
+
+
+def test_ranks_are_exact_with_any_bounds(spark):
+    rows = [(i % 7, None if i % 5 == 0 else f"n{i % 50:02}", i) for i in range(700)]
+    df = spark.createDataFrame(rows, "score int, name string, no long").repartition(6)
+    want = {r[2]: n for n, r in enumerate(sorted(rows, key=lambda r: (-r[0], r[1] is not None, r[1] or "", r[2])), 1)}
+    for sample in (0, 3, 500):
+        got = ranked(df, [-F.col("score"), F.col("name"), F.col("no")], parts=16, sample=sample).collect()
+        assert {r.no: r["rank"] for r in got} == want
+    assert ranked(df.limit(0), [F.col("no")]).count() == 0
+
+
 def test_smallest_by_hash_takes_exact_quotas(spark):
     df = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, "C").otherwise("S").alias("label"), F.sha2(F.col("id").cast("string"), 256).alias("h"))
     out = smallest_by_hash(df, "h", F.floor(F.col("_total") * 0.2), by="label", domain=("C", "S", "O"), digits=1)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from decimal import Decimal
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -25,6 +27,22 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def built_once(make):
+    """A function of hashable arguments that gives an expression: built once per session of the JVM.
+
+    Large expressions take thousands of calls to the JVM, seconds in all; they don't depend on a table, only on names."""
+    held: dict = {}
+
+    @functools.wraps(make)
+    def get(*args):
+        key = (id(SparkContext._gateway), *args)
+        if key not in held:
+            held[key] = make(*args)
+        return held[key]
+
+    return get
+
+
 def rows_of(arr: Column) -> Column:
     """The array as a generator input.  Exploding a bare column makes Catalyst add a ``size > 0`` filter
     and push it down with a second copy of the column's whole expression; an expression prevents it."""

@@ -275,7 +275,7 @@ def append_rows(existing: DataFrame, new: DataFrame, order: str, id_column: str
 
     # The highest id is one row, whatever the size of the existing set.
     top = existing.agg(F.max(F.col(id_column).cast("bigint")).alias("_top")).withColumn("_all", F.lit(0))
-    n = numbered(new.withColumn("_all", F.lit(0)), ["_all"], order, "_n").join(F.broadcast(top), "_all")
+    n = numbered(new.withColumn("_all", F.lit(0)), ["_all"], order, "_n", kind="bigint").join(F.broadcast(top), "_all")
     ids = F.col("_n") + 1 + F.coalesce("_top", F.lit(0))
     cast = existing.schema[id_column].dataType
     return existing.unionByName(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.grades import grade_rank, source_rank, top_grade
 from veilspark.functions.rules import REVIEW
-from veilspark.functions.text import let
+from veilspark.functions.text import built_once, let
 from veilspark.operators.detection import DETECTION, DETECTIONS, with_location_key
 
 _SLOTTED = DETECTION[:-1] + ",slot:bigint>"
@@ -151,15 +151,20 @@ def auto_targets(detections: Column) -> Column:
     return let(detections, lambda d: _display_sorted(_as_targets(resolve_overlaps(d))))
 
 
-def plan_units(detected: DataFrame) -> DataFrame:
-    """Row-local plan: ``auto_targets`` and ``review_targets`` next to each unit, both in display
-    order.  A unit is one location, so nothing has to move."""
+@built_once
+def _unit_targets() -> dict[str, Column]:
     has = F.size("detections") > 0
     none = F.array().cast(DETECTIONS)
-    return detected.withColumns({
+    return {
         "auto_targets": F.when(has, auto_targets(F.col("detections"))).otherwise(none),
         "review_targets": F.when(has, let(F.col("detections"), lambda d: _display_sorted(_as_targets(F.filter(d, is_review))))).otherwise(none),
-    })
+    }
+
+
+def plan_units(detected: DataFrame) -> DataFrame:
+    """Row-local plan: ``auto_targets`` and ``review_targets`` next to each unit, both in display
+    order.  A unit is one location, so nothing has to move."""
+    return detected.withColumns(_unit_targets())
 
 
 # --- plan over a table of detections ----------------------------------------------------------------
@@ -169,28 +174,46 @@ _FIELDS = ["label", "matched", "grade", "action", "source", "start", "end", "sen
 _EXTRA = ["context", "location_label", "loc"]
 
 
-def plan_detections(rows: DataFrame, order: Sequence[str] = ("unit_no", "ord")) -> DataFrame:
+#: Offsets of a location that are swept together; a location's runs are at most its length divided by this.
+RUN = 65_536
+
+
+def with_islands(spans: DataFrame, keys: Sequence[str], order: str, run: int = RUN) -> DataFrame:
+    """Add ``_island``: the (start, end, ``order``) of the first span of each run of mutually reaching spans.
+
+    A sweep over starts.  A location is cut into runs of offsets, each swept by itself; how far earlier runs reach, and the
+    island they leave open, come from one small row per run.  So a location with any number of spans spreads over many
+    tasks.  Null key parts are equal."""
+    at = F.struct("start", "end", order)
+    cut = spans.withColumns({"_k": F.struct(*keys), "_run": F.floor(F.col("start") / F.lit(run))})
+    earlier = Window.partitionBy("_k").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    local = Window.partitionBy("_k", "_run").orderBy("start", "end", order)
+    reach = cut.groupBy("_k", "_run").agg(F.max("end").alias("_top")).select("_k", "_run", F.max("_top").over(earlier).alias("_far"))
+    swept = cut.join(reach, ["_k", "_run"]).withColumn(
+        "_reach", F.greatest("_far", F.max("end").over(local.rowsBetween(Window.unboundedPreceding, -1))))
+    swept = swept.withColumn("_first", F.when(F.col("_reach").isNull() | (F.col("start") >= F.col("_reach")), at))
+    left_open = swept.groupBy("_k", "_run").agg(F.max("_first").alias("_last")).select("_k", "_run", F.max("_last").over(earlier).alias("_open"))
+    return swept.join(left_open, ["_k", "_run"]).withColumn(
+        "_island", F.coalesce(F.max("_first").over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_open")
+    ).drop("_k", "_run", "_far", "_reach", "_first", "_open")
+
+
+def plan_detections(rows: DataFrame, order: Sequence[str] = ("unit_no", "ord"), run: int = RUN) -> DataFrame:
     """Plan for a table of detections that may come from anywhere: one row per target with ``track``
     (auto or review), ``first_seen`` (order in which the location first appears) and ``slot``.
 
-    Sort by doc_id, track, first_seen, start (nulls last), slot to get the display order.  Both the
-    island windows and the grouping use the partitioning by (doc_id, loc_key): one shuffle."""
+    Sort by doc_id, track, first_seen, start (nulls last), slot to get the display order.  Spans are folded island by island
+    (see ``with_islands``), so a hot location is no hot task.  Contexts and locations stay out of it: each different one of
+    a document is kept once, by its digest, and joined to the targets at the end."""
     keyed = with_location_key(rows).withColumn("_o", F.struct(*order))
+    keyed = keyed.withColumn("_x", F.sha2(F.to_json(F.struct(*_EXTRA)), 256))
+    extras = keyed.groupBy("doc_id", "_x").agg(F.first(F.struct(*_EXTRA)).alias("_e")).select(F.struct("doc_id", "_x").alias("_ref"), "_e")
     d = F.struct(*[F.col(f) for f in _FIELDS])
-    auto = keyed.where(is_auto(d))
-    by_loc = Window.partitionBy("doc_id", "loc_key")
-    by_start = by_loc.orderBy("start", "end", "_o")
-    before = by_start.rowsBetween(Window.unboundedPreceding, -1)
-    upto = by_start.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    islanded = (
-        auto.withColumn("_reach", F.max("end").over(before))
-        .withColumn("_new", F.when(F.col("start") >= F.col("_reach"), 1).otherwise(0))
-        .withColumn("_island", F.sum("_new").over(upto))
-    )
-    item = F.struct("_o", *_FIELDS, *_EXTRA)
-    grouped = islanded.groupBy("doc_id", "loc_key", "_island").agg(
-        F.array_sort(F.collect_list(item)).alias("items"))
-    schema = {f.name: f.dataType.simpleString() for f in islanded.select("_o", *_FIELDS, *_EXTRA).schema}
+    small = keyed.select("doc_id", "loc_key", "_o", "_x", *_FIELDS)
+    auto = with_islands(small.where(is_auto(d)), ("doc_id", "loc_key"), "_o", run)
+    item = F.struct("_o", *_FIELDS, "_x")
+    grouped = auto.groupBy("doc_id", "loc_key", "_island").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    schema = {f.name: f.dataType.simpleString() for f in small.select("_o", *_FIELDS, "_x").schema}
     ddl = ("struct<ord:bigint," + ",".join(f"`{n}`:{t}" for n, t in schema.items())
            + f",slot:{schema['_o']}>")
     numbered = F.transform("items", lambda x, i: F.struct(
@@ -199,17 +222,15 @@ def plan_detections(rows: DataFrame, order: Sequence[str] = ("unit_no", "ord"))
     kept = (
         grouped.select("doc_id", "loc_key", F.explode(_fold(numbered, ddl)).alias("t"))
         .select("doc_id", "loc_key", "t.*").drop("ord")
-        .withColumn("first_seen", F.min_by("_o", "slot").over(by_loc))
-        .withColumn("track", F.lit("auto"))
-    )
-    review = (
-        keyed.where(is_review(d))
-        .select("doc_id", "loc_key", "_o", *_FIELDS, *_EXTRA, F.col("_o").alias("slot"))
-        .withColumn("first_seen", F.min("_o").over(by_loc))
-        .withColumn("track", F.lit("review"))
     )
-    both = kept.unionByName(review)
-    return both.select(
+    review = small.where(is_review(d)).withColumn("slot", F.col("_o"))
+
+    def placed(targets: DataFrame, track: str, seen: Column) -> DataFrame:
+        first = targets.groupBy("doc_id", "loc_key").agg(seen.alias("first_seen")).select(F.struct("doc_id", "loc_key").alias("_k"), "first_seen")
+        return targets.withColumn("_k", F.struct("doc_id", "loc_key")).join(first, "_k").drop("_k").withColumn("track", F.lit(track))
+
+    both = placed(kept, "auto", F.min_by("_o", "slot")).unionByName(placed(review, "review", F.min("_o")))
+    return both.withColumn("_ref", F.struct("doc_id", "_x")).join(extras, "_ref").select(
         "doc_id", "loc_key", "track", "first_seen", "slot", F.col("_o").alias("order"),
         F.coalesce("label", F.lit("")).alias("label"),
         F.coalesce("matched", F.lit("")).alias("matched"),
@@ -218,7 +239,7 @@ def plan_detections(rows: DataFrame, order: Sequence[str] = ("unit_no", "ord"))
         F.coalesce("source", F.lit("")).alias("source"),
         "start", "end", "sensitive_type", "sensitive_category",
         F.coalesce("reason", F.lit("")).alias("reason"),
-        *_EXTRA,
+        *[F.col("_e")[c].alias(c) for c in _EXTRA],
     )
 
 

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from veilspark.functions import hits as H
 from veilspark.functions.location import location_key
 from veilspark.functions.rules import IDENTIFIER_RULES, MASK, MINING_RULES, REVIEW, Rule
-from veilspark.functions.text import cut, fixed, hangul_share, let, rows_of, strip
+from veilspark.functions.text import built_once, cut, fixed, hangul_share, let, rows_of, strip
 
 DETECTION = (
     "struct<ord:bigint,label:string,matched:string,grade:string,action:string,source:string,"
@@ -137,6 +137,11 @@ def normalize_detector_output(found: DataFrame, units: DataFrame) -> DataFrame:
     )
 
 
+@built_once
+def _text_detections(rules: tuple[Rule, ...], style: str) -> Column:
+    return pattern_detections(F.col("text"), rules, style)
+
+
 # --- person names ---------------------------------------------------------------------------------
 
 def adapt_name_spans(outputs: DataFrame, source: str = "hf_ner") -> DataFrame:
@@ -314,22 +319,34 @@ def detect_units(
     predictions: DataFrame | None = None,
     name_threshold: float = 0.8,
     context_threshold: float | None = None,
+    name_style: str | None = None,
 ) -> DataFrame:
     """Units plus ``detections``: patterns, then names, then the classifier's view of units that have
     no pattern hit and pass the script gate.
 
     ``names`` is a model output table, ``predictions`` a table with p_c, p_s, p_o (or grade and
-    confidence); both keyed by (doc_id, unit_no).  Units without a row in either table (a scorer that
-    failed) simply get nothing from it.  Without both, the whole step stays inside the row."""
+    confidence); both keyed by (doc_id, unit_no).  Without both, the whole step stays inside the row.
+
+    ``name_style`` chooses how names are read where it differs from ``style`` (``sheet``: names of any length).
+
+    Units whose scorer failed get nothing from it and name it in ``failed`` (``ner``, ``ai``; only there where such a table
+    is given).  A failure is a row with a text in a column ``error``, and for the classifier also a missing row of a unit that
+    it should have scored.  ``scorer_failures`` counts them."""
     text = F.col("text")
-    out = units.withColumn("detections", pattern_detections(text, rules, style))
+    out = units.withColumn("detections", _text_detections(tuple(rules), style))
+    failed: list[Column] = []
     if names is not None:
         spans = names.withColumnRenamed("text", "span_text") if "text" in names.columns else names
+        if "error" in spans.columns:
+            bad = spans.where(F.col("error").isNotNull()).select(*UNIT_KEY, F.lit(True).alias("_name_failed")).distinct()
+            out = out.join(bad, UNIT_KEY, "left")
+            failed.append(F.when(F.col("_name_failed"), "ner"))
+            spans = spans.where(F.col("error").isNull()).drop("error")
         # Only candidate spans meet the unit text.
         person = F.upper(_entity_name()).rlike("PERSON|PER|PS|인명")
         order = ["span_no"] if "span_no" in spans.columns else ["start", "end"]
         near = spans.where(person).join(units.select(*UNIT_KEY, "text"), UNIT_KEY)
-        found = inline_name_detections(near, text, name_threshold, "cell" if style == "cell" else "document")
+        found = inline_name_detections(near, text, name_threshold, name_style or ("cell" if style == "cell" else "document"))
         out = (
             out.join(_as_array(found, order).withColumnRenamed("found", "name_found"), UNIT_KEY, "left")
             .withColumn("detections", F.concat(
@@ -339,18 +356,30 @@ def detect_units(
         )
     if predictions is not None:
         tau = context_threshold if context_threshold is not None else (0.5 if style == "cell" else 0.6)
-        graded = predictions if "grade" in predictions.columns else with_best_grade(predictions)
-        found = _as_array(context_detections(graded, tau, style), ["grade"]).withColumnRenamed("found", "context_found")
-        no_pattern = ~F.exists("detections", lambda d: d["source"] == "regex")
-        out = (
-            out.join(found, UNIT_KEY, "left")
-            .withColumn("detections", F.when(
-                F.col("context_found").isNotNull() & no_pattern & ~skips_classifier(text),
-                F.concat("detections", _numbered(F.col("context_found"), F.size("detections"))),
-            ).otherwise(F.col("detections")))
-            .drop("context_found")
-        )
-    return out
+        well = predictions.where(F.col("error").isNull()).drop("error") if "error" in predictions.columns else predictions
+        graded = well if "grade" in well.columns else with_best_grade(well)
+        found = _as_array(context_detections(graded, tau, style), ["grade"])
+        # One row for every scored unit, with or without a detection.
+        scored = graded.select(*UNIT_KEY).distinct().join(found, UNIT_KEY, "left").select(
+            *UNIT_KEY, F.col("found").alias("context_found"), F.lit(True).alias("_scored"))
+        asked = ~F.exists("detections", lambda d: d["source"] == "regex") & ~skips_classifier(text)
+        out = out.join(scored, UNIT_KEY, "left").withColumn("_asked", asked).withColumn("detections", F.when(
+            F.col("context_found").isNotNull() & F.col("_asked"),
+            F.concat("detections", _numbered(F.col("context_found"), F.size("detections"))),
+        ).otherwise(F.col("detections"))).drop("context_found")
+        failed.append(F.when(F.col("_asked") & F.col("_scored").isNull(), "ai"))
+    if names is None and predictions is None:
+        return out
+    return out.withColumn("failed", F.filter(F.array(*failed), lambda f: f.isNotNull()) if failed else F.array().cast("array<string>")).drop(
+        "_name_failed", "_scored", "_asked")
+
+
+def scorer_failures(detected: DataFrame, observation: Observation | None = None) -> DataFrame:
+    """Per document: units, and those whose name or sentence scorer failed.  With an ``observation`` the totals (units,
+    ner_failed, ai_failed) come from the same pass and are there once the result has been computed."""
+    counts = [F.count(F.lit(1)).alias("units"), *(F.count_if(F.array_contains("failed", s)).alias(f"{s}_failed") for s in ("ner", "ai"))]
+    seen = detected.observe(observation, *counts) if observation is not None else detected
+    return seen.groupBy("doc_id").agg(*counts)
 
 
 def classifier_input(units: DataFrame, rules: Sequence[Rule] = IDENTIFIER_RULES) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from veilspark.functions.hits import identifier_hits
 from veilspark.functions.keywords import MATCH, KeywordPack, grouped_matches, normalized, role_matches
 from veilspark.functions.rules import EARLY_MINING_RULES, IDENTIFIER_RULES, MINING_RULES
+from veilspark.functions.running import ranked
 from veilspark.functions.text import SPACE, drop_space, let, strip
 from veilspark.operators.units import TABLE_RULE, unit_id
 
@@ -271,6 +272,11 @@ def in_review_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.desc("priorityScore"), F.desc("strongKeywordCount"), "sourceFile", "unit_no")
 
 
+def with_review_rank(rows: DataFrame) -> DataFrame:
+    """The same order as a column ``reviewRank`` (from 1), for tables that are not written in one piece."""
+    return ranked(rows, [-F.col("priorityScore"), -F.col("strongKeywordCount"), F.col("sourceFile"), F.col("unit_no")], "reviewRank")
+
+
 def context_rows(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("candidateType").contains(CONTEXT_CANDIDATE))
 

@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, StringType
 from veilspark.functions.grades import top_grade_in
 from veilspark.functions.location import BASE_LABELS, guide_gap, guide_key
 from veilspark.functions.rules import DELETE, REVIEW
-from veilspark.functions.text import cut, is_blank, let, needs_nfc, nfc, quoted, rows_of, strip
+from veilspark.functions.text import built_once, cut, is_blank, let, needs_nfc, nfc, quoted, rows_of, strip
 from veilspark.operators.detection import DETECTION, DETECTIONS
 
 DELETE_MARKER = "(삭제됨)"
@@ -87,9 +87,25 @@ def _named(t: Column, message: Column) -> Column:
     return F.concat(t["label"], F.lit("/"), t["matched"], F.lit(": "), message)
 
 
+def _differing(t: Column, piece: Column) -> Column:
+    return F.concat(F.lit("matched와 실제 text[start:end]가 다릅니다: matched="), quoted(t["matched"]), F.lit(", actual="), quoted(piece),
+                    F.lit(", start="), _s(t["start"]), F.lit(", end="), _s(t["end"]))
+
+
+def _apart(text: Column, falling: Column) -> Column:
+    """Whether all spans, last first, lie inside the text and none meets another: then each sees the text as it was given."""
+    inside = F.forall(falling, lambda t: (t["start"] >= 0) & (t["start"] < t["end"]) & (t["end"] <= F.length(text)))
+    clear = F.forall(F.zip_with(falling, F.slice(falling, F.lit(2), F.greatest(F.size(falling), F.lit(1))),
+                                lambda late, early: F.coalesce(early["end"] <= late["start"], F.lit(True))), lambda x: x)
+    return inside & clear
+
+
 def apply_to_text(text: Column, targets: Column, deletion_mode: str = "delete") -> Column:
     """Apply an array of targets to a text, last start first, each on the text as it then is.
 
+    Spans that lie inside the text and do not meet, by far the common case, are put together in one go; only others are
+    folded, each step making the text anew.
+
     Result struct: text, applied targets, skipped targets with reasons, warnings.  A span whose text
     differs from the expected match is applied with a warning; a span outside the text is skipped."""
     def step(acc: Column, t: Column) -> Column:
@@ -101,9 +117,7 @@ def apply_to_text(text: Column, targets: Column, deletion_mode: str = "delete")
         differs = (t["matched"] != "") & (t["matched"] != piece)
         note = F.when(error.isNotNull(), error).when(
             differs,
-            F.concat(F.lit("matched와 실제 text[start:end]가 다릅니다: matched="), quoted(t["matched"]),
-                     F.lit(", actual="), quoted(piece), F.lit(", start="), _s(t["start"]),
-                     F.lit(", end="), _s(t["end"])))
+            _differing(t, piece))
         changed = F.concat(
             F.left(now, t["start"]), replacement(t["action"], t["end"] - t["start"], deletion_mode),
             F.substring(now, t["end"] + 1, F.length(now)))
@@ -124,14 +138,36 @@ def apply_to_text(text: Column, targets: Column, deletion_mode: str = "delete")
                 F.filter(ts, lambda t: _no_apply_reason(t).isNull()),
                 lambda t, i: F.struct((-t["start"]).alias("a"), i.alias("b"), t.alias("t")))),
             lambda s: s["t"])
-        start = F.struct(
-            text.alias("text"), F.array().cast(DETECTIONS).alias("applied"), out.alias("skipped"),
-            F.transform(out, lambda s: _named(s["target"], s["reason"])).alias("warnings"))
-        return F.aggregate(ready, start.cast(RESULT), step)
+
+        def chosen(p: Column) -> Column:
+            begun = F.struct(
+                text.alias("text"), F.array().cast(DETECTIONS).alias("applied"), p["out"].alias("skipped"),
+                F.transform(p["out"], lambda s: _named(s["target"], s["reason"])).alias("warnings")).cast(RESULT)
+            return F.when(_apart(text, p["ready"]), _joined(begun, p["ready"])).otherwise(F.aggregate(p["ready"], begun, step))
+
+        return let(F.struct(out.alias("out"), ready.alias("ready")), chosen)
+
+    def _joined(begun: Column, falling: Column) -> Column:
+        """Spans that don't meet: what is between them and what replaces them, put together once."""
+        def between(t: Column, i: Column, rising: Column) -> Column:
+            before = F.when(i == 0, 0).otherwise(F.get(rising, i - 1)["end"])
+            return F.concat(cut(text, before, t["start"]), replacement(t["action"], t["end"] - t["start"], deletion_mode))
+
+        parts = let(F.reverse(falling), lambda rising: F.array_join(F.transform(rising, lambda t, i: between(t, i, rising)), ""))
+        rest = F.when(F.size(falling) == 0, text).otherwise(cut(text, F.get(falling, F.lit(0))["end"], F.length(text)))
+        notes = F.filter(F.transform(falling, lambda t: let(cut(text, t["start"], t["end"]), lambda piece: F.when(
+            (t["matched"] != "") & (t["matched"] != piece), _named(t, _differing(t, piece))))), lambda w: w.isNotNull())
+        return F.struct(F.concat(parts, rest).alias("text"), falling.alias("applied"), begun["skipped"].alias("skipped"),
+                        F.concat(begun["warnings"], notes).alias("warnings")).cast(RESULT)
 
     return let(targets, run)
 
 
+@built_once
+def _applied_to_unit(deletion_mode: str) -> Column:
+    return apply_to_text(F.col("text"), F.col("auto_targets"), deletion_mode)
+
+
 def status_of(applied: Column, skipped: Column) -> Column:
     return F.when((applied > 0) & (skipped == 0), "applied").when(
         (applied > 0) & (skipped > 0), "partial").otherwise("skipped")
@@ -164,7 +200,7 @@ def group_source(targets: Column) -> Column:
 
 def redact_units(planned: DataFrame, deletion_mode: str = "delete") -> DataFrame:
     """Every unit with its ``applied_text`` (the text itself where nothing applies).  Row-local."""
-    applied = apply_to_text(F.col("text"), F.col("auto_targets"), deletion_mode)["text"]
+    applied = _applied_to_unit(deletion_mode)["text"]
     return planned.withColumn(
         "applied_text", F.when(F.size("auto_targets") > 0, applied).otherwise(F.col("text")))
 
@@ -175,7 +211,7 @@ def cell_items(planned: DataFrame, deletion_mode: str = "mark") -> DataFrame:
     # A generator instead of a filter: Catalyst would copy the detection into a pushed-down filter.
     touched = F.explode(F.when(
         F.size("auto_targets") > 0,
-        F.array(apply_to_text(F.col("text"), F.col("auto_targets"), deletion_mode))))
+        F.array(_applied_to_unit(deletion_mode))))
     r = planned.select("*", touched.alias("r"))
     return r.select(
         "doc_id", "unit_no", "location_label", "loc",
@@ -212,13 +248,13 @@ _T = ["label", "matched", "grade", "action", "source", "start", "end", "sensitiv
 
 
 def _grouped_targets(rows: DataFrame, *keys: str) -> DataFrame:
-    """Targets per location as one array in display order, with the first target's label and loc.
-    A location's targets are bounded by the text they point into."""
+    """Targets per location as one array in display order, with the first target's label and loc; ``g`` keeps each target
+    with its own.  A location's targets are bounded by the text they point into."""
     item = F.struct("first_seen", F.col("start").isNull().alias("late"), F.col("start").alias("s"), "slot",
                     "location_label", "loc", "context",
                     F.struct(F.lit(0).cast("bigint").alias("ord"), *_T).cast(DETECTION).alias("t"))
     return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("g")).select(
-        *keys,
+        *keys, "g",
         F.transform("g", lambda x: x["t"]).alias("targets"),
         F.get("g", F.lit(0))["location_label"].alias("location_label"),
         F.get("g", F.lit(0))["loc"].alias("loc"),
@@ -290,93 +326,94 @@ def _validated(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("checks", let(F.col("targets"), lambda ts: F.transform(ts, check)))
 
 
-def _applied_items(found: DataFrame, what: str, deletion_mode: str) -> DataFrame:
-    """Items of locations whose text is known: context check, span check, preview."""
+def _entry(label: Column, loc: Column, what: Column, action: Column, original: Column, applied: Column, status: Column | str,
+           n_applied: Column | int, n_skipped: Column | int, warnings: Column, grade: Column | None = None, source: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
+    lit = lambda v: F.lit(v) if isinstance(v, (int, str)) else v
+    return F.struct(
+        label.alias("location_label"), loc.alias("loc"), what.alias("label"), action.alias("action"), original.alias("original_text"),
+        applied.alias("applied_text"), lit(status).alias("status"), lit(n_applied).alias("applied_target_count"),
+        lit(n_skipped).alias("skipped_target_count"), warnings.alias("warnings"),
+        (none if grade is None else grade).alias("grade"), (none if source is None else source).alias("source"))
+
+
+def _applied_entry(df: DataFrame, what: str, deletion_mode: str) -> DataFrame:
+    """Add ``entry`` for locations whose text is known: context check, span check, preview."""
     same = lambda c: F.coalesce(c == F.col("text"), F.lit(True))
     # Contexts are compared in NFC; only a plain difference makes it necessary.
     differ = F.exists("contexts", lambda c: ~same(c))
-    df = found.withColumn("_ctx", _nfc_each(F.when(differ, F.concat("contexts", F.array("text")))))
+    df = df.withColumn("_ctx", _nfc_each(F.when(differ, F.concat("contexts", F.array("text")))))
     mismatch = F.coalesce(
         F.exists(F.slice("_ctx", F.lit(1), F.size("contexts")), lambda c: c != F.element_at("_ctx", -1)),
         F.lit(False))
     df = _validated(df)
     valid = F.filter("targets", lambda x, i: F.get("checks", i).isNull())
-    df = df.withColumn("r", apply_to_text(F.col("text"), valid, deletion_mode))
+    df = df.withColumn("r", F.when(F.col("text").isNotNull(), apply_to_text(F.col("text"), valid, deletion_mode)))
     bad = F.filter("checks", lambda c: c.isNotNull())
     context_note = F.when(mismatch, F.array(warning(
         "context_mismatch", F.col("shown_label"), F.lit(f": target.context와 실제 {what} 다릅니다. "),
         F.lit(f"{what[:-1]} 기준으로 slice 검증 후 권장 여부를 판단합니다." if what.endswith("텍스트가")
               else "cell_value 기준으로 slice 검증 후 적용 여부를 판단합니다."))))
     skipped = F.size(bad) + F.size("r.skipped")
-    return df.select(
-        "doc_id", "location_label", "loc",
-        distinct_values(F.col("targets"), "label").alias("label"),
-        distinct_values(F.col("targets"), "action").alias("action"),
-        F.col("text").alias("original_text"), F.col("r.text").alias("applied_text"),
-        status_of(F.size("r.applied"), skipped).alias("status"),
-        F.size("r.applied").alias("applied_target_count"), skipped.alias("skipped_target_count"),
-        F.concat(F.coalesce(context_note, F.array().cast("array<string>")), bad, F.col("r.warnings")).alias("warnings"),
-        group_grade(F.col("targets")).alias("grade"), group_source(F.col("targets")).alias("source"),
-    )
+    return df.withColumn("entry", _entry(
+        F.col("shown_label"), F.col("loc"), distinct_values(F.col("targets"), "label"), distinct_values(F.col("targets"), "action"),
+        F.col("text"), F.col("r.text"), status_of(F.size("r.applied"), skipped), F.size("r.applied"), skipped,
+        F.concat(F.coalesce(context_note, F.array().cast("array<string>")), bad, F.col("r.warnings")),
+        group_grade(F.col("targets")), group_source(F.col("targets"))))
 
 
-def _group_skipped(df: DataFrame, original: Column, note: Column) -> DataFrame:
-    return df.select(
-        "doc_id", "location_label", "loc",
-        distinct_values(F.col("targets"), "label").alias("label"),
-        distinct_values(F.col("targets"), "action").alias("action"),
-        original.alias("original_text"), original.alias("applied_text"), F.lit("skipped").alias("status"),
-        F.lit(0).alias("applied_target_count"), F.size("targets").alias("skipped_target_count"),
-        F.array(note).alias("warnings"), F.lit(None).cast("string").alias("grade"),
-        F.lit(None).cast("string").alias("source"),
-    )
+def _group_skipped(label: Column, original: Column, note: Column) -> Column:
+    """One item for a whole location that nothing is applied to."""
+    return F.array(_entry(
+        label, F.col("loc"), distinct_values(F.col("targets"), "label"), distinct_values(F.col("targets"), "action"),
+        original, original, "skipped", 0, F.size("targets"), F.array(note)))
 
 
-def _target_skipped(df: DataFrame, note: Column, label: Column) -> DataFrame:
-    ctx = F.coalesce("context", F.lit(""))
-    return df.select(
-        "doc_id", label.alias("location_label"), "loc", "label", "action", ctx.alias("original_text"),
-        ctx.alias("applied_text"), F.lit("skipped").alias("status"), F.lit(0).alias("applied_target_count"),
-        F.lit(1).alias("skipped_target_count"), F.array(note).alias("warnings"),
-        F.lit(None).cast("string").alias("grade"), F.lit(None).cast("string").alias("source"),
-    )
+def _each_skipped(label, note) -> Column:
+    """One item for every target of ``g``; ``label`` and ``note`` are made from a target's own label and location."""
+    def item(x: Column) -> Column:
+        context = F.coalesce(x["context"], F.lit(""))
+        return _entry(label(x), x["loc"], x["t"]["label"], x["t"]["action"], context, context, "skipped", 0, 1, F.array(note(x)))
+
+    return F.transform("g", item)
+
+
+def _own_key(key: Column) -> Column:
+    """A location's key, or one of its own for a target that has none."""
+    return F.coalesce(F.concat(F.lit("at:"), key), F.concat(F.lit("of:"), F.to_json(F.struct("first_seen", "slot"))))
 
 
 def guide_items(targets: DataFrame, units: DataFrame, file_type: str, deletion_mode: str = "delete") -> DataFrame:
     """Guidance for documents that are not edited: per location a preview, or why there is none.
 
-    ``targets`` is a plan table, ``units`` (doc_id, loc, text) the document as it is now.  Targets are
-    grouped first, so the join moves each text once."""
+    ``targets`` is a plan table, ``units`` (doc_id, loc, text) the document as it is now.  Targets are grouped first, so the
+    join moves each text once; every outcome is an expression over the joined row, so both tables are read once."""
+    base = BASE_LABELS[file_type]
     mine = targets.where((F.col("track") == "auto") & (F.lower(F.col("loc.fileType")) == file_type))
     mine = mine.withColumn("key", guide_key(file_type, F.col("loc")))
-    base = BASE_LABELS[file_type](F.col("loc"))
-
-    lost = mine.where(F.col("key").isNull())
-    own = F.col("location_label")
-    said = _s(own) if file_type == "docx" else F.coalesce(own, base)
-    gap = guide_gap(file_type, F.col("loc"), said)
-    no_place = _target_skipped(
-        lost.withColumn("_gap", gap),
-        F.concat(F.lit("["), F.col("_gap.code"), F.lit("] "), F.col("_gap.message")),
-        own if file_type == "docx" else F.coalesce(own, base))
-
     current = units.select(
         "doc_id", guide_key(file_type, F.col("loc")).alias("key"), "text"
     ).where(F.col("key").isNotNull() & ~is_blank(F.col("text")))
-    grouped = _grouped_targets(mine.where(F.col("key").isNotNull()), "doc_id", "key")
-    joined = grouped.join(current, ["doc_id", "key"], "left").withColumn(
-        "shown_label", F.coalesce("location_label", F.lit(NO_DOCX_LABEL) if file_type == "docx" else base)).withColumn("location_label", F.col("shown_label"))
-    missing = joined.where(F.col("text").isNull())
+    grouped = _grouped_targets(mine.withColumn("own_key", _own_key(F.col("key"))), "doc_id", "own_key", "key")
+    unlabelled = F.lit(NO_DOCX_LABEL) if file_type == "docx" else base(F.col("loc"))
+    joined = grouped.join(current, ["doc_id", "key"], "left").withColumn("shown_label", F.coalesce("location_label", unlabelled))
+    done = _applied_entry(joined, "line 텍스트가" if file_type == "pdf" else "paragraph 텍스트가", deletion_mode)
+
+    def gap(x: Column) -> Column:
+        own = x["location_label"]
+        return let(guide_gap(file_type, x["loc"], _s(own) if file_type == "docx" else F.coalesce(own, base(x["loc"]))),
+                   lambda g: F.concat(F.lit("["), g["code"], F.lit("] "), g["message"]))
+
+    no_place = _each_skipped(lambda x: x["location_label"] if file_type == "docx" else F.coalesce(x["location_label"], base(x["loc"])), gap)
     where = F.col("shown_label")
     text_of = {
         "docx": (F.lit(": location=("), F.lit(")가 문서 범위를 벗어났습니다.")),
         "pdf": (F.lit(": 위치가 현재 PDF에서 발견되지 않습니다 (key=("), F.lit(")).")),
     }.get(file_type, (F.lit(f": 위치가 현재 {file_type}에서 발견되지 않습니다 (key=("), F.lit(")).")))
     shown_key = F.regexp_replace("key", r"^(\w+)", "'$1'")  # the section is shown in quotes
-    not_found = _group_skipped(
-        missing, F.lit(""), warning(NOT_FOUND_CODES[file_type], where, text_of[0], shown_key, text_of[1]))
-    found = _applied_items(joined.where(F.col("text").isNotNull()), "line 텍스트가" if file_type == "pdf" else "paragraph 텍스트가", deletion_mode)
-    return no_place.unionByName(not_found).unionByName(found)
+    not_found = _group_skipped(where, F.lit(""), warning(NOT_FOUND_CODES[file_type], where, text_of[0], shown_key, text_of[1]))
+    return done.select("doc_id", F.inline(
+        F.when(F.col("key").isNull(), no_place).when(F.col("text").isNull(), not_found).otherwise(F.array("entry"))))
 
 
 def sheet_items(targets: DataFrame, cells: DataFrame, deletion_mode: str = "delete") -> DataFrame:
@@ -384,22 +421,15 @@ def sheet_items(targets: DataFrame, cells: DataFrame, deletion_mode: str = "dele
 
     ``cells``: doc_id, sheet_name, cell_ref, cell_type (string, formula, number, boolean, empty),
     merged_top_left (null unless merged), text.  Sheets match in NFC.  Checks in order: missing sheet
-    or cell name, unknown sheet, merged cell other than the top left, empty, formula, not a string."""
+    or cell name, unknown sheet, merged cell other than the top left, empty, formula, not a string.  Every outcome is an
+    expression over the joined row, so the targets are read once."""
     loc = F.col("loc")
     mine = targets.where((F.col("track") == "auto") & (F.lower(loc["fileType"]) == "xlsx"))
     sheet, cell = F.coalesce(loc["sheetName"], F.lit("")), F.coalesce(loc["cellRef"], F.lit(""))
-    named = _s(F.col("location_label"))
-    no_sheet = _target_skipped(
-        mine.where(sheet == ""),
-        warning("missing_sheet_name", named, F.lit(": sheetName이 없어 자동 적용을 건너뛰었습니다.")), F.col("location_label"))
-    no_cell = _target_skipped(
-        mine.where((sheet != "") & (cell == "")),
-        warning("missing_cell_ref", named, F.lit(": cellRef가 없어 자동 적용을 건너뛰었습니다.")), F.col("location_label"))
-
+    placed = F.when((sheet != "") & (cell != ""), F.to_json(F.struct(sheet.alias("s"), cell.alias("c"))))
     grouped = _grouped_targets(
-        mine.where((sheet != "") & (cell != "")).select(
-            "*", sheet.alias("sheet_name"), cell.alias("cell_ref")),
-        "doc_id", "sheet_name", "cell_ref").withColumn("sheet_key", nfc(F.col("sheet_name")))
+        mine.select("*", sheet.alias("sheet_name"), cell.alias("cell_ref"), _own_key(placed).alias("own_key")),
+        "doc_id", "own_key", "sheet_name", "cell_ref").withColumn("sheet_key", nfc(F.col("sheet_name")))
     cells = cells.withColumn("sheet_key", nfc(F.col("sheet_name")))
     sheets = cells.select("doc_id", "sheet_key").distinct().withColumn("known", F.lit(True))
     joined = (
@@ -411,12 +441,6 @@ def sheet_items(targets: DataFrame, cells: DataFrame, deletion_mode: str = "dele
     )
     value = F.coalesce("text", F.lit(""))
     where = F.col("shown_label")
-    no_such_sheet = joined.where(F.col("known").isNull())
-    # The unknown-sheet item keeps the first target's own label and context.
-    missing_sheet = _group_skipped(
-        no_such_sheet, F.coalesce(F.get("contexts", F.lit(0)), F.lit("")),
-        warning("sheet_not_found", F.col("sheet_name"), F.lit(" 시트를 찾을 수 없어 자동 적용을 건너뛰었습니다.")))
-    inside = joined.where(F.col("known")).withColumn("location_label", where)
     kind = F.coalesce("cell_type", F.lit("empty"))
     merged = F.coalesce(F.col("merged_top_left") != F.col("cell_ref"), F.lit(False))
     blank = (kind == "empty") | (value == "")
@@ -432,11 +456,18 @@ def sheet_items(targets: DataFrame, cells: DataFrame, deletion_mode: str = "dele
             "non_string_cell", where, F.lit(": 비문자열 셀에 detection이 있어 자동 적용을 건너뛰었습니다. cellType="),
             kind, F.lit(", cellValue="), value))
     )
-    unfit = inside.withColumn("note", note)
-    rejected = _group_skipped(
-        unfit.where(F.col("note").isNotNull()), F.when(merged | blank, "").otherwise(value), F.col("note"))
-    good = _applied_items(unfit.where(F.col("note").isNull()), "셀 값이", deletion_mode)
-    return no_sheet.unionByName(no_cell).unionByName(missing_sheet).unionByName(rejected).unionByName(good)
+    done = _applied_entry(joined.withColumn("note", note), "셀 값이", deletion_mode)
+    own = lambda x: x["location_label"]
+    no_sheet = _each_skipped(own, lambda x: warning("missing_sheet_name", _s(own(x)), F.lit(": sheetName이 없어 자동 적용을 건너뛰었습니다.")))
+    no_cell = _each_skipped(own, lambda x: warning("missing_cell_ref", _s(own(x)), F.lit(": cellRef가 없어 자동 적용을 건너뛰었습니다.")))
+    # The unknown-sheet item keeps the first target's own label and context.
+    missing_sheet = _group_skipped(
+        F.col("location_label"), F.coalesce(F.get("contexts", F.lit(0)), F.lit("")),
+        warning("sheet_not_found", F.col("sheet_name"), F.lit(" 시트를 찾을 수 없어 자동 적용을 건너뛰었습니다.")))
+    rejected = _group_skipped(where, F.when(merged | blank, "").otherwise(value), F.col("note"))
+    return done.select("doc_id", F.inline(
+        F.when(F.col("sheet_name") == "", no_sheet).when(F.col("cell_ref") == "", no_cell).when(F.col("known").isNull(), missing_sheet)
+        .when(F.col("note").isNotNull(), rejected).otherwise(F.array("entry"))))
 
 
 # Codes that also count as document-level warnings.

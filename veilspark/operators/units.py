@@ -10,11 +10,11 @@ host_seq, table_no, row_no, col_no, sheet_name, cell_ref, cell_type, bbox, text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions import location as L
-from veilspark.functions.running import last_before, numbered
+from veilspark.functions.running import RUN, last_before, numbered, with_runs
 from veilspark.functions.text import SPACE, SPACE_CLASS, is_blank, let, lines, strip, unify_line_ends
 
 UNIT = ["doc_id", "unit_no", "text", "location_label", "loc"]
@@ -279,6 +279,45 @@ def markdown_units(files: DataFrame, is_header, content: str = "content") -> Dat
     return _unnest(files, _sections(F.col(content), page, per_section), content)
 
 
+def markdown_line_units(lines: DataFrame, is_header, file: str = "source_file", seq: str = "line_no", text: str = "text", run: int = RUN) -> DataFrame:
+    """The units of ``markdown_units`` from a table of lines: a file of any length spreads over many tasks.
+
+    (file, unit_no, text, heading_path, preceding_text).  A file's lines are cut into runs.  What a run leaves to those after
+    it is one small row: its last heading of each level with its place, its last unit's beginning and its number of units.
+    Rows of such a kind add up in order, so each run gets what came before it and is worked on by itself."""
+    t = F.col(text)
+    page = t.rlike(rf"(?U)(?i:{_PAGE})")
+    names = {"_h2": _H2, "_h3": _H3, "_bold": _BOLD}
+    marks = {n: F.when(~page & t.rlike(rf"(?U)\A{h}\z"), F.struct(F.col(seq).alias("at"), strip(F.regexp_extract(t, rf"(?U)\A{h}\z", 1)).alias("title")))
+             for n, h in names.items()}
+    row = is_table_row(t)
+    said = F.when(row, table_row_text(t)).otherwise(strip(t))
+    heading = F.col("_h2").isNotNull() | F.col("_h3").isNotNull() | F.col("_bold").isNotNull()
+    rule = row & strip(t).rlike(TABLE_RULE)
+    cut = with_runs(lines, [file], seq, run).withColumns(marks).withColumn("_unit", F.when(
+        ~heading & ~is_blank(t) & ~page & ~rule & (said != "") & ~(row & is_header(said)), said))
+    earlier = Window.partitionBy("_k").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    local = Window.partitionBy("_k", "_run").orderBy(seq)
+    upto, before = local.rowsBetween(Window.unboundedPreceding, 0), local.rowsBetween(Window.unboundedPreceding, -1)
+    first = F.substring("_unit", 1, 400)
+    left = cut.groupBy("_k", "_run").agg(
+        *[F.max(n).alias(n) for n in names], F.max_by(first, F.when(F.col("_unit").isNotNull(), F.col(seq))).alias("_said"), F.count("_unit").alias("_n"))
+    left = left.select(
+        "_k", "_run", *[F.max(n).over(earlier).alias(f"{n}_before") for n in names],
+        F.last("_said", ignorenulls=True).over(earlier).alias("_said_before"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n_before"))
+    done = cut.withColumns({
+        **{n: F.last(n, ignorenulls=True).over(upto) for n in names}, "_said": F.last(first, ignorenulls=True).over(before), "_n": F.count("_unit").over(before)})
+    done = done.where(F.col("_unit").isNotNull()).join(left, ["_k", "_run"])
+    h2, h3, bold = (F.coalesce(n, f"{n}_before") for n in names)
+    none = F.lit(-1).cast("bigint")
+    at2, at3 = F.coalesce(h2["at"], none), F.coalesce(h3["at"], none)
+    titles = F.array(h2["title"], F.when(at3 > at2, h3["title"]), F.when(bold["at"] > F.greatest(at2, at3), bold["title"]))
+    return done.select(
+        file, (F.col("_n_before") + F.col("_n")).cast("int").alias("unit_no"), F.col("_unit").alias("text"),
+        F.array_join(F.filter(titles, lambda x: x.isNotNull() & (x != "")), " > ").alias("heading_path"),
+        F.coalesce("_said", "_said_before", F.lit("")).alias("preceding_text"))
+
+
 def markdown_blocks(files: DataFrame, content: str = "content") -> DataFrame:
     """Older units: everything between two boundaries is one block."""
     def per_section(body: Column, path: Column) -> Column:

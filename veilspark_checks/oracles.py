@@ -106,6 +106,14 @@ found AS (
     WHERE p.grade <> 'O' AND p.confidence >= 0.4 AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = u.doc_id AND h.unit_no = u.unit_no)
       AND length(trim(u.text)) >= 10 AND length(regexp_replace(trim(u.text), '[^가-힣]', '', 'g')) / length(trim(u.text)) >= 0.2)
 SELECT doc_id, unit_no, row_number() OVER (PARTITION BY doc_id, unit_no ORDER BY sr, o) - 1 AS ord, source, label, matched, grade FROM found"""
+ORACLES["scorer_failures"] = f"""WITH RECURSIVE {NOTES},
+{hits_cte('notes')}, {NAMES}, {PREDICTIONS},
+j AS (SELECT n.doc_id, n.unit_no % 9 = 0 AS ner_bad, p.unit_no IS NOT NULL AS known,
+    (p.unit_no IS NULL OR n.unit_no % 8 = 3 OR n.unit_no % 10 = 0)
+      AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = n.doc_id AND h.unit_no = n.unit_no)
+      AND length(trim(n.text)) >= 10 AND length(regexp_replace(trim(n.text), '[^가-힣]', '', 'g')) / length(trim(n.text)) >= 0.2 AS ai_bad
+  FROM notes n LEFT JOIN preds p USING (doc_id, unit_no))
+SELECT doc_id, count(*) AS units, count(*) FILTER (ner_bad) AS ner_failed, count(*) FILTER (ai_bad) AS ai_failed FROM j GROUP BY 1"""
 ORACLES["detector_output_aliases"] = f"""WITH RECURSIVE {CONTACTS},{hits_cte('contacts')}
 SELECT doc_id, unit_no, label, value AS matched, hit_start, hit_end, grade, '마스킹' AS action, label AS sensitive_category,
   '공통 regex_detector 탐지: ' || label AS reason
@@ -433,6 +441,9 @@ _UNIT_ID = ("replace(substr(regexp_replace(source_file, '\\.[^.]*$', ''), 1, 20)
 ORACLES["markdown_units"] = f"WITH {MARKDOWN},{_md_units('md', 'source_file')} SELECT *, {_UNIT_ID} AS unit_id FROM u"
 
 
+ORACLES["markdown_line_units"] = f"WITH {MARKDOWN},{_md_units('md', 'source_file')} SELECT * FROM u"
+
+
 def _md_blocks(lines: str, key: str) -> str:
     return f"""{_headed(lines, key)},
 b0 AS (SELECT {key}, gb, min(i) AS i, min(heading_path) AS heading_path, trim(string_agg(line, chr(10) ORDER BY i), ' ' || chr(10)) AS text FROM t4
@@ -548,7 +559,8 @@ SELECT f.source_file AS "sourceFile", CAST(sum(units) AS BIGINT) AS units, CAST(
 ORACLES["mining_cutoff"] = f"""WITH RECURSIVE {_mined()}
 SELECT min(score) AS min_priority, count(*) AS rows FROM (SELECT score FROM dec WHERE ctx ORDER BY score DESC LIMIT 100)"""
 ORACLES["mining_review_order"] = f"""WITH RECURSIVE {_mined()}
-SELECT source_file AS "sourceFile", CAST(unit_no AS INTEGER) AS unit_no, score AS "priorityScore", CAST(len(st) + len(sb) AS INTEGER) AS "strongKeywordCount", {_BAND} AS "priorityBand" FROM dec"""
+SELECT source_file AS "sourceFile", CAST(unit_no AS INTEGER) AS unit_no, score AS "priorityScore", CAST(len(st) + len(sb) AS INTEGER) AS "strongKeywordCount", {_BAND} AS "priorityBand",
+  row_number() OVER (ORDER BY score DESC, len(st) + len(sb) DESC, source_file, unit_no) AS "reviewRank" FROM dec"""
 
 # --- curation -------------------------------------------------------------------------------------------------------------
 
@@ -697,11 +709,21 @@ ORACLES["retrain_counts"] = f"""WITH {_RETRAIN} SELECT 'label' AS kind, label AS
 ORACLES["feedback_latest"] = f"""WITH {FEEDBACK} SELECT doc_id, context FROM fb WHERE feedback_date = '2026-05-05' ORDER BY doc_id DESC LIMIT 5"""
 ORACLES["feedback_rejects"] = f"""WITH {FEEDBACK} SELECT CASE WHEN doc_id % 31 = 0 THEN 'locationLabel is required' WHEN doc_id % 37 = 0 THEN 'userGrade must be one of C, S, O, X'
   WHEN doc_id % 43 = 0 THEN 'userGrade is required' ELSE '' END AS error, count(*) AS n FROM fb GROUP BY 1"""
+ORACLES["delimited_rows"] = """
+SELECT doc_id, 4 AS n_cells, CASE WHEN doc_id % 2 = 0 THEN ',' ELSE ';' END AS delimiter, lang, md5(coalesce(text, '')) AS text_md5, '"' || source || '", ;' AS source FROM documents"""
 ORACLES["routed_files"] = """
 WITH p AS (SELECT p_partkey, '/in.v1/' || replace(p_name, ' ', '_') || CASE p_partkey % 7 WHEN 0 THEN '.XLSX' WHEN 1 THEN '.csv' WHEN 2 THEN '.docx' WHEN 3 THEN '.hwp' WHEN 4 THEN '' WHEN 5 THEN '.tar.pdf' ELSE '.pptx' END AS path,
   CASE p_partkey % 7 WHEN 0 THEN 'xlsx' WHEN 1 THEN 'csv' WHEN 2 THEN 'docx' WHEN 5 THEN 'pdf' WHEN 6 THEN 'pptx' END AS file_type FROM part)
 SELECT *, CASE WHEN file_type IN ('xlsx', 'csv') THEN 'applied' WHEN file_type IS NOT NULL THEN 'guide' END AS apply_mode, CASE WHEN file_type IS NULL THEN 'UNSUPPORTED_FILE_TYPE' END AS error FROM p"""
 ORACLES["streamed_daily_feedback"] = """
-WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS feedback_date, CASE event_id % 3 WHEN 0 THEN 'C' WHEN 1 THEN 'S' ELSE 'O' END AS a,
+WITH e AS (SELECT ts AS t, strftime(ts, '%Y-%m-%d') AS feedback_date, CASE event_id % 3 WHEN 0 THEN 'C' WHEN 1 THEN 'S' ELSE 'O' END AS a,
   CASE WHEN event_id % 5 = 0 THEN 'X' WHEN event_id % 5 = 1 THEN 'S' WHEN event_id % 5 = 2 THEN 'C' WHEN event_id % 17 = 3 THEN '?' ELSE 'O' END AS u, event_type FROM events)
-SELECT feedback_date, count(*) AS total, count(*) FILTER (a = u) AS agreements, count(*) FILTER (u = 'X') AS false_positives FROM e WHERE u <> '?' AND event_type IS NOT NULL GROUP BY 1"""
+SELECT feedback_date, count(*) AS total, count(*) FILTER (a = u) AS agreements, count(*) FILTER (u = 'X') AS false_positives FROM e WHERE u <> '?' AND event_type IS NOT NULL GROUP BY 1
+HAVING strptime(feedback_date, '%Y-%m-%d') + INTERVAL 2 DAY <= (SELECT max(t) FROM e WHERE u <> '?' AND event_type IS NOT NULL)"""
+ORACLES["streamed_feedback_store"] = """
+WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_id % 31 <> 0 AS located, event_type, CASE event_id % 3 WHEN 0 THEN 'C' WHEN 1 THEN 'S' ELSE 'O' END AS a,
+  CASE WHEN event_id % 43 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 'X' WHEN event_id % 5 = 1 THEN 'S' WHEN event_id % 17 = 3 THEN '?' ELSE 'O' END AS u FROM events),
+j AS (SELECT *, CASE WHEN NOT located THEN 'locationLabel is required' WHEN event_type IS NULL THEN 'context is required' WHEN u IS NULL THEN 'userGrade is required'
+  WHEN u = '?' THEN 'userGrade must be one of C, S, O, X' ELSE '' END AS error FROM e)
+SELECT error, CASE WHEN error = '' THEN day ELSE '' END AS feedback_date, count(*) AS n, count(*) FILTER (error = '' AND a = u) AS agreements,
+  count(*) FILTER (error = '' AND u = 'X') AS false_positives FROM j GROUP BY ALL"""

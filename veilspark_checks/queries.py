@@ -16,7 +16,7 @@ from veilspark.functions import text as T
 from veilspark.functions.rules import IDENTIFIER_RULES, MINING_RULES
 from veilspark.operators import curation, deid_plan, detection, evaluation, feedback, mining, modeling, redaction, units
 from veilspark.plans import flows
-from veilspark.sources import routing
+from veilspark.sources import delimited, routing
 from veilspark_checks import derived as D
 from veilspark_checks.derived import table
 
@@ -169,6 +169,16 @@ def joined_detections(spark, sf):
         F.col("d.matched").alias("matched"), F.col("d.grade").alias("grade"))
 
 
+def scorer_failures(spark, sf):
+    """Units whose name or sentence scorer failed, per document: failures come as error rows or, for the sentence scorer, as
+    missing rows of units it should have seen."""
+    k = F.col("unit_no")
+    names = _name_outputs(spark, sf).withColumn("error", F.when(k % 9 == 0, "timeout"))
+    predictions = _predictions(spark, sf).where(k % 8 != 3).withColumn("error", F.when(k % 10 == 0, "out of memory"))
+    d = detection.detect_units(D.notes(spark, sf), names=names, predictions=predictions, name_threshold=0.3, context_threshold=0.4)
+    return detection.scorer_failures(d)
+
+
 def detector_output_aliases(spark, sf):
     """Detector rows under other column names, offsets as a pair, matches partly missing."""
     raw = detection.detect_patterns(D.contacts(spark, sf)).select(
@@ -458,6 +468,13 @@ def markdown_units(spark, sf):
     return u.withColumn("unit_id", units.unit_id(F.col("source_file"), F.col("heading_path"), F.col("text")))
 
 
+def markdown_line_units(spark, sf):
+    """The same units from a table of lines, as files larger than a row are read."""
+    files = _markdown_files(spark, sf)
+    lines = files.select("source_file", F.posexplode(F.split("content", "\n")).alias("line_no", "text"))
+    return units.markdown_line_units(lines, mining.is_table_header, run=100)
+
+
 def markdown_blocks(spark, sf):
     return units.markdown_blocks(_markdown_files(spark, sf))
 
@@ -526,9 +543,9 @@ def mining_cutoff(spark, sf):
 
 
 def mining_review_order(spark, sf):
-    """Candidates in review order; the check compares the rows and their scores."""
-    c = mining.in_review_order(flows.mined_candidates(_manual_files(spark, sf), PACK))
-    return c.select("sourceFile", "unit_no", "priorityScore", "strongKeywordCount", "priorityBand")
+    """Candidates with their place in the review order."""
+    c = mining.with_review_rank(flows.mined_candidates(_manual_files(spark, sf), PACK))
+    return c.select("sourceFile", "unit_no", "priorityScore", "strongKeywordCount", "priorityBand", "reviewRank")
 
 
 # --- curation --------------------------------------------------------------------------------------------------
@@ -742,6 +759,20 @@ def routed_files(spark, sf):
     return routing.route_files(p)
 
 
+def delimited_rows(spark, sf):
+    """All documents written as files with commas and with semicolons, line breaks and quotes inside cells, and read back."""
+    docs = table(spark, sf, "documents").withColumn("cells", F.array(
+        F.col("doc_id").cast("string"), "lang", F.coalesce("text", F.lit("")), F.concat(F.lit('"'), "source", F.lit('", ;'))))
+    place = _scratch(spark, "delimited")
+    for name, d, odd in (("commas", ",", 0), ("semicolons", ";", 1)):
+        # The shortest texts come first: the start of a file has to show its delimiter.
+        docs.where(F.col("doc_id") % 2 == odd).sortWithinPartitions(F.char_length("text"), "doc_id").select(
+            delimited.csv_line(F.col("cells"), d).alias("value")).write.option("lineSep", "\r\n").text(f"{place}/{name}")
+    rows = delimited.read_delimited(spark, [f"{place}/commas", f"{place}/semicolons"])
+    return rows.select(F.get("cells", F.lit(0)).cast("bigint").alias("doc_id"), F.size("cells").alias("n_cells"), "delimiter", F.get("cells", F.lit(1)).alias("lang"),
+                       F.md5(F.get("cells", F.lit(2))).alias("text_md5"), F.get("cells", F.lit(3)).alias("source"))
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder in the cluster's shared checkpoint folder, or a local one where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -753,8 +784,8 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 
 def streamed_daily_feedback(spark, sf):
-    """Feedback derived from the event stream, counted per day by the streaming aggregation (one row per
-    day and run reaches the result table)."""
+    """Feedback derived from the event stream, counted per day by the streaming aggregation.  Days are appended once the
+    watermark, a day behind the latest feedback, has passed them."""
     from veilspark.streaming import feedback_stream as S
 
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
@@ -765,12 +796,31 @@ def streamed_daily_feedback(spark, sf):
         F.when(k % 3 == 0, "C").when(k % 3 == 1, "S").otherwise("O").alias("aiGrade"),
         F.when(k % 5 == 0, "X").when(k % 5 == 1, "S").when(k % 5 == 2, "C").when(k % 17 == 3, "?").otherwise("O").alias("userGrade"),
         F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us")).withColumn("timestamp", F.col("us") / 1e6).drop("us")
-    counts = S.daily_counts(S.prepared(payloads))
-    name = f"daily_{abs(hash((sf, os.getpid(), os.urandom(4))))}"
-    q = counts.writeStream.format("memory").queryName(name).outputMode("complete").option(
-        "checkpointLocation", _scratch(spark, "daily")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    place = _scratch(spark, "daily")
+    S.append_daily_counts(S.prepared(payloads), f"{place}/out", f"{place}/check").awaitTermination()
+    return spark.read.schema("feedback_date string, total bigint, agreements bigint, false_positives bigint").parquet(f"{place}/out")
+
+
+def streamed_feedback_store(spark, sf):
+    """Feedback derived from the event stream, stored by day or rejected with a reason, then counted from both places."""
+    from veilspark.streaming import feedback_stream as S
+
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    k = F.col("event_id")
+    payloads = events.select(
+        F.when(k % 31 != 0, F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("locationLabel"), F.col("event_type").alias("context"),
+        F.when(k % 3 == 0, "C").when(k % 3 == 1, "S").otherwise("O").alias("aiGrade"),
+        F.when(k % 43 == 0, None).when(k % 5 == 0, "X").when(k % 5 == 1, "S").when(k % 17 == 3, "?").otherwise("O").alias("userGrade"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("timestamp"))
+    place = _scratch(spark, "feedback")
+    S.store_feedback(payloads, f"{place}/store", f"{place}/rejects", f"{place}/check").awaitTermination()
+    stored = spark.read.schema("isAgreement boolean, isFalsePositive boolean, feedback_date string").json(f"{place}/store").groupBy("feedback_date").agg(
+        F.count("*").alias("n"), F.count_if("isAgreement").alias("agreements"), F.count_if("isFalsePositive").alias("false_positives"))
+    rejected = spark.read.schema("error string").json(f"{place}/rejects").groupBy("error").agg(F.count("*").alias("n"))
+    zero = F.lit(0).cast("bigint")
+    return stored.select(F.lit("").alias("error"), "feedback_date", "n", "agreements", "false_positives").unionByName(
+        rejected.select("error", F.lit("").alias("feedback_date"), "n", zero.alias("agreements"), zero.alias("false_positives")))
 
 
 def streamed_redaction(spark, sf):
@@ -790,19 +840,19 @@ def streamed_redaction(spark, sf):
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     document_hits, document_identifiers, conversation_identifiers, contact_hits, contact_identifiers, rule_hits_by_language,
     document_grades, adapted_name_spans, name_detections, inline_name_detections, class_probabilities, hold_policy,
-    context_detections, classifier_gate, joined_detections, detector_output_aliases, contact_plan, contact_plan_from_rows,
+    context_detections, classifier_gate, joined_detections, scorer_failures, detector_output_aliases, contact_plan, contact_plan_from_rows,
     mixed_plan, plan_summary_grade, plan_source_counts, contact_redaction, contact_redaction_marked, document_redaction,
     redacted_documents, redaction_summary, plan_applied_to_contexts, cell_units, cell_items, cell_summary,
     guide_summary, sheet_items, review_items, line_units, extraction_stats, paragraph_units, section_units, slide_units,
-    location_keys, markdown_units, markdown_blocks, noise_rules, document_noise, keyword_matches, mined_candidates,
+    location_keys, markdown_units, markdown_line_units, markdown_blocks, noise_rules, document_noise, keyword_matches, mined_candidates,
     mined_candidates_second_policy, mined_candidates_first_policy, mining_counts, mining_cutoff, mining_review_order,
     clean_text, cleaning_counts, label_issues, label_value_counts, top_categories, document_profile, text_lengths,
     regraded_labels, merged_training_set, regrade_audit, appended_rows, failed_expectations, char_ngram_counts,
     whole_text_ngram_counts, word_ngram_counts, word_tfidf, keyword_features, stratified_split, shuffled_split,
     balanced_weights, confusion_matrix, class_report, model_comparison, best_model, misclassified_rows,
     missed_and_false_alarms, grade_model_scores, feedback_flags, feedback_overall, feedback_groups, feedback_rates,
-    feedback_mismatches, retrain_set, retrain_counts, feedback_latest, feedback_rejects, routed_files,
-    streamed_daily_feedback, streamed_redaction,
+    feedback_mismatches, retrain_set, retrain_counts, feedback_latest, feedback_rejects, routed_files, delimited_rows,
+    streamed_daily_feedback, streamed_feedback_store, streamed_redaction,
 )}
 QUERIES |= {f"guide_items_{t}": _guide_query(t) for t in ("docx", "pptx", "hwpx", "pdf")}
 QUERIES |= {"guide_warnings": _guide_warning_query("pdf")} | {f"guide_warnings_{t}": _guide_warning_query(t) for t in ("docx", "pptx", "hwpx")}
