@@ -20,9 +20,9 @@ _M1, _M2, _HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93),
 
 
 class WordHashes(dict):
-    """Hashes of words seen lately; words and their entries take 48 MB at most."""
+    """Hashes of words seen lately; words and their entries take 80 MB at most."""
 
-    room = 48 << 20
+    room = 80 << 20
 
     def __missing__(self, word: bytes) -> int:
         self.room -= len(word) + 200  # what an entry of the table and its two objects take
