@@ -1,4 +1,4 @@
-"""Suffix-array deduplication of long repeated byte strings by distributed prefix doubling over sampled positions.
+"""Deduplication of long repeated byte strings over sampled positions and direct hashes, in place of prefix doubling over all.
 
 Every string of ``length`` bytes has its sampled position, the 16 bytes of smallest hash in it; copies of the string have
 the same one.  Spark sorts these positions by the rank of their 16 bytes; those of one document alone are unique and go.
