@@ -20,16 +20,14 @@ _M1, _M2, _HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93),
 
 
 class WordHashes(dict):
-    """Hashes of words seen lately; words and their entries take 80 MB at most."""
-
-    room = 80 << 20
+    """Hashes of words seen lately: 400,000 words of at most 64 bytes, some 90 MB when full; longer ones are hashed anew."""
 
     def __missing__(self, word: bytes) -> int:
-        self.room -= len(word) + 200  # what an entry of the table and its two objects take
-        if self.room < 0:
-            self.clear()
-            self.room = type(self).room
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) > 400_000:
+                self.clear()
+            self[word] = value
         return value
 
 
