@@ -122,6 +122,13 @@ def test_model_variants_are_compared(spark):
     assert E.regressions(models["lr_char"].score(E.regression_set(spark)), "S").count() == 8
 
 
+def test_the_last_row_of_a_text_counts(spark):
+    rows = spark.createDataFrame([("a", "S", 2), ("a", "O", 1), ("b", "C", 3)], "text string, label string, no int").coalesce(1)
+    want = {"a": "O", "b": "C", "c": "S"}
+    assert [tuple(r) for r in C.failed_expectations(rows, want).collect()] == [("c", "S", None)]
+    assert sorted(tuple(r) for r in C.failed_expectations(rows, want, "no").collect()) == [("a", "O", "S"), ("c", "S", None)]
+
+
 def test_augmented_rows_never_reach_the_test_part(spark):
     df = labelled(spark).withColumn("augmented", F.when(F.col("id") % 4 == 0, "1").otherwise("0"))
     out = ML.stratified_split(df, "id")

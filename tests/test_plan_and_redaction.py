@@ -123,6 +123,50 @@ def test_a_hot_location_is_swept_in_runs(spark):
     assert islands.select("_island").distinct().count() == n
 
 
+def test_places_with_some_of_fields_label_and_context(spark):
+    """All patterns of missing fields, label and context, mixed in one document, against the pairwise rule."""
+    rng = random.Random(4)
+    docs = []
+    for doc in range(30):
+        spans = []
+        for o in range(rng.randrange(2, 12)):
+            s = rng.randrange(20)
+            place = (rng.choice([None, 1, 2]), rng.choice([None, "A", "B"]), rng.choice([None, "c", "d"]))
+            spans.append((det(o, s, s + rng.randint(1, 6), rng.choice(["regex", "ner"]), rng.choice("CSO"), "마스킹"), place))
+        docs.append(spans)
+
+    def same(a, b):
+        if a[0] and b[0]:
+            return a[0] == b[0]
+        return a[1] == b[1] if a[1] is not None or b[1] is not None else a[2] == b[2]
+
+    def fold(spans):
+        out = []
+        for d, place in spans:
+            c = dict(zip(FIELDS, d)) | {"place": place}
+            for i, k in enumerate(out):
+                if k["start"] < c["end"] and c["start"] < k["end"] and same(k["place"], place):
+                    pref = lambda x: (SRC[x["source"]], -GR[x["grade"]], -len(x["matched"]), x["ord"])
+                    win, lose = (k, c) if pref(k) <= pref(c) else (c, k)
+                    win["reason"] += f" / 중복 탐지 흡수: source={lose['source']}, label={lose['label']}, matched={lose['matched']}"
+                    out[i] = win
+                    break
+            else:
+                out.append(c)
+        return sorted((x["label"], x["start"], x["end"], x["reason"]) for x in out)
+
+    rows = [(doc, 7, place[2], place[1], place[0]) + d for doc, spans in enumerate(docs) for d, place in spans]
+    df = spark.createDataFrame(
+        rows, "doc_id long, unit_no long, context string, location_label string, p int, ord long, label string, matched string, grade string, "
+        "action string, source string, start int, end int, sensitive_type string, sensitive_category string, reason string"
+    ).withColumn("loc", L.location(paragraphNo=F.col("p"))).drop("p")
+    got = {}
+    for r in P.plan_detections(df).collect():
+        got.setdefault(r.doc_id, []).append((r.label, r.start, r.end, r.reason))
+    for doc, spans in enumerate(docs):
+        assert sorted(got[doc]) == fold(spans)
+
+
 def brute_apply(text, targets, mode):
     warnings, n = [], 0
     for t in sorted(targets, key=lambda d: -d["start"]):

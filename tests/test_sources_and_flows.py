@@ -103,6 +103,18 @@ def test_blocks_of_a_file_are_read_as_one(spark, folder):
             spark.conf.set(c, v)
 
 
+def test_a_cell_longer_than_the_csv_module_allows_by_itself(spark, folder):
+    long = "x" * 150_000 + '"\n,' + "y" * 150_000
+    put(folder, "long.csv", ("a,b\n1," + '"' + long.replace('"', '""') + '"\n2,c\n').encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+        rows = {r.row_no: r.cells for r in delimited.read_delimited(spark, folder).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert rows == {1: ["a", "b"], 2: ["1", long], 3: ["2", "c"]}
+
+
 def test_markdown_lines_equal_whole_files(spark, folder):
     r = random.Random(3)
     parts = ["## one", "## two  ", "### sub", "**bold**", "**b2** : ", "text", "  more text ", "| a | b |", "|---|---|", "| c | d |", "", " ", "<!-- page 3 -->",

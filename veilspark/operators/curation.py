@@ -258,12 +258,12 @@ def changed_sample(regraded: DataFrame, order: str, n: int = 20) -> DataFrame:
 
 
 def failed_expectations(rows: DataFrame, expected: Mapping[str, str], order: str | None = None) -> DataFrame:
-    """Expected labels by text that the rows do not have; of rows with the same text the last counts."""
+    """Expected labels by text that the rows do not have; of rows with the same text the last counts: by ``order`` where it
+    is given, else as the rows are read."""
     spark = rows.sparkSession
     want = spark.createDataFrame(list(expected.items()), "text string, expected string")
-    known = rows.where(F.col("text").isin(*expected))
-    last = F.max_by("label", order) if order else F.max("label")
-    have = known.groupBy("text").agg(last.alias("actual"))
+    known = rows.withColumn("_at", F.col(order) if order else F.monotonically_increasing_id()).where(F.col("text").isin(*expected))
+    have = known.groupBy("text").agg(F.max_by("label", "_at").alias("actual"))
     return want.join(have, "text", "left").where(~F.col("expected").eqNullSafe(F.col("actual")))
 
 

@@ -61,13 +61,20 @@ def _absorb(kept: Column, lost: Column) -> Column:
     return kept.withField("reason", F.when(old == "", note).otherwise(F.concat(old, F.lit(" / "), note)))
 
 
-def _place(kept: Column, x: Column) -> Column:
+def same_location(a: Column, b: Column) -> Column:
+    """Fields decide where both have some, else labels where either has one, else contexts.  This is no equivalence: a span
+    without fields can share its place with two that differ in theirs.  ``_m``, ``_l``, ``_c``: fields, label and context."""
+    return F.when(a["_m"].isNotNull() & b["_m"].isNotNull(), a["_m"] == b["_m"]).when(
+        a["_l"].isNotNull() | b["_l"].isNotNull(), a["_l"].eqNullSafe(b["_l"])).otherwise(a["_c"].eqNullSafe(b["_c"]))
+
+
+def _place(kept: Column, x: Column, meets=overlaps) -> Column:
     """One fold step over the kept spans."""
     def settle(k: Column) -> Column:
         return F.when(_preference(k) <= _preference(x), _absorb(k, x)).otherwise(
             _absorb(x.withField("slot", k["slot"]), k))
 
-    first = F.array_position(F.transform(kept, lambda k: overlaps(k, x)), F.lit(True))
+    first = F.array_position(F.transform(kept, lambda k: meets(k, x)), F.lit(True))
     return let(first, lambda at: F.when(at == 0, F.concat(kept, F.array(x))).otherwise(
         F.transform(kept, lambda k, i: F.when(i + 1 == at, settle(k)).otherwise(k))))
 
@@ -77,9 +84,9 @@ def _sorted_by(arr: Column, *fields: str) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: s["x"])
 
 
-def _fold(arr: Column, ddl: str) -> Column:
+def _fold(arr: Column, ddl: str, meets=overlaps) -> Column:
     """``arr``: array of ``ddl`` in input order, with a ``slot`` field."""
-    return F.aggregate(arr, F.array().cast(f"array<{ddl}>"), _place)
+    return F.aggregate(arr, F.array().cast(f"array<{ddl}>"), lambda kept, x: _place(kept, x, meets))
 
 
 def _islands(by_start: Column, ddl: str) -> Column:
@@ -203,25 +210,32 @@ def plan_detections(rows: DataFrame, order: Sequence[str] = ("unit_no", "ord"),
     (auto or review), ``first_seen`` (order in which the location first appears) and ``slot``.
 
     Sort by doc_id, track, first_seen, start (nulls last), slot to get the display order.  Spans are folded island by island
-    (see ``with_islands``), so a hot location is no hot task.  Contexts and locations stay out of it: each different one of
+    (see ``with_islands``), so a hot location is no hot task.  In documents whose spans have location fields only in part, a
+    place is told pair by pair (``same_location``), and islands reach over all their locations.  Contexts and locations stay out of it: each different one of
     a document is kept once, by its digest, and joined to the targets at the end."""
     keyed = with_location_key(rows).withColumn("_o", F.struct(*order))
     keyed = keyed.withColumn("_x", F.sha2(F.to_json(F.struct(*_EXTRA)), 256))
     extras = keyed.groupBy("doc_id", "_x").agg(F.first(F.struct(*_EXTRA)).alias("_e")).select(F.struct("doc_id", "_x").alias("_ref"), "_e")
     d = F.struct(*[F.col(f) for f in _FIELDS])
-    small = keyed.select("doc_id", "loc_key", "_o", "_x", *_FIELDS)
-    auto = with_islands(small.where(is_auto(d)), ("doc_id", "loc_key"), "_o", run)
-    item = F.struct("_o", *_FIELDS, "_x")
-    grouped = auto.groupBy("doc_id", "loc_key", "_island").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    schema = {f.name: f.dataType.simpleString() for f in small.select("_o", *_FIELDS, "_x").schema}
+    fields = F.to_json("loc")
+    small = keyed.select("doc_id", "loc_key", "_o", "_x", *_FIELDS, F.when(fields != "{}", F.md5(fields)).alias("_m"),
+                         F.md5("location_label").alias("_l"), F.md5("context").alias("_c"))
+    auto = small.where(is_auto(d))
+    partly = auto.groupBy(F.struct("doc_id").alias("_d")).agg(F.count("_m").alias("_with"), F.count(F.lit(1)).alias("_all")).where(
+        "_with > 0 and _with < _all").select("_d", F.lit("").alias("_everywhere"))
+    auto = auto.withColumn("_d", F.struct("doc_id")).join(partly, "_d", "left").withColumn("_group", F.coalesce("_everywhere", "loc_key"))
+    auto = with_islands(auto, ("doc_id", "_group"), "_o", run)
+    names = ("_o", *_FIELDS, "_x", "loc_key", "_m", "_l", "_c")
+    grouped = auto.groupBy("doc_id", "_group", "_island").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("items"))
+    schema = {f.name: f.dataType.simpleString() for f in auto.select(*names).schema}
     ddl = ("struct<ord:bigint," + ",".join(f"`{n}`:{t}" for n, t in schema.items())
            + f",slot:{schema['_o']}>")
     numbered = F.transform("items", lambda x, i: F.struct(
         i.cast("bigint").alias("ord"), *[x[n].alias(n) for n in schema], x["_o"].alias("slot"))
     ).cast(f"array<{ddl}>")
     kept = (
-        grouped.select("doc_id", "loc_key", F.explode(_fold(numbered, ddl)).alias("t"))
-        .select("doc_id", "loc_key", "t.*").drop("ord")
+        grouped.select("doc_id", F.explode(_fold(numbered, ddl, lambda k, x: overlaps(k, x) & same_location(k, x))).alias("t"))
+        .select("doc_id", "t.*").drop("ord")
     )
     review = small.where(is_review(d)).withColumn("slot", F.col("_o"))
 

@@ -52,6 +52,7 @@ class _Feed:
 
 def _records(lines: Iterable[str], delimiter: str, inside: bool = False) -> Iterator[tuple[list[str], bool]]:
     """(cells, whether the row is still open) of every row: a row given out when the lines have ended misses its end."""
+    csv.field_size_limit(1 << 31)  # cells may be as long as a row can be
     feed = _Feed(lines, inside)
     for cells in csv.reader(feed, delimiter=delimiter):
         yield cells, feed.ended
@@ -211,7 +212,6 @@ def read_delimited(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     known = spark.sparkContext.broadcast(files)
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        csv.field_size_limit(1 << 31)
         for (path, block, _), own in _by_block(batches):
             file = known.value[path]
             inside, before, ending, _ = file.blocks[block]
@@ -251,7 +251,6 @@ def read_delimited(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
                 yield pa.RecordBatch.from_pylist([{"path": path, "row_no": row, "block": block, "no": k, "piece": p} for k, p in held], schema=schema)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        csv.field_size_limit(1 << 31)
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
         for (path, row), group in itertools.groupby(rows, key=lambda r: r[:2]):
             file = known.value[path]

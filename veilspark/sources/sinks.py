@@ -15,11 +15,15 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_candidates(rows: DataFrame, base: str) -> None:
-    """Three outputs in review order: all, context candidates, identifier candidates."""
-    kept = rows.persist(StorageLevel.DISK_ONLY)
-    for name, part in (("all", kept), ("ai", context_rows(kept)), ("regex", identifier_rows(kept))):
-        write_csv(in_review_order(part).drop("unit_no"), f"{base}_{name}")
-    kept.unpersist()
+    """Three outputs in review order: all, context candidates, identifier candidates.
+
+    The rows are sorted once: a filter leaves them in order, so each output is the kept ranges with fewer rows."""
+    kept = in_review_order(rows).persist(StorageLevel.DISK_ONLY)
+    try:
+        for name, part in (("all", kept), ("ai", context_rows(kept)), ("regex", identifier_rows(kept))):
+            write_csv(part.drop("unit_no"), f"{base}_{name}")
+    finally:
+        kept.unpersist()
 
 
 def write_retrain_set(rows: DataFrame, path: str) -> None:

@@ -628,6 +628,7 @@ UNION ALL SELECT context, "userGrade", CASE WHEN doc_id % 3 = 0 THEN '1' ELSE '0
 FROM fb WHERE "userGrade" IN ('C', 'S', 'O')"""
 ORACLES["regrade_audit"] = f"""WITH {REGRADED} SELECT original_grade, label, count(*) AS n, original_grade <> label AS changed,
   round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 1)::DOUBLE AS share FROM regraded GROUP BY original_grade, label"""
+ORACLES["changed_rows"] = f"""WITH {REGRADED} SELECT id, original_grade, label FROM regraded WHERE original_grade <> label ORDER BY id LIMIT 20"""
 ORACLES["appended_rows"] = f"""WITH {LABELLED},{FEEDBACK} SELECT id, text, cso_grade FROM lab
 UNION ALL SELECT CAST((SELECT max(id::BIGINT) FROM lab) + row_number() OVER (ORDER BY doc_id) AS VARCHAR), context, 'O' FROM fb"""
 ORACLES["failed_expectations"] = f"""WITH {REGRADED}, want(text, expected) AS (VALUES ('en src1', 'C'), ('fr src2', 'O'), ('없는 문장', 'S')),
@@ -657,6 +658,9 @@ ORACLES["word_ngram_counts"] = f"WITH {_words('conversations', 'conv_id * 1000 +
 ORACLES["word_tfidf"] = f"""WITH {_words('documents', 'doc_id')}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS n FROM documents),
 raw AS (SELECT id, term, tf, tf * (ln((1.0 + n.n) / (1.0 + df)) + 1.0) AS r FROM tf JOIN df USING (term), n), norm AS (SELECT id, sqrt(sum(r * r)) AS z FROM raw GROUP BY id)
 SELECT id AS doc_id, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS tokens, round(sum(r / z), 6) AS weight_sum, round(max(r / z), 6) AS weight_max FROM raw JOIN norm USING (id) GROUP BY id"""
+ORACLES["char_tfidf"] = f"""WITH tf AS ({ORACLES['char_ngram_counts']}), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS n FROM benchmark),
+raw AS (SELECT item_id, term, tf, df, tf * (ln((1.0 + n.n) / (1.0 + df)) + 1.0) AS r FROM tf JOIN df USING (term), n), norm AS (SELECT item_id, sqrt(sum(r * r)) AS z FROM raw GROUP BY item_id)
+SELECT item_id, term, tf, df, round(r / z, 6) AS weight FROM raw JOIN norm USING (item_id)"""
 ORACLES["keyword_features"] = f"WITH {MANUALS} SELECT line_no, " + ", ".join(
     f"CAST(len({_role(r, 'line')}) AS INTEGER) AS kw_{r}" for r in ("strong_procedural", "s_business_sensitive", "ambiguous_action", "weak")) + " FROM ml"
 ORACLES["stratified_split"] = f"""WITH {REGRADED}, x AS (SELECT id, label, id::BIGINT % 11 = 0 AS aug FROM regraded WHERE label IN ('C', 'S', 'O')),
@@ -678,6 +682,8 @@ ORACLES["class_report"] = f"""WITH RECURSIVE {PAIRS}, c AS (SELECT g AS grade, c
   count(*) FILTER (pred_b = g) AS pred_count FROM (VALUES ('C'), ('S'), ('O')) v(g), pairs GROUP BY g),
 r AS (SELECT *, CASE WHEN pred_count = 0 THEN 0.0::DOUBLE ELSE correct_count / pred_count::DOUBLE END AS p, CASE WHEN true_count = 0 THEN 0.0::DOUBLE ELSE correct_count / true_count::DOUBLE END AS rc FROM c)
 SELECT grade, correct_count, true_count, pred_count, round(p, 6) AS precision, round(rc, 6) AS recall, round(CASE WHEN p + rc = 0 THEN 0.0::DOUBLE ELSE 2 * p * rc / (p + rc) END, 6) AS f1 FROM r"""
+ORACLES["grade_report"] = f"""WITH r AS ({ORACLES['class_report']}) SELECT grade, true_count, correct_count,
+  printf('%.6f', CASE WHEN true_count = 0 THEN 0.0 ELSE correct_count / true_count::DOUBLE END)::DOUBLE AS recall FROM r"""
 _MODELS = "two AS (SELECT 'rules' AS model, truth, pred FROM pairs UNION ALL SELECT 'length', truth, pred_b FROM pairs)"
 ORACLES["model_comparison"] = f"""WITH RECURSIVE {PAIRS},{_MODELS} SELECT model, printf('%.6f', count(*) FILTER (truth = pred) / count(*)::DOUBLE)::DOUBLE AS accuracy, """ + ", ".join(
     f"printf('%.6f', count(*) FILTER (truth = '{g}' AND pred = '{g}') / count(*) FILTER (truth = '{g}')::DOUBLE)::DOUBLE AS recall_{g}" for g in "CSO") + ", " + ", ".join(
@@ -694,6 +700,7 @@ ORACLES["feedback_flags"] = f"""WITH {FEEDBACK} SELECT doc_id, "aiGrade", "userG
 ORACLES["feedback_overall"] = f"""WITH {FEEDBACK}, c AS (SELECT count(*) AS total, count(*) FILTER (agree) AS agreements, count(*) FILTER (fp) AS false_positives FROM fb)
 SELECT *, total - agreements AS mismatches, printf('%.3f', agreements / total::DOUBLE)::DOUBLE AS agreement_rate, printf('%.3f', false_positives / total::DOUBLE)::DOUBLE AS false_positive_rate,
   printf('%.3f', (total - agreements) / total::DOUBLE)::DOUBLE AS mismatch_rate FROM c"""
+ORACLES["feedback_store_stats"] = f"""WITH c AS ({ORACLES['feedback_overall']}) SELECT total, agreements, false_positives, agreement_rate FROM c"""
 _GROUPS = " UNION ALL ".join(
     f"SELECT '{d}' AS dimension, {e} AS value, count(*) AS total, count(*) FILTER (agree) AS agreements, count(*) FILTER (fp) AS false_positives FROM fb GROUP BY 2"
     for d, e in (("file_type", "coalesce(\"fileType\", 'unknown')"), ("ai_grade", "coalesce(\"aiGrade\", 'None')"), ("feedback_date", "feedback_date")))

@@ -604,6 +604,11 @@ def regrade_audit(spark, sf):
     return curation.regrade_audit(curation.regrade(D.labelled_rows(spark, sf)))
 
 
+def changed_rows(spark, sf):
+    """The first regraded rows whose grade changed (a report of fixed length)."""
+    return curation.changed_sample(curation.regrade(D.labelled_rows(spark, sf)), "id").select("id", "original_grade", "label")
+
+
 def appended_rows(spark, sf):
     """Feedback contexts appended to the labelled rows with continued ids."""
     old = D.labelled_rows(spark, sf).select("id", "text", "cso_grade")
@@ -637,6 +642,11 @@ def word_tfidf(spark, sf):
         F.round(F.max("weight"), 6).alias("weight_max"))
 
 
+def char_tfidf(spark, sf):
+    """Weights of the word-bounded character n-grams of every benchmark text."""
+    return modeling.tfidf(table(spark, sf, "benchmark"), "item_id").withColumn("weight", F.round("weight", 6))
+
+
 def keyword_features(spark, sf):
     return modeling.keyword_counts(D.manual_lines(spark, sf).withColumnRenamed("line", "text"), PACK).drop("source_file", "text")
 
@@ -673,6 +683,10 @@ def class_report(spark, sf):
     return r.select("grade", "correct_count", "true_count", "pred_count", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
+def grade_report(spark, sf):
+    return evaluation.grade_report(evaluation.confusion_counts(_graded_pairs(spark, sf), pred="pred_b"))
+
+
 def _two_models(spark, sf) -> DataFrame:
     g = _graded_pairs(spark, sf)
     return g.select("truth", F.explode(F.array(
@@ -718,6 +732,10 @@ def feedback_overall(spark, sf):
     return feedback.overall_stats(D.feedback_rows(spark, sf))
 
 
+def feedback_store_stats(spark, sf):
+    return feedback.store_stats(D.feedback_rows(spark, sf))
+
+
 def feedback_groups(spark, sf):
     return feedback.grouped_stats(D.feedback_rows(spark, sf))
 
@@ -847,10 +865,10 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     location_keys, markdown_units, markdown_line_units, markdown_blocks, noise_rules, document_noise, keyword_matches, mined_candidates,
     mined_candidates_second_policy, mined_candidates_first_policy, mining_counts, mining_cutoff, mining_review_order,
     clean_text, cleaning_counts, label_issues, label_value_counts, top_categories, document_profile, text_lengths,
-    regraded_labels, merged_training_set, regrade_audit, appended_rows, failed_expectations, char_ngram_counts,
-    whole_text_ngram_counts, word_ngram_counts, word_tfidf, keyword_features, stratified_split, shuffled_split,
-    balanced_weights, confusion_matrix, class_report, model_comparison, best_model, misclassified_rows,
-    missed_and_false_alarms, grade_model_scores, feedback_flags, feedback_overall, feedback_groups, feedback_rates,
+    regraded_labels, merged_training_set, regrade_audit, changed_rows, appended_rows, failed_expectations, char_ngram_counts,
+    whole_text_ngram_counts, word_ngram_counts, word_tfidf, char_tfidf, keyword_features, stratified_split, shuffled_split,
+    balanced_weights, confusion_matrix, class_report, grade_report, model_comparison, best_model, misclassified_rows,
+    missed_and_false_alarms, grade_model_scores, feedback_flags, feedback_overall, feedback_store_stats, feedback_groups, feedback_rates,
     feedback_mismatches, retrain_set, retrain_counts, feedback_latest, feedback_rejects, routed_files, delimited_rows,
     streamed_daily_feedback, streamed_feedback_store, streamed_redaction,
 )}
