@@ -111,7 +111,7 @@ def test_a_hot_location_is_swept_in_runs(spark):
         "action string, source string, start int, end int, sensitive_type string, sensitive_category string, reason string"
     ).withColumn("loc", L.no_location())
     want = [(d["label"], d["start"], d["end"], d["reason"]) for d in brute(spans)]
-    for run in (50, P.RUN):
+    for run in (50, P.RUN, None):
         got = P.plan_detections(df, run=run).where("doc_id = 1").collect()
         assert sorted((r.start, r.slot.ord, r.label, r.end, r.reason) for r in got) and sorted((r.label, r.start, r.end, r.reason) for r in got) == sorted(want)
         assert all(r.context == f"context {r.order.ord % 2}" and r.first_seen == min(got, key=lambda x: x.slot).order for r in got)
@@ -160,11 +160,12 @@ def test_places_with_some_of_fields_label_and_context(spark):
         rows, "doc_id long, unit_no long, context string, location_label string, p int, ord long, label string, matched string, grade string, "
         "action string, source string, start int, end int, sensitive_type string, sensitive_category string, reason string"
     ).withColumn("loc", L.location(paragraphNo=F.col("p"))).drop("p")
-    got = {}
-    for r in P.plan_detections(df).collect():
-        got.setdefault(r.doc_id, []).append((r.label, r.start, r.end, r.reason))
-    for doc, spans in enumerate(docs):
-        assert sorted(got[doc]) == fold(spans)
+    for run in (None, 5):
+        got = {}
+        for r in P.plan_detections(df, run=run).collect():
+            got.setdefault(r.doc_id, []).append((r.label, r.start, r.end, r.reason))
+        for doc, spans in enumerate(docs):
+            assert sorted(got[doc]) == fold(spans)
 
 
 def brute_apply(text, targets, mode):

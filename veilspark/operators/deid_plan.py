@@ -205,27 +205,41 @@ def with_islands(spans: DataFrame, keys: Sequence[str], order: str, run: int = R
     ).drop("_k", "_run", "_far", "_reach", "_first", "_open")
 
 
-def plan_detections(rows: DataFrame, order: Sequence[str] = ("unit_no", "ord"), run: int = RUN) -> DataFrame:
+def plan_detections(rows: DataFrame, order: Sequence[str] = ("unit_no", "ord"), run: int | None = None) -> DataFrame:
     """Plan for a table of detections that may come from anywhere: one row per target with ``track``
     (auto or review), ``first_seen`` (order in which the location first appears) and ``slot``.
 
-    Sort by doc_id, track, first_seen, start (nulls last), slot to get the display order.  Spans are folded island by island
-    (see ``with_islands``), so a hot location is no hot task.  In documents whose spans have location fields only in part, a
-    place is told pair by pair (``same_location``), and islands reach over all their locations.  Contexts and locations stay out of it: each different one of
-    a document is kept once, by its digest, and joined to the targets at the end."""
+    Sort by doc_id, track, first_seen, start (nulls last), slot to get the display order.  Spans are folded island by island.
+    In documents whose spans have location fields only in part, a place is told pair by pair (``same_location``), and islands
+    reach over all their locations.
+
+    By itself the rows are read once and dealt by document.  With ``run`` (``RUN``, for tables in which a document or a
+    location holds very many spans) islands are swept in runs of that many offsets (``with_islands``), so no location is one
+    task, and contexts and locations stay out of it: each different one of a document is kept once, by its digest, and
+    joined to the targets at the end.  This reads the rows several times; give it a stored table."""
     keyed = with_location_key(rows).withColumn("_o", F.struct(*order))
-    keyed = keyed.withColumn("_x", F.sha2(F.to_json(F.struct(*_EXTRA)), 256))
-    extras = keyed.groupBy("doc_id", "_x").agg(F.first(F.struct(*_EXTRA)).alias("_e")).select(F.struct("doc_id", "_x").alias("_ref"), "_e")
-    d = F.struct(*[F.col(f) for f in _FIELDS])
     fields = F.to_json("loc")
-    small = keyed.select("doc_id", "loc_key", "_o", "_x", *_FIELDS, F.when(fields != "{}", F.md5(fields)).alias("_m"),
+    carried = _EXTRA if run is None else ["_x"]
+    if run is not None:
+        keyed = keyed.withColumn("_x", F.sha2(F.to_json(F.struct(*_EXTRA)), 256))
+    d = F.struct(*[F.col(f) for f in _FIELDS])
+    small = keyed.select("doc_id", "loc_key", "_o", *_FIELDS, *carried, F.when(fields != "{}", F.md5(fields)).alias("_m"),
                          F.md5("location_label").alias("_l"), F.md5("context").alias("_c"))
     auto = small.where(is_auto(d))
-    partly = auto.groupBy(F.struct("doc_id").alias("_d")).agg(F.count("_m").alias("_with"), F.count(F.lit(1)).alias("_all")).where(
-        "_with > 0 and _with < _all").select("_d", F.lit("").alias("_everywhere"))
-    auto = auto.withColumn("_d", F.struct("doc_id")).join(partly, "_d", "left").withColumn("_group", F.coalesce("_everywhere", "loc_key"))
-    auto = with_islands(auto, ("doc_id", "_group"), "_o", run)
-    names = ("_o", *_FIELDS, "_x", "loc_key", "_m", "_l", "_c")
+    if run is None:
+        by_doc = Window.partitionBy("doc_id")
+        known, count = F.count("_m").over(by_doc), F.count(F.lit(1)).over(by_doc)
+        auto = auto.withColumn("_group", F.when((known > 0) & (known < count), "").otherwise(F.col("loc_key")))
+        swept = Window.partitionBy("doc_id", "_group").orderBy("start", "end", "_o")
+        reach = F.max("end").over(swept.rowsBetween(Window.unboundedPreceding, -1))
+        auto = auto.withColumn("_new", F.when(F.col("start") >= reach, 1).otherwise(0)).withColumn(
+            "_island", F.sum("_new").over(swept.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    else:
+        partly = auto.groupBy(F.struct("doc_id").alias("_d")).agg(F.count("_m").alias("_with"), F.count(F.lit(1)).alias("_all")).where(
+            "_with > 0 and _with < _all").select("_d", F.lit("").alias("_everywhere"))
+        auto = auto.withColumn("_d", F.struct("doc_id")).join(partly, "_d", "left").withColumn("_group", F.coalesce("_everywhere", "loc_key"))
+        auto = with_islands(auto, ("doc_id", "_group"), "_o", run)
+    names = ("_o", *_FIELDS, *carried, "loc_key", "_m", "_l", "_c")
     grouped = auto.groupBy("doc_id", "_group", "_island").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("items"))
     schema = {f.name: f.dataType.simpleString() for f in auto.select(*names).schema}
     ddl = ("struct<ord:bigint," + ",".join(f"`{n}`:{t}" for n, t in schema.items())
@@ -234,17 +248,24 @@ def plan_detections(rows: DataFrame, order: Sequence[str] = ("unit_no", "ord"),
         i.cast("bigint").alias("ord"), *[x[n].alias(n) for n in schema], x["_o"].alias("slot"))
     ).cast(f"array<{ddl}>")
     kept = (
-        grouped.select("doc_id", F.explode(_fold(numbered, ddl, lambda k, x: overlaps(k, x) & same_location(k, x))).alias("t"))
+        # A span alone on its island, by far the common case, stays as it is.
+        grouped.select("doc_id", F.explode(F.when(F.size("items") > 1, _fold(numbered, ddl, lambda k, x: overlaps(k, x) & same_location(k, x)))
+                                           .otherwise(numbered)).alias("t"))
         .select("doc_id", "t.*").drop("ord")
     )
     review = small.where(is_review(d)).withColumn("slot", F.col("_o"))
 
     def placed(targets: DataFrame, track: str, seen: Column) -> DataFrame:
+        if run is None:
+            return targets.withColumns({"first_seen": seen.over(Window.partitionBy("doc_id", "loc_key")), "track": F.lit(track)})
         first = targets.groupBy("doc_id", "loc_key").agg(seen.alias("first_seen")).select(F.struct("doc_id", "loc_key").alias("_k"), "first_seen")
         return targets.withColumn("_k", F.struct("doc_id", "loc_key")).join(first, "_k").drop("_k").withColumn("track", F.lit(track))
 
     both = placed(kept, "auto", F.min_by("_o", "slot")).unionByName(placed(review, "review", F.min("_o")))
-    return both.withColumn("_ref", F.struct("doc_id", "_x")).join(extras, "_ref").select(
+    if run is not None:
+        extras = keyed.groupBy("doc_id", "_x").agg(F.first(F.struct(*_EXTRA)).alias("_e")).select(F.struct("doc_id", "_x").alias("_ref"), "_e.*")
+        both = both.withColumn("_ref", F.struct("doc_id", "_x")).join(extras, "_ref")
+    return both.select(
         "doc_id", "loc_key", "track", "first_seen", "slot", F.col("_o").alias("order"),
         F.coalesce("label", F.lit("")).alias("label"),
         F.coalesce("matched", F.lit("")).alias("matched"),
@@ -253,7 +274,7 @@ def plan_detections(rows: DataFrame, order: Sequence[str] = ("unit_no", "ord"),
         F.coalesce("source", F.lit("")).alias("source"),
         "start", "end", "sensitive_type", "sensitive_category",
         F.coalesce("reason", F.lit("")).alias("reason"),
-        *[F.col("_e")[c].alias(c) for c in _EXTRA],
+        *_EXTRA,
     )
 
 
