@@ -115,6 +115,18 @@ def test_a_cell_longer_than_the_csv_module_allows_by_itself(spark, folder):
     assert rows == {1: ["a", "b"], 2: ["1", long], 3: ["2", "c"]}
 
 
+def test_delimiter_beside_quoted_cells_that_hold_another(spark, folder):
+    """Heads on which the sniffer takes the comma inside the quoted cells for the delimiter."""
+    texts = [("1461", "en", "Atha the an of and.", 0), ("5679", "fr", "Anier aieux. Le de.", 19), ("4153", "en", "To ndor at and blesh.", 13),
+             ("3953", "es", "De cias la asta en la.", 13), ("3345", "en", "Hest thou ereaat thnd a.", 5), ("1533", "en", "Thanonmfd thates ly.", 0)]
+    with open(f"{folder}/a.csv", "w", newline="") as f:
+        f.write("".join(f'{i};{lang};{text};"""src{s}"", ;"\r\n' for i, lang, text, s in texts))
+    assert csv.Sniffer().sniff(open(f"{folder}/a.csv", newline="").read(), delimiters=",\t;|").delimiter == ","
+    rows = delimited.read_delimited(spark, f"{folder}/a.csv").orderBy("row_no").collect()
+    assert [(r.delimiter, *r.cells) for r in rows] == [(";", i, lang, text, f'"src{s}", ;') for i, lang, text, s in texts]
+    assert delimited._row_sizes('1;2;"long\ntext', ";") == [3] and delimited._row_sizes('1;2;"long\ntext', ",") is None
+
+
 def test_markdown_lines_equal_whole_files(spark, folder):
     r = random.Random(3)
     parts = ["## one", "## two  ", "### sub", "**bold**", "**b2** : ", "text", "  more text ", "| a | b |", "|---|---|", "| c | d |", "", " ", "<!-- page 3 -->",
