@@ -233,6 +233,22 @@ def test_every_payload_is_stored_or_rejected_once(spark, folder):
         "userGrade must be one of C, S, O, X": 8, "payload is not a JSON object of the expected types": 4, "locationLabel is required": 4}
 
 
+def test_open_days_are_counted(spark, folder):
+    """Days of the last feedback and feedback that arrives after later days."""
+    base = 1_777_593_600  # 2026-05-01
+    def arrive(name, days):
+        with open(f"{folder}/in/{name}.json", "w") as f:
+            for d in days:
+                f.write(json.dumps({"locationLabel": "a", "context": "b", "aiGrade": "C", "userGrade": "C" if d % 2 else "X", "timestamp": base + d * 86400.0}) + "\n")
+
+    os.mkdir(f"{folder}/in")
+    for name, days in (("a", [0, 1, 1, 9]), ("b", [0, 9, 9])):
+        arrive(name, days)
+        S.store_daily_counts(S.feedback_inbox(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/check").awaitTermination()
+    got = {tuple(r) for r in S.read_daily_counts(spark, f"{folder}/out").collect()}
+    assert got == {("2026-05-01", 2, 0, 2), ("2026-05-02", 2, 2, 0), ("2026-05-10", 3, 3, 0)}
+
+
 def test_routing(spark):
     files = spark.createDataFrame([("/a/b.DOCX",), ("/a.v1/readme",), ("x.csv",)], "path string")
     ok, bad = routing.split_supported(files)
