@@ -249,6 +249,18 @@ def test_open_days_are_counted(spark, folder):
     assert got == {("2026-05-01", 2, 0, 2), ("2026-05-02", 2, 2, 0), ("2026-05-10", 3, 3, 0)}
 
 
+def test_streams_of_one_file_are_spread(spark, folder):
+    from veilspark.sources.tables import spread
+
+    spark.range(1000).coalesce(1).write.parquet(f"{folder}/t")
+    there = spark.read.parquet(f"{folder}/t")
+    arriving = spread(spark.readStream.schema(there.schema).parquet(f"{folder}/t"), "id", there)
+    arriving.withColumn("task", F.spark_partition_id()).writeStream.format("parquet").option("path", f"{folder}/out").option(
+        "checkpointLocation", f"{folder}/check").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{folder}/out")
+    assert found.count() == 1000 and found.select("task").distinct().count() == 8
+
+
 def test_routing(spark):
     files = spark.createDataFrame([("/a/b.DOCX",), ("/a.v1/readme",), ("x.csv",)], "path string")
     ok, bad = routing.split_supported(files)
