@@ -115,3 +115,21 @@ def test_failed_scorers_are_counted(spark):
     assert seen.get == {"units": 7, "ner_failed": 1, "ai_failed": 4}
     assert {(r.unit_no, d.source) for r in detected.where("doc_id = 1").collect() for d in r.detections} == {(0, "regex"), (1, "ner"), (1, "ai"), (2, "ai")}
     assert "failed" not in D.detect_units(units).columns
+
+
+def test_values_that_come_twice_have_their_own_places(spark):
+    """A value can also be part of something that is no hit."""
+    text = "91234567890123456 a@b.co xa@b.co a@b.co 12:30:45 112:30:45 VLAN 1 VLAN 12"
+    for r in IDENTIFIER_RULES:
+        flags = re.I if r.ignore_case else 0
+        assert found(spark, text, [r]) == [(r.id, m[0], m.start(), m.end()) for m in re.finditer(r.pattern, text, flags)]
+
+
+def test_values_found_once_are_placed_without_splitting(spark):
+    """Splitting costs a pass and compiles the pattern for every row."""
+    df = spark.createDataFrame([("메일 a@b.co 끝",)], "text string")
+    rule = Rule("x", "x", "S", "x", r"a@b\.co")
+    hits = df.select(H.pattern_hits(F.col("text"), [rule]).alias("h"))
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "locate" in plan
+    assert [(h.value, h.start, h.end) for h in hits.first().h] == [("a@b.co", 3, 9)]
