@@ -133,3 +133,11 @@ def test_values_found_once_are_placed_without_splitting(spark):
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     assert "locate" in plan
     assert [(h.value, h.start, h.end) for h in hits.first().h] == [("a@b.co", 3, 9)]
+
+
+def test_texts_of_detector_rows_are_not_broadcast(spark):
+    units = spark.range(50).select(F.lit(1).alias("doc_id"), F.col("id").alias("unit_no"), F.lit("전화 010-1234-5678").alias("text"))
+    rows = units.select("doc_id", "unit_no", F.lit("전화번호").alias("label"), F.lit(3).alias("start"), F.lit(16).alias("end"))
+    n = D.normalize_detector_output(rows, units)
+    assert "Broadcast" not in n._jdf.queryExecution().executedPlan().toString()
+    assert {r.matched for r in n.collect()} == {"010-1234-5678"}
