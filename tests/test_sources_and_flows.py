@@ -261,6 +261,16 @@ def test_streams_of_one_file_are_spread(spark, folder):
     assert found.count() == 1000 and found.select("task").distinct().count() == 8
 
 
+def test_parts_of_a_spread_table_grow_with_it(spark, folder, monkeypatch):
+    from veilspark.sources import tables
+
+    spark.range(100_000).coalesce(1).write.parquet(f"{folder}/t")
+    there = spark.read.parquet(f"{folder}/t")
+    assert tables.spread(there, "id").rdd.getNumPartitions() == 8
+    monkeypatch.setattr(tables, "PART", 1 << 14)
+    assert tables.spread(there, "id").rdd.getNumPartitions() > 8
+
+
 def test_routing(spark):
     files = spark.createDataFrame([("/a/b.DOCX",), ("/a.v1/readme",), ("x.csv",)], "path string")
     ok, bad = routing.split_supported(files)
