@@ -140,3 +140,19 @@ def test_reports_have_all_labels(spark):
     c = E.confusion_counts(df)
     assert [tuple(r) for r in E.confusion_matrix(c).collect()] == [("C", 1, 1, 0), ("S", 0, 0, 0), ("O", 0, 0, 0)]
     assert {r.grade: (r.precision, r.recall, r.f1) for r in E.class_report(c).collect()}["S"] == (0.0, 0.0, 0.0)
+
+
+def test_quick_classes_hold_the_same_characters(spark):
+    from veilspark.functions import text as T
+
+    chars = spark.range(1, 0x10000).where("id < 55296 or id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    space, line = F.col("c").rlike(T.SPACE), F.col("c").rlike(f"^(?:{T.LINE_END})$")
+    assert chars.where(F.col("c").rlike(T.QUICK_SPACE) != space).count() == 0
+    assert chars.where((F.size(T.lines(F.col("c"))) == 2) != line).count() == 0
+
+
+def test_empty_brackets_side_by_side_leave_one_space(spark):
+    df = spark.createDataFrame([("가 ( ) () ()  \n　나 ( 다\t) . 라\r\n,",)], "text string")
+    assert df.select(C.tidy_spacing(F.col("text"))).first()[0] == "가 나 (다). 라,"
+    plan = df.select(C.tidy_spacing(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate" not in plan  # it looks every character up by itself
