@@ -156,3 +156,14 @@ def test_empty_brackets_side_by_side_leave_one_space(spark):
     assert df.select(C.tidy_spacing(F.col("text"))).first()[0] == "가 나 (다). 라,"
     plan = df.select(C.tidy_spacing(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
     assert "translate" not in plan  # it looks every character up by itself
+
+
+def test_words_are_runs_of_word_characters(spark):
+    """As told by word borders, which cost more."""
+    texts = ["a bb  ccc_d é éé Straße-Weg 가 가나 x1 1 22 éf ́g _ __ ab‍cd Ⅷx", "", "z"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    tokens = ML.word_ngrams_sql("text")
+    assert "\\b" not in tokens and "array_join" not in tokens
+    words = F.expr(r"regexp_extract_all(lower(text), '(?U)\\b\\w\\w+\\b', 0)")
+    for got, want in df.select(F.expr(tokens), words).collect():
+        assert got == want + [f"{a} {b}" for a, b in zip(want, want[1:])]
