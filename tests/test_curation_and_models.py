@@ -93,6 +93,27 @@ def test_no_term_is_dropped(spark):
     assert out.where(vector_to_array("tf_word")[0].isNull() | (F.aggregate(vector_to_array("tf_word"), F.lit(0.0), lambda a, x: a + x) != 1.0)).count() == 0
 
 
+def test_word_ngrams_are_indexed_like_terms(spark):
+    texts = ["", " \u3000 ", "a", "ab\u2028Cd\u00a0ef", "\U0001f600", "\U0001f600x Ünï 가나다라 복구 복구\t x\u200bz", None, "word " * 3000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    words = df.selectExpr("id", f"{ML.spaced_words_sql('text')} as w")
+    terms = df.where("text is not null").selectExpr("id", f"{ML.word_bounded_ngrams_sql('text')} as t")
+    for width in (64, 1 << 18):
+        want = {r.id: r.v for r in ML.HashingTF(inputCol="t", outputCol="v", numFeatures=width).transform(terms).collect()}
+        got = {r.id: r.v for r in ML.HashedWordNgrams(inputCol="w", outputCol="v", numFeatures=width).transform(words).collect()}
+        assert got.pop(6).numNonzeros() == 0 and got == want
+
+
+def test_training_rows_of_one_file_are_dealt_over_the_cores(spark, monkeypatch):
+    from veilspark.operators import linear
+
+    found, fit = [], ML.fit_softmax
+    monkeypatch.setattr(linear, "ROWS_PER_TASK", 4)
+    monkeypatch.setattr(ML, "fit_softmax", lambda rows, *a: found.append(rows.chunks.glom().map(len).collect()) or fit(rows, *a))
+    model = ML.train_grade_model(labelled(spark).coalesce(1), width=1 << 10, max_iter=3)
+    assert sum(n > 0 for n in found[0]) > 1 and model.iterations <= 3
+
+
 def test_registered_model_has_the_full_width(spark, monkeypatch):
     from veilspark_checks import queries as Q
 
