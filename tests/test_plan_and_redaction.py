@@ -168,6 +168,43 @@ def test_places_with_some_of_fields_label_and_context(spark):
             assert sorted(got[doc]) == fold(spans)
 
 
+def test_a_document_is_dealt_by_location(spark, monkeypatch):
+    """One document of many locations is worked on by many tasks, its rows are shuffled once, its texts not at all."""
+    rng = random.Random(6)
+    rows = []
+    for n in range(300):
+        for o in range(rng.randrange(1, 5)):
+            s = rng.randrange(30)
+            rows.append((n % 2, n, f"context {n}" + "x" * 60, f"L{n}", None if n == 7 else n) + det(o, s, s + 8))
+    schema = ("doc_id long, unit_no long, context string, location_label string, p int, ord long, label string, matched string, grade string, "
+              "action string, source string, start int, end int, sensitive_type string, sensitive_category string, reason string")
+
+    def located(rows):
+        return spark.createDataFrame(rows, schema).withColumn("loc", L.location(paragraphNo=F.col("p"))).drop("p")
+
+    def plan(df, **options):
+        return P.plan_detections(df, **options).where("track = 'auto'").drop("loc")
+
+    even = located([r for r in rows if r[0] == 0])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        t = plan(even, places=False)
+        assert t.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+        assert not {"loc_key", "context", "location_label"} & set(t.columns)
+        t.collect()
+        assert "ReusedExchange" in t._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+    # Document 1 has fields in part; whichever documents the marks take along with it, the targets are the same.
+    want = sorted(map(str, plan(located(rows)).collect()))
+    monkeypatch.setattr(P, "MARKS", 1)
+    assert sorted(map(str, plan(located(rows)).collect())) == want
+    assert sorted(map(str, plan(located(rows), run=1000).collect())) == want
+    kept = ("doc_id", "slot", "label", "start", "end", "reason")
+    assert sorted(plan(located(rows), places=False).select(*kept).collect()) == sorted(plan(located(rows)).select(*kept).collect())
+
+
 def brute_apply(text, targets, mode):
     warnings, n = [], 0
     for t in sorted(targets, key=lambda d: -d["start"]):
