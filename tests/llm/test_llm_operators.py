@@ -197,6 +197,12 @@ def test_packing(spark, docs):
     for _ in range(3000):
         x = "".join(r.choice(signs) for _ in range(r.randrange(14)))
         assert np.frombuffer(words(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+    # Equal words in upper and lower case are one; a special token is found as it is written only; one file is read once.
+    words = WordIds(file)
+    assert words("Word WORD word. \u00c9t\u00c9") + words("\u00e9t\u00e9 word") and set(words.known) == {"word", "word.", "\u00e9t\u00e9"}
+    for x in ("<|ENDOFTEXT|> Word", "<|endoftext|> Word", "It'S WE'LL", "\u212a K k", "\u0130I\u03a3 \u00c5 A\u030a", "A\u00adB 4\u00b2 x\u00b2 \u00aa\u00ba"):
+        assert np.frombuffer(words(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+    assert WordIds(file).tokenizer is words.tokenizer
     pieces = pack(docs, file, size, with_ids=True).orderBy("sequence_id", "offset").collect()
     assert [p.sequence_id * size + p.offset for p in pieces] == np.cumsum([0, *(p.length for p in pieces)])[:-1].tolist()
     assert all(p.offset + p.length <= size and p.ids_crc32 == zlib.crc32(p.ids) and len(p.ids) == 4 * p.length for p in pieces)

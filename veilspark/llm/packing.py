@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,37 @@ def _byte_signs() -> dict[int, int]:
 _BYTE_SIGNS = _byte_signs()
 
 
+@lru_cache(maxsize=1)
+def _tokenizer(file: str):
+    """Read once for all tasks of a worker."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(file)
+
+
+class _Made(dict):
+    """Values are made when they are first asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        found = self[key] = self.make(key)
+        return found
+
+
+def _is_latin(text: str) -> bool:
+    """Only characters below U+0100: no two of them compose, and each has its lower case by itself."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordIds:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes, for a tokenizer of this kind: lower case, white space
     dropped, and a merge model over runs of letters, single digits and runs of other signs, with marked word ends.
@@ -35,38 +67,42 @@ class WordIds:
 
     def __init__(self, file: str, most: int = 500_000):
         import regex
-        from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(file), most
-        self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.tokenizer, self.most = _tokenizer(file), most
+        self.tokenize = self.tokenizer.model.tokenize
+        self.known, self.parts = _Made(self._word), _Made(self._run)
         self.runs = regex.compile(r"\p{L}+|\p{N}|[^\p{L}\p{N}]+").findall
+        self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
 
     def _run(self, run: str) -> bytes:
-        found = self.parts.get(run)
-        if found is None:
-            # The model reads UTF-8 bytes, each as one character.
-            shown = run if run.isascii() else run.encode().decode("latin-1").translate(_BYTE_SIGNS)
-            ids = [t.id for t in self.model.tokenize(shown)]
-            found = self.parts[run] = struct.pack(f"<{len(ids)}I", *ids)
-        return found
+        # The model reads UTF-8 bytes, each as one character.
+        shown = run if run.isascii() else run.encode().decode("latin-1").translate(_BYTE_SIGNS)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.tokenize(shown)])
 
     def _word(self, word: str) -> bytes:
-        if word.isprintable() and "'" not in word and "<|" not in word and max(word, default="") < "\u0100":
-            return b"".join(map(self._run, self.runs(word.lower())))
+        if _is_latin(word):
+            # Most words are letters with at most one other sign behind them: one or two runs.
+            lower, parts = word.lower(), self.parts
+            if lower.isalpha():
+                return parts[lower]
+            if lower.isprintable() and "'" not in lower:
+                if lower[:-1].isalpha():
+                    return parts[lower[:-1]] + parts[lower[-1]]
+                if "<|" not in lower:
+                    return b"".join([parts[r] for r in self.runs(lower)])
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
         known = self.known
         if len(known) > self.most or len(self.parts) > self.most:
             known.clear()
             self.parts.clear()
-        for w in set(words).difference(known):
-            known[w] = self._word(w)
-        return b"".join([known[w] for w in words])
+        # Fewer words differ in lower case; special tokens are found before case is dropped.
+        if "<|" not in text and _is_latin(text):
+            text = text.lower()
+        return b"".join(map(known.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def tokenized(documents: DataFrame, file: str, end: int | None = 1, id: str = "doc_id", text: str = "text") -> DataFrame:
