@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
+from veilspark.llm import ngram_join
 from veilspark.llm.decontamination import mark_hits, words_of
 from veilspark.llm.language_id import identify_language, learn_dictionaries
 from veilspark.llm.line_dedup import CuckooFilter, LineIndex, dedup_lines
@@ -97,6 +98,59 @@ def test_rows_without_an_id_link_others(spark):
     assert by_id(one_of_each(df), "doc_id") == [(1,)]
 
 
+def test_pairs_of_template_texts_are_not_all_written(spark, monkeypatch):
+    """Texts of the same sentences that hardly link: the last round's pairs, in the square of them, stay inside the tasks."""
+    r = random.Random(5)
+    sentences = [" ".join(f"s{k}w{j}" for j in range(8)) for k in range(40)]
+    rows = [(i, " ".join(sentences[k] for k in sorted(r.sample(range(40), 24)))) for i in range(400)]
+    written, save = [], ngram_join.saved
+
+    def counted(df, *by):
+        out = save(df, *by)
+        if out.columns == ["a", "b"]:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "saved", counted)
+    got = {x.doc_id: x.component_id for x in jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    words = {i: t.split() for i, t in rows}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in words.items()}
+    group = {i: i for i in sets}
+    for x in sets:
+        for y in range(x):
+            if 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y]) and group[x] != group[y]:
+                low, high = sorted((group[x], group[y]))
+                group = {i: low if g == high else g for i, g in group.items()}
+    assert got == group
+    assert max(written[1:]) <= 8 * len(rows)
+
+
+def test_blocks_of_a_bucket_meet_like_all_its_rows(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    monkeypatch.setattr(ngram_join, "_BLOCK", 7)
+    mixed, bins = [], {}
+    for h in range(6):
+        base, size = r.integers(0, 1 << 48, 900), int(r.integers(3, 40))
+        part = [int(x) for x in r.integers(0, 9, size)]
+        main = max(set(part), key=lambda p: (part.count(p), p))
+        for k in range(size):
+            keys = np.unique(np.concatenate([base[: r.integers(500, 900)], r.integers(0, 1 << 48, r.integers(1, 200))]))
+            c = h * 100 + k
+            bins[c] = ngram_join._bits(keys), len(keys)
+            mixed.append((h, c, len(keys), int(r.integers(0, len(keys) // 4)), part[k], main, size, part.count(main)))
+    want = set()
+    for h, c, n, i, part, main, *_ in mixed:
+        for h2, c2, n2, i2, part2, *_ in mixed:
+            need = ngram_join._least_overlap(n + n2, 75)
+            if h == h2 and part != main and part != part2 and n - i >= need and n2 - i2 >= need:
+                if ngram_join._may_overlap(bins[c][0], bins[c2][0], n, n2, need):
+                    want.add((min(c, c2), max(c, c2)))
+    got = ngram_join._near_in_buckets(
+        spark.createDataFrame(mixed, "h long, c long, n int, i int, component long, main long, all long, inside long"),
+        spark.createDataFrame([(c, b) for c, (b, _) in bins.items()], "cls long, bins binary"), 75)
+    assert len(want) > 20 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_one_of_each(spark):
     r = random.Random(2)
     base = [f"w{i}" for i in range(80)]

@@ -11,11 +11,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.shared import add_columns, components, map_batches, narrow, saved, sorted_groups
+from veilspark.llm.shared import add_columns, components, forget, map_batches, narrow, release, saved, sorted_groups
 
 _HEAVY = 1 << 48  # set in the order key of frequent shingles: they come last
 _COUNTERS = 1 << 20
 _SLICE = 1 << 16
+_SPOTS = 1 << 25  # a bit for the ids and classes whose texts are fetched: 4 MB
+_SPOT_SLICE = 1 << 21
+_BLOCK = 2048  # rows of either side of a bucket that one task compares at a time
 _M1, _M2, _HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
 
 
@@ -76,6 +79,56 @@ def _may_overlap(a: bytes, b: bytes, n_a: int, n_b: int, need: int) -> bool:
     return min(n_a - lacks(x, y), n_b - lacks(y, x)) >= need
 
 
+def _close_pairs(g: dict[str, list], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (x, y) of a bucket's block that sizes, places and occupied bins let pass: x outside of the bucket's main
+    component, y in any other than x's."""
+    n, i, c, comp, role = (np.asarray(g[k], np.int64) for k in ("n", "i", "c", "component", "role"))
+    sizes = np.asarray([len(b) for b in g["bins"]])
+    matrix: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def folded(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bins of the rows of this size or the next as words of so many bytes, how many are occupied, where a row is."""
+        if size not in matrix:
+            at = np.flatnonzero((sizes == size) | (sizes == 2 * size))
+            words = np.zeros((len(at), size // 8), np.uint64)
+            for big in np.unique(sizes[at]):
+                own = sizes[at] == big
+                rows = np.frombuffer(b"".join(g["bins"][k] for k in at[own]), np.uint64).reshape(-1, big // size, size // 8)
+                words[own] = np.bitwise_or.reduce(rows, axis=1)  # low bits of the hash: bins fold by their number
+            place = np.zeros(len(n), np.int64)
+            place[at] = np.arange(len(at))
+            matrix[size] = words, np.bitwise_count(words).sum(axis=1, dtype=np.int64), place
+        return matrix[size]
+
+    xs, ys = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+    ys = ys[np.argsort(n[ys], kind="stable")]
+    out: list[tuple[np.ndarray, np.ndarray]] = [(xs[:0], ys[:0])]
+    step = max(1, (1 << 18) // max(1, len(ys)))
+    for x in (xs[lo : lo + step] for lo in range(0, len(xs), step)):
+        need = _least_overlap(n[x][:, None] + n[ys], percent)
+        fits = (n[x] - i[x])[:, None] >= need
+        fits &= (n[ys] - i[ys]) >= need
+        fits &= comp[x][:, None] != comp[ys]
+        fits &= ((role[x][:, None] & role[ys] & 1) == 0) | (c[x][:, None] < c[ys])  # two rows that are both outside meet once
+        a, b = np.nonzero(fits)
+        need, a, b = need[a, b], x[a], ys[b]
+        least = np.minimum(sizes[a], sizes[b])
+        far = np.maximum(sizes[a], sizes[b]) > 2 * least  # of such sizes no pair is close enough at usual similarities
+        for size in np.unique(least):
+            own = np.flatnonzero((least == size) & ~far)
+            words, occupied, place = folded(int(size))
+            some = max(1, (1 << 20) // words.shape[1])
+            for part in (own[lo : lo + some] for lo in range(0, len(own), some)):
+                p, q = a[part], b[part]
+                both = np.bitwise_count(words[place[p]] & words[place[q]]).sum(axis=1, dtype=np.int64)
+                most = np.minimum(n[p] - occupied[place[p]], n[q] - occupied[place[q]]) + both
+                keep = most >= need[part]
+                out.append((p[keep], q[keep]))
+        out += [(a[k : k + 1], b[k : k + 1]) for k in np.flatnonzero(far)
+                if _may_overlap(g["bins"][a[k]], g["bins"][b[k]], int(n[a[k]]), int(n[b[k]]), int(need[k]))]
+    return tuple(np.concatenate(side) for side in zip(*out))
+
+
 def trie_links(query: np.ndarray, members: list[tuple[int, np.ndarray]], percent: int) -> list[int]:
     """Ids of ``members`` (id, ordered set) that reach ``percent`` Jaccard with the ordered set ``query``.
 
@@ -110,6 +163,13 @@ def trie_links(query: np.ndarray, members: list[tuple[int, np.ndarray]], percent
     return out
 
 
+def _far_enough(percent: int) -> Column:
+    """Whether x and y can still reach the similarity if their bucket's element is the first that both share; if it isn't,
+    another bucket finds the pair."""
+    need = F.floor((percent * (F.col("x.n") + F.col("y.n")) + 99 + percent) / (100 + percent))
+    return (F.col("x.n") - F.col("x.i") >= need) & (F.col("y.n") - F.col("y.i") >= need)
+
+
 def jaccard_components(
     documents: DataFrame, n: int = 5, percent: int = 75, id: str = "doc_id", text: str = "text", heavy_factor: float = 2.5, group: int = 256,
 ) -> DataFrame:
@@ -161,12 +221,15 @@ def linked_classes(
        shingles are.  The global order is by hash with the frequent ones last; any order is exact, this one keeps
        passages that many texts share out of the prefixes.
     2. A second pass emits each class's prefix, the elements one of which any partner must share; those of a single class
-       go.  Frequent elements are dealt out in parts.
+       go.  Frequent elements are dealt out in parts.  Of buckets that hold the same classes the first in the order stays:
+       in it every class has the most left to share.
     3. In each bucket every class meets eight of the bucket's classes; occupied bins and set sizes rule pairs out, and the
        trie walk decides the rest.  Components follow.  Classes outside a bucket's largest component meet eight classes
-       of that one, and then all of the bucket that are in other components and were not compared: large groups of
-       copies cost a few comparisons each, and no link between components is lost.
-    4. Sets are made again from the texts of the few classes in question, not kept for all.
+       of that one, and then all of the bucket that are in other components: large groups of copies cost a few
+       comparisons each, and no link between components is lost.  This last step can have pairs in the square of a
+       bucket; they are ruled out block by block inside the tasks, and only those that pass are written.
+    4. Sets are made again from the texts of the few classes in question, not kept for all.  A bit for each of 2^25 hash
+       values of ids and classes tells which texts these are (a few more that share a bit do no harm), so no text is shuffled.
 
     Texts without words are empty sets of no class and link with nothing; an empty table gives no rows.  Shingles are told
     apart by 48-bit hashes, sets by 64-bit ones."""
@@ -246,17 +309,18 @@ def linked_classes(
 
     schema = "h bigint, c bigint, n int, i int"
     deal = F.when(F.col("h") >= _HEAVY, F.pmod("c", F.lit(64))).otherwise(0)
-    shared = saved(map_batches(
+    buckets = saved(map_batches(
         map_batches(source, schema, prefixes).repartition("h", deal).sortWithinPartitions("h", "c"), schema, several))
+    spark = documents.sparkSession
+    release(spark)
+    first = buckets.groupBy("h").agg(*[F.bit_xor(F.xxhash64("c", F.lit(k))).alias(f"same_{k}") for k in (1, 2)]).groupBy(
+        "same_1", "same_2").agg(F.min("h").alias("h")).select("h")
+    shared = saved(narrow(buckets.join(first, "h", "left_semi")))
+    forget(buckets)
 
     classes = saved(facts.where("cls is not null").groupBy("cls").agg(
         F.min("doc_id").alias("rep"), F.max("n").cast("int").alias("n"), F.first("bins", ignorenulls=True).alias("bins")))
 
-    def far_enough(x: str, y: str) -> Column:
-        need = F.floor((percent * (F.col(f"{x}.n") + F.col(f"{y}.n")) + 99 + percent) / (100 + percent))
-        # The bucket's element is the first that both share, or another bucket finds the pair.
-        return (F.col(f"{x}.n") - F.col(f"{x}.i") >= need) & (F.col(f"{y}.n") - F.col(f"{y}.i") >= need)
-
     row = F.struct("n", "c", "i")
 
     def centres(of: DataFrame, seeds: range) -> DataFrame:
@@ -266,28 +330,40 @@ def linked_classes(
 
     def paired(x: DataFrame, y: DataFrame, further: Column) -> DataFrame:
         return (
-            x.join(y, "h").where((F.col("x.c") != F.col("y.c")) & far_enough("x", "y") & further)
+            x.join(y, "h").where((F.col("x.c") != F.col("y.c")) & _far_enough(percent) & further)
             .select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
         )
 
-    done = saved(narrow(paired(shared.select("h", row.alias("x")), centres(shared, range(8)), F.lit(True))))
+    met = saved(narrow(centres(shared, range(8))))  # by all classes of their buckets
+    done = saved(narrow(paired(shared.select("h", row.alias("x")), met, F.lit(True))))
     links = _verified(done, classes, source, ordered, n, percent, group)
-    for seeds in (range(8, 16), None):  # more centres for classes outside a bucket's largest component, then all pairs left
+    rest = saved(narrow(shared.join(met.select("h", F.col("y.c").alias("c")), ["h", "c"], "left_anti")))
+    for table in (shared, met):
+        forget(table)
+    for last in (False, True):  # more centres for classes outside a bucket's largest component, then all pairs left
+        release(spark)
         comp = components(links)
-        labelled = saved(narrow(shared.join(comp.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))))
+        labelled = saved(narrow(rest.join(comp.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))))
         per = labelled.groupBy("h", "component").agg(F.count("*").alias("m")).groupBy("h").agg(
-            F.max_by("component", "m").alias("main"), F.count("*").alias("k")).where("k > 1").select("h", "main")
+            F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("k"), F.sum("m").alias("all"),
+            F.max("m").alias("inside")).where("k > 1").select("h", "main", "all", "inside")
         mixed = saved(narrow(labelled.join(per, "h")))
-        outside = mixed.where("component <> main").select("h", F.struct("n", "c", "i", "component").alias("x"))
-        if seeds:
-            pairs = paired(outside, centres(mixed.where("component = main"), seeds), F.lit(True))
+        if last:
+            near = saved(narrow(_near_in_buckets(mixed, classes, percent).join(done, ["a", "b"], "left_anti")))
+            found = _linked(near, classes, source, ordered, n, percent, group)
         else:
-            pairs = paired(outside, mixed.select("h", F.struct("n", "c", "i", "component").alias("y")), F.col("x.component") != F.col("y.component"))
-        pairs = saved(narrow(pairs.join(done, ["a", "b"], "left_anti")))
-        if not pairs.isEmpty():
-            links = links.union(_verified(pairs, classes, source, ordered, n, percent, group))
-            done = done.union(pairs)
+            outside = mixed.where("component <> main").select("h", F.struct("n", "c", "i", "component").alias("x"))
+            pairs = paired(outside, centres(mixed.where("component = main"), range(8, 16)), F.lit(True))
+            near = saved(narrow(pairs.join(done, ["a", "b"], "left_anti")))
+            found = _verified(near, classes, source, ordered, n, percent, group)
+            done = done.union(near)
+        links = links.union(found)
+        for table in (labelled, mixed):
+            forget(table)
     comp = components(links)
+    for table in (rest, done, near, links):
+        forget(table)
+    release(spark)
 
     named = classes.join(comp.withColumnRenamed("id", "cls"), "cls", "left")
     return rows, named.select("cls", "rep", F.coalesce("component", "cls").alias("g"))
@@ -309,6 +385,52 @@ def _heavy_counters(facts: DataFrame, factor: float) -> bytes:
     return np.packbits(sums > 64 + factor * sums.mean(), bitorder="little").tobytes()
 
 
+def _near_in_buckets(mixed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a class outside its bucket's main component and one in another component that may link.
+
+    Rows go to tasks with their bins, block by block: a block has some of the outside classes and some of all, and nearly
+    every bucket is one block."""
+    parts = lambda rows: F.ceil(rows / F.lit(_BLOCK)).cast("int")
+    place = lambda x, y, role: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), F.lit(role).alias("role"))
+    own = lambda seed, k: F.pmod(F.xxhash64("c", F.lit(seed)), k)
+    outside, n_x, n_y = F.col("component") != F.col("main"), parts(F.col("all") - F.col("inside")), parts(F.col("all"))
+    every = lambda k, at: F.transform(F.sequence(F.lit(0), k - 1), at)
+    one = F.array(F.when(outside, place(F.lit(0), F.lit(0), 3)).otherwise(place(F.lit(0), F.lit(0), 2)))
+    many = F.concat(
+        F.when(outside, every(n_y, lambda y: place(own(1, n_x), y, 1))).otherwise(F.array().cast("array<struct<x:int,y:int,role:int>>")),
+        every(n_x, lambda x: place(x, own(2, n_y), 2)))
+    meets = (F.col("x.h") == F.col("y.h")) & (F.col("x.component") != F.col("y.component")) & _far_enough(percent) & (
+        (F.col("x.component") != F.col("x.main")) | (F.col("y.component") != F.col("y.main")))
+    some = mixed.alias("x").join(mixed.alias("y"), meets, "left_semi")  # rows that may link by sizes and places
+    sent = some.withColumn("at", F.explode(F.when((n_x == 1) & (n_y == 1), one).otherwise(many))).select(
+        "h", F.col("at.x").alias("x"), F.col("at.y").alias("y"), F.col("at.role").alias("role"), "c", "n", "i", "component")
+    sent = sent.join(classes.select(F.col("cls").alias("c"), "bins"), "c").repartition("h", "x", "y").sortWithinPartitions("h", "x", "y")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for g in sorted_groups(batches, ("h", "x", "y")):
+            x, y = _close_pairs(g, percent)
+            c = np.asarray(g["c"], np.int64)
+            yield {"a": np.minimum(c[x], c[y]), "b": np.maximum(c[x], c[y])}
+
+    order = ("h", "x", "y", "role", "c", "n", "i", "component", "bins")
+    return map_batches(sent.select(*order), "a bigint, b bigint", compare).distinct()
+
+
+def _spots(wanted: DataFrame) -> bytes:
+    """A bit for every value of ``spot`` below 2^25 that ``wanted`` has; parts are of a fixed size."""
+    def mark(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        on = np.zeros(_SPOT_SLICE, np.uint8)
+        on[rows["spot"].to_numpy() % _SPOT_SLICE] = 1
+        return pd.DataFrame({"part": [key[0]], "bits": [np.packbits(on, bitorder="little").tobytes()]})
+
+    bits = bytearray(_SPOTS // 8)
+    at = _SPOT_SLICE // 8
+    table = wanted.distinct().withColumn("part", F.floor(F.col("spot") / _SPOT_SLICE)).groupBy("part").applyInPandas(mark, "part bigint, bits binary")
+    for part, own in table.collect():  # 16 rows of 256 KB at most
+        bits[part * at : (part + 1) * at] = own
+    return bytes(bits)
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, source: DataFrame, ordered: Callable, n: int, percent: int, group: int) -> DataFrame:
     """The links (a, b) among ``pairs`` of classes."""
 
@@ -321,35 +443,38 @@ def _verified(pairs: DataFrame, classes: DataFrame, source: DataFrame, ordered:
     side = lambda k: classes.select(F.col("cls").alias(k), F.col("bins").alias(f"bins_{k}"), F.col("n").alias(f"n_{k}"))
     near = saved(narrow(map_batches(
         pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "bins_a", "bins_b", "n_a", "n_b"), "a bigint, b bigint", bounded)))
+    links = _linked(near, classes, source, ordered, n, percent, group)
+    forget(near)
+    return links
+
+
+def _linked(near: DataFrame, classes: DataFrame, source: DataFrame, ordered: Callable, n: int, percent: int, group: int) -> DataFrame:
+    """The links (a, b) among ``near``, pairs of classes; their sets are made again."""
+    if near.isEmpty():
+        return near.sparkSession.createDataFrame([], near.schema)
     # Groups around one class, cut into parts of bounded size.
     sizes = near.groupBy("a").agg(F.ceil(F.count("*") / group).alias("parts"))
     members = near.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).select("a", "part", "b")
     members = members.union(members.select("a", "part", F.col("a").alias("b")).distinct())
-    wanted = near.select("a").union(near.select("b")).distinct().join(
-        classes.select(F.col("cls").alias("a"), "rep"), "a").select(F.col("rep").alias("doc_id"), F.col("a").alias("cls"))
+    wanted = near.select("a").union(near.select("b")).distinct().join(classes.select(F.col("cls").alias("a"), "rep"), "a")
+    spot = lambda c: c.bitwiseAND(F.lit(_SPOTS - 1)).alias("spot")
+    by_class, by_id = wanted.select(spot(F.col("a"))), wanted.where("rep is not null").select(spot(F.xxhash64("rep")))
+    spots = near.sparkSession.sparkContext.broadcast(_spots(by_class.union(by_id)))  # 4 MB
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        words = WordHashes()
+        """Rows without an id are known by their sets alone."""
+        words, seen, bits = WordHashes(), set(), np.frombuffer(spots.value, np.uint8)
+        on = lambda at: (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         for b in batches:
             out: dict = {"b": [], "keys": []}
-            for cls, t in zip(b.column(0), b.column(1)):
-                cls, keys = cls.as_py(), shingle_set(t.as_py(), words, n)
-                if len(keys) and _class(keys) == cls:  # rows may share a doc_id
-                    out["b"].append(cls)
-                    out["keys"].append(ordered(keys).tobytes())
-            yield out
-
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        words, seen = WordHashes(), set()
-        for b in batches:
-            out: dict = {"cls": [], "text": []}
-            for t in b.column(0):
+            at = b.column(0).fill_null(-1).to_numpy()
+            for t in b.column(1).take(pa.array(np.flatnonzero((at < 0) | on(at)))):
                 keys = shingle_set(t.as_py(), words, n)
                 cls = _class(keys) if len(keys) else None
-                if cls is not None and cls not in seen:
+                if cls is not None and cls not in seen and on(np.int64(cls & (_SPOTS - 1))):
                     seen.add(cls)
-                    out["cls"].append(cls)
-                    out["text"].append(t.as_py())
+                    out["b"].append(cls)
+                    out["keys"].append(ordered(keys).tobytes())
             yield out
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -361,10 +486,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, source: DataFrame, ordered:
                 hits = trie_links(query, list(found.items()), percent)
                 yield {"a": [centre] * len(hits), "b": hits}
 
-    # Classes that no id leads to are found among the rows without one by their sets.
-    nameless = map_batches(source.where(F.col("doc_id").isNull()).select("text"), "cls bigint, text string", classed)
-    nameless = nameless.join(wanted.where("doc_id is null").select("cls"), "cls").groupBy("cls").agg(F.first("text").alias("text"))
-    named = source.where(F.col("doc_id").isNotNull()).join(wanted, "doc_id").select("cls", "text")
-    made = saved(narrow(map_batches(named.union(nameless), "b bigint, keys binary", sets)))
+    known = source.select(F.when(F.col("doc_id").isNotNull(), spot(F.xxhash64("doc_id"))).alias("spot"), "text")
+    made = map_batches(known, "b bigint, keys binary", sets).groupBy("b").agg(F.first("keys").alias("keys"))
     spread = members.join(made, "b").repartition("a", "part").sortWithinPartitions("a", "part")
     return saved(narrow(map_batches(spread.select("a", "part", "b", "keys"), "a bigint, b bigint", walk)))
