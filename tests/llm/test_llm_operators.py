@@ -125,30 +125,37 @@ def test_pairs_of_template_texts_are_not_all_written(spark, monkeypatch):
     assert max(written[1:]) <= 8 * len(rows)
 
 
-def test_blocks_of_a_bucket_meet_like_all_its_rows(spark, monkeypatch):
+def test_blocks_of_buckets_meet_like_all_their_rows(spark, monkeypatch):
+    """Buckets 0 to 3 share a main component and their classes, 4 to 23 only the main component, 24 to 29 nothing."""
     r = np.random.default_rng(4)
     monkeypatch.setattr(ngram_join, "_BLOCK", 7)
-    mixed, bins = [], {}
-    for h in range(6):
-        base, size = r.integers(0, 1 << 48, 900), int(r.integers(3, 40))
-        part = [int(x) for x in r.integers(0, 9, size)]
-        main = max(set(part), key=lambda p: (part.count(p), p))
+    mixed, sets = [], {}
+    for h in range(30):
+        kind, size = (0 if h < 4 else 1 if h < 24 else 2), int(r.integers(3, 40))
+        base = np.random.default_rng((h, 0, h)[kind] + 50).integers(0, 1 << 48, 900)
         for k in range(size):
-            keys = np.unique(np.concatenate([base[: r.integers(500, 900)], r.integers(0, 1 << 48, r.integers(1, 200))]))
-            c = h * 100 + k
-            bins[c] = ngram_join._bits(keys), len(keys)
-            mixed.append((h, c, len(keys), int(r.integers(0, len(keys) // 4)), part[k], main, size, part.count(main)))
+            inside = k < 9 if kind < 2 else None
+            c = k + (1000 if kind < 2 and inside else 2000 if kind == 0 else 3000 + h * 100)
+            if c not in sets:
+                sets[c] = np.unique(np.concatenate([base[: r.integers(500, 900)], r.integers(0, 1 << 48, r.integers(1, 200))]))
+            n = len(sets[c])
+            mixed.append((h, c, n, int(r.integers(0, n // 4)), 7 if inside else 50 + (c * 7919) % 12, 7 if kind < 2 else 50))
+    bins = {c: ngram_join._bits(keys) for c, keys in sets.items()}
     want = set()
-    for h, c, n, i, part, main, *_ in mixed:
-        for h2, c2, n2, i2, part2, *_ in mixed:
+    for h, c, n, i, part, main in mixed:
+        for h2, c2, n2, i2, part2, _ in mixed:
             need = ngram_join._least_overlap(n + n2, 75)
             if h == h2 and part != main and part != part2 and n - i >= need and n2 - i2 >= need:
-                if ngram_join._may_overlap(bins[c][0], bins[c2][0], n, n2, need):
+                if ngram_join._may_overlap(bins[c], bins[c2], n, n2, need):
                     want.add((min(c, c2), max(c, c2)))
-    got = ngram_join._near_in_buckets(
-        spark.createDataFrame(mixed, "h long, c long, n int, i int, component long, main long, all long, inside long"),
-        spark.createDataFrame([(c, b) for c, (b, _) in bins.items()], "cls long, bins binary"), 75)
-    assert len(want) > 20 and sorted(map(tuple, got.collect())) == sorted(want)
+    found = ngram_join._near_in_buckets(
+        spark.createDataFrame(mixed, "h long, c long, n int, i int, component long, main long"),
+        spark.createDataFrame(list(bins.items()), "cls long, bins binary"), 75)
+    got = list(map(tuple, found.collect()))
+    part = {c: p for _, c, _, _, p, _ in mixed}
+    assert len(want) > 20 and want <= set(got) and len(got) == len(set(got))
+    assert all(a < b and part[a] != part[b] and ngram_join._may_overlap(
+        bins[a], bins[b], n := len(sets[a]), m := len(sets[b]), ngram_join._least_overlap(n + m, 75)) for a, b in got)
 
 
 def test_one_of_each(spark):

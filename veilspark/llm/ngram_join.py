@@ -227,7 +227,7 @@ def linked_classes(
        trie walk decides the rest.  Components follow.  Classes outside a bucket's largest component meet eight classes
        of that one, and then all of the bucket that are in other components: large groups of copies cost a few
        comparisons each, and no link between components is lost.  This last step can have pairs in the square of a
-       bucket; they are ruled out block by block inside the tasks, and only those that pass are written.
+       group of copies; they are ruled out block by block inside the tasks, and only those that pass are written.
     4. Sets are made again from the texts of the few classes in question, not kept for all.  A bit for each of 2^25 hash
        values of ids and classes tells which texts these are (a few more that share a bit do no harm), so no text is shuffled.
 
@@ -345,8 +345,7 @@ def linked_classes(
         comp = components(links)
         labelled = saved(narrow(rest.join(comp.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))))
         per = labelled.groupBy("h", "component").agg(F.count("*").alias("m")).groupBy("h").agg(
-            F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("k"), F.sum("m").alias("all"),
-            F.max("m").alias("inside")).where("k > 1").select("h", "main", "all", "inside")
+            F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").select("h", "main")
         mixed = saved(narrow(labelled.join(per, "h")))
         if last:
             near = saved(narrow(_near_in_buckets(mixed, classes, percent).join(done, ["a", "b"], "left_anti")))
@@ -388,32 +387,44 @@ def _heavy_counters(facts: DataFrame, factor: float) -> bytes:
 def _near_in_buckets(mixed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a class outside its bucket's main component and one in another component that may link.
 
-    Rows go to tasks with their bins, block by block: a block has some of the outside classes and some of all, and nearly
-    every bucket is one block."""
+    Rows go to tasks with their bins.  Buckets of the same main component, as a large group of copies has many, are put
+    together as long as that gives at most four times the comparisons.  What is put together is compared block by block:
+    some of the outside classes with some of all; nearly always that is one block."""
+    outside = F.col("component") != F.col("main")
+    meets = (F.col("x.h") == F.col("y.h")) & (F.col("x.component") != F.col("y.component")) & _far_enough(percent) & (
+        (F.col("x.component") != F.col("x.main")) | (F.col("y.component") != F.col("y.main")))
+    some = saved(narrow(mixed.alias("x").join(mixed.alias("y"), meets, "left_semi")))  # may link by sizes and places
+    counts = (F.count("*").alias("k"), F.sum(outside.cast("int")).alias("o"))
+    by_bucket = some.groupBy("main", "h").agg(*counts)
+    members = some.select("main", "c", "n", "component").distinct()
+    work = by_bucket.groupBy("main").agg(F.sum(F.col("k").cast("double") * F.col("o")).alias("work"))
+    together = members.groupBy("main").agg(*counts).join(work, "main").withColumn(
+        "whole", F.col("k").cast("double") * F.col("o") <= 4 * F.col("work"))
+    row = ("whole", "key", "c", "n", "i", "component", "main", "k", "o")
+    rows = members.join(together.where("whole"), "main").withColumn("i", F.lit(0)).withColumn("key", F.col("main")).select(*row).union(
+        some.join(together.where("not whole").select("main", "whole"), "main").join(by_bucket, ["main", "h"]).withColumn("key", F.col("h")).select(*row))
+
     parts = lambda rows: F.ceil(rows / F.lit(_BLOCK)).cast("int")
     place = lambda x, y, role: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), F.lit(role).alias("role"))
     own = lambda seed, k: F.pmod(F.xxhash64("c", F.lit(seed)), k)
-    outside, n_x, n_y = F.col("component") != F.col("main"), parts(F.col("all") - F.col("inside")), parts(F.col("all"))
     every = lambda k, at: F.transform(F.sequence(F.lit(0), k - 1), at)
+    n_x, n_y = parts(F.greatest("o", F.lit(1))), parts(F.col("k"))
     one = F.array(F.when(outside, place(F.lit(0), F.lit(0), 3)).otherwise(place(F.lit(0), F.lit(0), 2)))
     many = F.concat(
         F.when(outside, every(n_y, lambda y: place(own(1, n_x), y, 1))).otherwise(F.array().cast("array<struct<x:int,y:int,role:int>>")),
         every(n_x, lambda x: place(x, own(2, n_y), 2)))
-    meets = (F.col("x.h") == F.col("y.h")) & (F.col("x.component") != F.col("y.component")) & _far_enough(percent) & (
-        (F.col("x.component") != F.col("x.main")) | (F.col("y.component") != F.col("y.main")))
-    some = mixed.alias("x").join(mixed.alias("y"), meets, "left_semi")  # rows that may link by sizes and places
-    sent = some.withColumn("at", F.explode(F.when((n_x == 1) & (n_y == 1), one).otherwise(many))).select(
-        "h", F.col("at.x").alias("x"), F.col("at.y").alias("y"), F.col("at.role").alias("role"), "c", "n", "i", "component")
-    sent = sent.join(classes.select(F.col("cls").alias("c"), "bins"), "c").repartition("h", "x", "y").sortWithinPartitions("h", "x", "y")
+    block = ("whole", "key", "x", "y")
+    sent = rows.withColumn("at", F.explode(F.when((n_x == 1) & (n_y == 1), one).otherwise(many))).select(
+        "whole", "key", F.col("at.x").alias("x"), F.col("at.y").alias("y"), F.col("at.role").alias("role"), "c", "n", "i", "component")
+    sent = sent.join(classes.select(F.col("cls").alias("c"), "bins"), "c").repartition(*block).sortWithinPartitions(*block)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for g in sorted_groups(batches, ("h", "x", "y")):
+        for g in sorted_groups(batches, block):
             x, y = _close_pairs(g, percent)
             c = np.asarray(g["c"], np.int64)
             yield {"a": np.minimum(c[x], c[y]), "b": np.maximum(c[x], c[y])}
 
-    order = ("h", "x", "y", "role", "c", "n", "i", "component", "bins")
-    return map_batches(sent.select(*order), "a bigint, b bigint", compare).distinct()
+    return map_batches(sent.select(*block, "role", "c", "n", "i", "component", "bins"), "a bigint, b bigint", compare).distinct()
 
 
 def _spots(wanted: DataFrame) -> bytes:
